@@ -1,0 +1,5 @@
+"""No streaming operators: marking is a batch job over a finished response table.
+
+The ``functions`` package is stateless Column code, so it also applies unchanged
+to a ``readStream`` DataFrame.
+"""
