@@ -15,8 +15,28 @@ SUPERCATEGORIES = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 N_SUBJECTS = 25
 
 
+# Given to the reader, so that no job reads file footers to find them.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
 def columns(exprs: dict[str, str]) -> list:
@@ -93,6 +113,38 @@ def exam_sql(extra: dict[str, str] | None = None) -> str:
     )
 
 
+# The same replies given once per order line, for a longer run: the line's supplier
+# stands for the model.
+LINE_EXAM = {
+    "qid": "l_orderkey * 8 + l_linenumber",
+    "model": "'model ' || CAST(l_suppkey % 40 AS STRING)",
+    "subject": "n_name",
+    "answer": GOLD,
+    "response": RESPONSE,
+}
+
+
+def _per_line(exprs: dict[str, str]) -> dict[str, str]:
+    """The order expressions over a line's columns; the return flag stands for the priority."""
+    swaps = {"o_orderkey": "(l_orderkey + l_partkey)", "o_custkey": "l_suppkey", "o_orderpriority": "l_returnflag"}
+    out = {}
+    for name, text in exprs.items():
+        for old, new in swaps.items():
+            text = text.replace(old, new)
+        out[name] = text
+    return out
+
+
+def line_exam(spark: SparkSession, sf: str) -> DataFrame:
+    """(qid, model, subject, answer, response) of every order line."""
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "nation"), F.expr("l_partkey % 25 = n_nationkey"))
+    return rows.select(*columns(_per_line(LINE_EXAM)))
+
+
+LINE_EXAM_SQL = (
+    f"exam AS (SELECT {select_list(_per_line(LINE_EXAM))} FROM lineitem JOIN nation ON l_partkey % 25 = n_nationkey)"
+)
+
 # --- question bank: one question per part ----------------------------------------
 
 BANK = {

@@ -21,8 +21,11 @@ from markbook.plans.evaluate import evaluate
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Stand-ins never wait.
-FAST = {"backoff": 0.0}
+
+
+def options(spark) -> dict:
+    """Stand-ins never wait; a prompt table in one file is spread over the cores."""
+    return {"backoff": 0.0, "concurrency": spark.sparkContext.defaultParallelism}
 
 
 def letter_model():
@@ -85,7 +88,7 @@ def judge_model():
 )
 def batch_generate(spark, sf):
     rows = fx.bank(spark, sf).where(F.col("split") == "test").select("subject", "row_idx", blocks.question_block().alias("prompt"))
-    out = inference.batch_generate(rows, letter_model, **FAST)
+    out = inference.batch_generate(rows, letter_model, **options(spark))
     return inference.clean_response(out, F.lit("<|im_end|>")).select("subject", "row_idx", "response", "status", "attempts")
 
 
@@ -99,7 +102,7 @@ def batch_generate(spark, sf):
 def retry_status(spark, sf):
     rows = fx.table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
     params = F.struct(F.lit(200).alias("max_tokens"), F.lit(0.0).alias("temperature"))
-    out = inference.batch_generate(rows, flaky_model, params=params, max_attempts=3, **FAST)
+    out = inference.batch_generate(rows, flaky_model, params=params, max_attempts=3, **options(spark))
     return out.select("doc_id", "response", "status", "attempts", "error")
 
 
@@ -117,7 +120,7 @@ FOLDED = f"translate({ASKED}, '【】（）', '[]()')"
 def retry_alternate(spark, sf):
     rows = fx.table(spark, sf, "documents").select("doc_id", F.expr(ASKED).alias("prompt"))
     params = F.struct(F.lit(800).alias("max_tokens"), F.lit(0.0).alias("temperature"))
-    out = inference.batch_generate(rows, picky_model, params=params, fold_on_server_error=True, **FAST)
+    out = inference.batch_generate(rows, picky_model, params=params, fold_on_server_error=True, **options(spark))
     return out.select("doc_id", "response", "status", "attempts")
 
 
@@ -127,7 +130,7 @@ JUDGED = f"CASE WHEN {TRIMMED} = '' THEN '' ELSE coalesce(nullif(regexp_extract(
 
 @query("judge_extract", f"WITH {fx.exam_sql()} SELECT qid, {JUDGED} AS judged FROM exam")
 def judge_extract(spark, sf):
-    return inference.judge(fx.exam(spark, sf), judge_model, **FAST).select("qid", "judged")
+    return inference.judge(fx.exam(spark, sf), judge_model, **options(spark)).select("qid", "judged")
 
 
 @query(
@@ -136,7 +139,7 @@ def judge_extract(spark, sf):
 )
 def judge_callable(spark, sf):
     rows = fx.table(spark, sf, "benchmark")
-    return inference.judge(rows, judge_model, "text", unknown=True, strip_reply=False, **FAST).select("item_id", "judged")
+    return inference.judge(rows, judge_model, "text", unknown=True, strip_reply=False, **options(spark)).select("item_id", "judged")
 
 
 @query(
@@ -145,7 +148,7 @@ def judge_callable(spark, sf):
     "SELECT qid, judged, CASE WHEN text <> '' AND judged = answer THEN 1 ELSE 0 END AS correctness FROM j",
 )
 def score_judge(spark, sf):
-    judged = inference.judge(fx.exam(spark, sf), judge_model, **FAST)
+    judged = inference.judge(fx.exam(spark, sf), judge_model, **options(spark))
     return scoring.marks(judged, "judge", judged="judged").select("qid", "judged", "correctness")
 
 
@@ -159,11 +162,11 @@ def tasks(spark, sf):
     return rows.select(F.col("c_mktsegment").alias("model"), F.col("n_name").alias("subject")).distinct()
 
 
-def _evaluation(name, backend, sql, **options):
+def _evaluation(name, backend, sql, **settings):
     @query(name, sql)
     def run(spark, sf):
         out = session.fresh_path(spark, name)
-        done = evaluate(fx.bank(spark, sf), tasks(spark, sf), BACKENDS[backend], letter_model, out, fx.subjects(spark, sf), **options, **FAST)
+        done = evaluate(fx.bank(spark, sf), tasks(spark, sf), BACKENDS[backend], letter_model, out, fx.subjects(spark, sf), **settings, **options(spark))
         return done.select("model", "subject", "n_rows", "n_correct", "accuracy")
 
 
@@ -233,6 +236,6 @@ def evaluate_judged(spark, sf):
     out = session.fresh_path(spark, "judged")
     done = evaluate(
         fx.bank(spark, sf), tasks(spark, sf), BACKENDS["claude"], letter_model, out, fx.subjects(spark, sf),
-        parsing="llm", judge_make=judge_model, **FAST,
+        parsing="llm", judge_make=judge_model, **options(spark),
     )
     return done.select("model", "subject", "n_rows", "n_correct", "accuracy")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from markbook import fixed_values as fixed
+from markbook import session
 from markbook.catalog import fixtures as fx
 from markbook.catalog.registry import query
 from markbook.catalog.routes import exam_ledger, exam_marks
-from markbook.functions.extract import CHOICES
+from markbook.functions import scoring
 from markbook.operators import report
 from markbook.plans.running import running_totals
 from markbook.sources import dims
@@ -43,6 +44,17 @@ def accuracy_by_subject(spark, sf):
     return report.accuracy_by_subject(exam_marks(spark, sf))
 
 
+LINE_LEDGER = (
+    f"WITH {fx.LINE_EXAM_SQL}, {fx.marked_sql('few_shot')}, ledger AS (SELECT model, subject, min(qid) AS seq, count(correctness) AS n_rows, "
+    "CAST(sum(correctness) AS BIGINT) AS n_correct, 100.0 * sum(correctness) / count(correctness) AS accuracy FROM marked GROUP BY model, subject)"
+)
+
+
+@query("accuracy_by_subject_lines", f"{LINE_LEDGER} SELECT model, subject, n_rows, n_correct, accuracy FROM ledger")
+def accuracy_by_subject_lines(spark, sf):
+    return report.accuracy_by_subject(scoring.marks(fx.line_exam(spark, sf), "few_shot"))
+
+
 @query(
     "accuracy_of_labels",
     "SELECT lang AS model, source AS subject, count(quality) AS n_rows, CAST(sum(quality) AS BIGINT) AS n_correct, "
@@ -138,6 +150,18 @@ def leaderboard_gated(spark, sf):
     return rounded(board, *CATS, "average")
 
 
+@query(
+    "leaderboard_lines",
+    sql_report(LINE_LEDGER + means_with_order(), CATS, len(CATS))
+    + f" SELECT CAST(row_number() OVER (ORDER BY average DESC, seq) AS INT) AS rank, model, {QUOTED}, round(average, 6) AS average "
+    f"FROM grouped WHERE n_rows = {fx.N_SUBJECTS}",
+)
+def leaderboard_lines(spark, sf):
+    ledger = report.accuracy_by_subject(scoring.marks(fx.line_exam(spark, sf), "few_shot"), order="qid")
+    board = report.leaderboard(ledger, fx.subject_supercategory(spark, sf), CATS, fx.N_SUBJECTS)
+    return rounded(board, *CATS, "average")
+
+
 # Users as models, event types as subjects: many have no value for some subject.
 EVENT_CATEGORY = "CASE WHEN event_type IN ('click', 'view') THEN 'reading' ELSE 'acting' END"
 EVENT_MEANS = (
@@ -178,8 +202,6 @@ def incomplete_models(spark, sf):
     f"FROM means GROUP BY model HAVING sum(n) <> {fx.N_SUBJECTS}",
 )
 def incomplete_exam_models(spark, sf):
-    from markbook.functions import scoring
-
     # The first customers stand for a run in progress: no model has all subjects yet.
     rows = fx.exam(spark, sf, {"custkey": "o_custkey"}).where("custkey < 200")
     ledger = report.accuracy_by_subject(scoring.marks(rows, "zero_shot"), order="qid")
@@ -273,10 +295,8 @@ RUNNING = (
 
 @query("running_accuracy", RUNNING)
 def running_accuracy(spark, sf):
-    marked = exam_marks(spark, sf).select("qid", "model", "subject", "correctness")
+    # Read twice below (stretch totals, then rows), so it is marked once and kept.
+    marked = session.cut_lineage(exam_marks(spark, sf).select("qid", "model", "subject", "correctness"))
     totals = {"n_correct": F.col("correctness"), "n_rows": F.lit(1)}
     out = running_totals(marked, ["model", "subject"], "qid", totals)
     return out.select("qid", "model", "subject", "n_correct", "n_rows")
-
-
-assert CHOICES == ("A", "B", "C", "D")

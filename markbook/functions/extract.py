@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from markbook import fixed_values as fixed
-from markbook.functions.text import SPACE, Script, normalize, strip, text_or_empty
+from markbook.functions.text import SPACE, Script, bound, strip, text_or_empty
 
 CHOICES = ("A", "B", "C", "D")
 _WORD = r"[\p{L}\p{N}_]"
@@ -100,9 +100,13 @@ def all_choices(
     script: Script | None = None,
 ) -> Column:
     """Every match of the deciding pattern, as an array; null if none matches."""
-    lead = leading_choice(text, choices)
-    body = _cascade(text, convert_patterns(patterns, script), choices, lambda found: found)
-    return F.coalesce(F.when(lead.isNotNull(), F.array(lead)), body)
+    patterns = convert_patterns(patterns, script)
+
+    def matches(t: Column) -> Column:
+        lead = leading_choice(t, choices)
+        return F.coalesce(F.when(lead.isNotNull(), F.array(lead)), _cascade(t, patterns, choices, lambda found: found))
+
+    return bound(text, matches)
 
 
 def last_choice(
@@ -114,11 +118,15 @@ def last_choice(
     """The extracted answer: leading letter, else the last match of the cascade.
 
     A response without any answer letter skips the cascade, since every pattern
-    captures one.  ``text`` should be a plain column, not a long expression.
+    captures one.
     """
-    letter = reduce(lambda a, b: a | b, [text.contains(c) for c in choices])
-    body = _cascade(text, convert_patterns(patterns, script), choices, _last)
-    return F.coalesce(leading_choice(text, choices), F.when(letter, body))
+    patterns = convert_patterns(patterns, script)
+
+    def answer(t: Column) -> Column:
+        letter = reduce(lambda a, b: a | b, [t.contains(c) for c in choices])
+        return F.coalesce(leading_choice(t, choices), F.when(letter, _cascade(t, patterns, choices, _last)))
+
+    return bound(text, answer)
 
 
 def loose_choice(text: Column, choices: Sequence[str] = CHOICES, script: Script | None = None) -> Column:
@@ -129,21 +137,16 @@ def loose_choice(text: Column, choices: Sequence[str] = CHOICES, script: Script
 def worked_choice(text: Column, simplified: bool = False) -> Column:
     """Answer of a worked response: the text captured after a closing marker."""
     patterns = fixed.COT_SIMPLIFIED if simplified else fixed.COT_TRADITIONAL
-    return _cascade(text, patterns, CHOICES, _last)
+    return bound(text, lambda t: _cascade(t, patterns, CHOICES, _last))
 
 
 def loose_then_worked(text: Column, simplified: bool = False, script: Script | None = None) -> Column:
     """Loose cascade, then the first three worked-answer markers as fallback."""
     patterns = (fixed.COT_SIMPLIFIED if simplified else fixed.COT_TRADITIONAL)[:3]
-    return F.coalesce(loose_choice(text, CHOICES, script if simplified else None), _cascade(text, patterns, CHOICES, _last))
+    loose = loose_choice(text, CHOICES, script if simplified else None)
+    return F.coalesce(loose, bound(text, lambda t: _cascade(t, patterns, CHOICES, _last)))
 
 
 def judge_label(reply: Column) -> Column:
     """A judge's reply as a label: trimmed, missing reply as empty text."""
     return strip(text_or_empty(reply))
-
-
-__all__ = [
-    "CHOICES", "all_choices", "convert_patterns", "judge_label", "jvm_pattern", "last_choice",
-    "leading_choice", "loose_choice", "loose_then_worked", "normalize", "worked_choice",
-]

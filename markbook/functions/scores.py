@@ -8,26 +8,36 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from markbook.functions.extract import CHOICES
+from markbook.functions.text import bound
+
+
+def _shifted(scores: Column, use) -> Column:
+    """``use(scores - max)`` so that ``exp`` stays finite; the maximum is found once."""
+    return bound(scores, lambda s: bound(F.array_max(s), lambda top: use(s, top)))
 
 
 def softmax(scores: Column) -> Column:
-    """Softmax of an array<double>, shifted by its maximum so ``exp`` stays finite."""
-    top = F.array_max(scores)
-    powers = F.transform(scores, lambda x: F.exp(x - top))
-    total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(powers, lambda x: x / total)
+    """Softmax of an array<double>."""
+
+    def shares(powers: Column) -> Column:
+        total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x)
+        return bound(total, lambda z: F.transform(powers, lambda x: x / z))
+
+    return _shifted(scores, lambda s, top: bound(F.transform(s, lambda x: F.exp(x - top)), shares))
 
 
 def choice_probabilities(logits: Column, token_ids: Sequence[int]) -> Column:
     """Softmax over the vocabulary, the choice tokens gathered, softmax again.
 
     Only the vocabulary's maximum and normaliser are needed for the first step, so
-    no vocabulary-sized array is built.
+    no second vocabulary-sized array is built.
     """
-    top = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-    gathered = F.array(*[F.exp(F.element_at(logits, i + 1) - top) / total for i in token_ids])
-    return softmax(gathered)
+
+    def gathered(s: Column, top: Column) -> Column:
+        total = F.aggregate(s, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
+        return bound(total, lambda z: F.array(*[F.exp(F.element_at(s, i + 1) - top) / z for i in token_ids]))
+
+    return softmax(_shifted(logits, gathered))
 
 
 def argmax_choice(scores: Column, choices: Sequence[str] = CHOICES) -> Column:
@@ -47,6 +57,8 @@ def argmax_sum(left: Column, right: Column, choices: Sequence[str] = CHOICES, on
     A sum with NaN or infinity fails the job, or gives null with
     ``on_invalid="null"``.
     """
-    summed = F.zip_with(left, right, lambda a, b: a + b)
     bad = F.raise_error(F.lit("summed choice scores are not finite")) if on_invalid == "error" else F.lit(None)
-    return F.when(finite(summed), argmax_choice(summed, choices)).otherwise(bad.cast("string"))
+    return bound(
+        F.zip_with(left, right, lambda a, b: a + b),
+        lambda summed: F.when(finite(summed), argmax_choice(summed, choices)).otherwise(bad.cast("string")),
+    )

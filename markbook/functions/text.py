@@ -10,19 +10,35 @@ from pyspark.sql import functions as F
 from markbook import fixed_values as fixed
 
 # Every character that Python counts as white space; the JVM's own classes leave
-# some of them out.
+# some of them out.  Once as a regex class, once as plain characters.
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0" + "".join(
+    map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+_ODD_SPACES = SPACES.replace(" ", "")
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, however often it is used.
+
+    The lambda also keeps a large expression out of the generated stage method,
+    which the JVM would otherwise find too long to compile.
+    """
+    return F.transform(F.array(value), use)[0]
 
 
 def strip(text: Column) -> Column:
     """White space of any kind removed from both ends (``trim`` knows only U+0020)."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+\\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def normalize(text: Column) -> Column:
-    """Lower case, no ASCII punctuation, single spaces: the form answers compare in."""
-    bare = F.translate(F.lower(text), fixed.PUNCTUATION, "")
-    return F.trim(F.regexp_replace(bare, f"{SPACE}+", " "))
+    """Lower case, no ASCII punctuation, single spaces: the form answers compare in.
+
+    One pass drops the punctuation and turns every white space into U+0020.
+    """
+    bare = F.translate(F.lower(text), _ODD_SPACES + fixed.PUNCTUATION, " " * len(_ODD_SPACES))
+    return F.trim(F.regexp_replace(bare, "  +", " "))
 
 
 def exact_match(left: Column, right: Column) -> Column:
@@ -47,29 +63,29 @@ def text_or_empty(text: Column) -> Column:
 class Script:
     """Traditional-to-simplified mapping: single characters and optional phrases.
 
-    Phrases win over characters and the longest phrase at a position wins, as in a
-    dictionary segmenter.  The mapping lives in the expression, so it is meant for
-    tables of a few thousand characters and a few hundred phrases.
+    Phrases win over characters, from left to right, and the longest phrase at a
+    position wins, as in a dictionary segmenter.  The mapping lives in the
+    expression, so it is meant for tables of a few thousand characters and a few
+    hundred phrases.
     """
 
     def __init__(self, chars: dict[str, str] | None = None, phrases: dict[str, str] | None = None):
         self.chars = dict(fixed.SCRIPT_CHARS if chars is None else chars)
         self.phrases = dict(phrases or {})
 
-    def _phrase_pattern(self) -> str:
+    def _pieces(self) -> str:
+        """A phrase, or a stretch without the first character of any, or one character."""
         longest_first = sorted(self.phrases, key=lambda p: (-len(p), p))
         heads = "".join(sorted({re.escape(p[0]) for p in self.phrases}))
-        return "(?s)(" + "|".join(map(re.escape, longest_first)) + f"|[^{heads}]+|.)"
+        return f"(?s)([^{heads}]+|" + "|".join(map(re.escape, longest_first)) + "|.)"
 
     def column(self, text: Column) -> Column:
         source, target = "".join(self.chars), "".join(self.chars.values())
         if not self.phrases:
             return F.translate(text, source, target)
         table = F.create_map(*[F.lit(x) for pair in self.phrases.items() for x in pair])
-        pieces = F.regexp_extract_all(text, F.lit(self._phrase_pattern()), F.lit(1))
-        mapped = F.transform(
-            pieces, lambda p: F.coalesce(F.try_element_at(table, p), F.translate(p, source, target))
-        )
+        pieces = F.regexp_extract_all(text, F.lit(self._pieces()), F.lit(1))
+        mapped = F.transform(pieces, lambda p: F.coalesce(F.try_element_at(table, p), F.translate(p, source, target)))
         return F.array_join(mapped, "")
 
     def text(self, value: str) -> str:
@@ -77,9 +93,7 @@ class Script:
         chars = str.maketrans(self.chars)
         if not self.phrases:
             return value.translate(chars)
-        return re.sub(
-            self._phrase_pattern(), lambda m: self.phrases.get(m[0], m[0].translate(chars)), value
-        )
+        return re.sub(self._pieces(), lambda m: self.phrases.get(m[0], m[0].translate(chars)), value)
 
     def messages(self, messages: Column) -> Column:
         """Each message's content converted."""

@@ -73,6 +73,11 @@ def completeness(ledger: DataFrame, n_subjects: int, distinct: bool = False) ->
     return ledger.groupBy("model").agg(counted.alias("n_rows")).withColumn("complete", F.col("n_rows") == n_subjects)
 
 
+def _named(categories: Sequence[str]) -> list[Column]:
+    """Category columns; their names may hold dots and spaces."""
+    return [F.col(f"`{c}`") for c in categories]
+
+
 def _report(ledger: DataFrame, dimension: DataFrame, categories: Sequence[str], category: str, n_categories: int | None) -> DataFrame:
     """One row per model: row count, a column per category, average, first place.
 
@@ -113,7 +118,7 @@ def leaderboard(
         rows = rows.where(F.col("n_rows") == n_subjects)
     # One row per model by now, so a single ordered window is small.
     place = Window.orderBy(F.col("average").desc(), F.col("seq"))
-    return rows.select(F.row_number().over(place).alias("rank"), "model", *categories, "average").orderBy("rank")
+    return rows.select(F.row_number().over(place).alias("rank"), "model", *_named(categories), "average").orderBy("rank")
 
 
 def incomplete_models(
@@ -121,7 +126,7 @@ def incomplete_models(
 ) -> DataFrame:
     """The models that are not ranked: row count, category means, average."""
     rows = _report(ledger, dimension, categories, category, len(categories))
-    return rows.where(F.col("n_rows") != n_subjects).select("model", "n_rows", *categories, "average")
+    return rows.where(F.col("n_rows") != n_subjects).select("model", "n_rows", *_named(categories), "average")
 
 
 def bank_stats(bank: DataFrame, dimension: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ are marked, so neither a marking error nor a lost executor repeats the inference
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,7 @@ from markbook.functions.text import Script
 from markbook.operators import fewshot, inference, report, routing, runs
 from markbook.plans.backends import Backend
 from markbook.plans.joins import join_small
+from markbook.session import cut_lineage
 from markbook.sources import results
 
 
@@ -116,6 +118,12 @@ def mark_replies(
     return scoring.marks(rows, policy, simplified=script is not None, choices=choices, script=script)
 
 
+def _kept(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` written to a shared folder and read back."""
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
@@ -138,12 +146,14 @@ def evaluate(
     max_samples: int | None = None,
     resume_by=("model", "subject"),
     split: str = "test",
+    concurrency: int | None = None,
     **options,
 ) -> DataFrame:
     """Run all pending (model, subject) ``tasks`` and append their accuracies.
 
-    Writes ``responses``, ``scored`` and ``ledger`` under ``out``, which must be a
-    folder all executors share, and returns this run's accuracies.
+    Writes ``stages``, ``scored`` and ``ledger`` under ``out``, which must be a
+    folder all executors share, and returns this run's accuracies.  ``concurrency``
+    is the number of tasks that call the model.
     """
     if parsing == "llm" and not backend.judge:
         raise ValueError(f"backend {backend.name} does not support judge marking")
@@ -154,6 +164,8 @@ def evaluate(
     if path_exists(spark, ledger):
         tasks = runs.pending_tasks(tasks, results.read_ledger(spark, ledger), resume_by)
 
+    tasks = cut_lineage(tasks)  # read three times below, and the ledger grows meanwhile
+
     test = bank.where(F.col("split") == split).drop("split", "explanation")
     if max_samples is not None:
         test = runs.cap_samples(test, max_samples)
@@ -163,20 +175,20 @@ def evaluate(
     if templates is not None and backend.render == "chat":
         rows = routing.with_tokens(rows, templates, "model")
         tokens = F.col("tokens")
+    if concurrency:
+        # Spread before the prompts are built: the rows are still short.
+        rows = rows.repartition(concurrency)
     prompts = build_prompts(rows, bank.where(F.col("split") == "train"), backend, k, cot, names, choices, tokens, script)
 
     params = routing.backend_params(F.lit(backend.name), F.lit(cot), F.col("model"))
     replies = inference.batch_generate(prompts, make, params=params, fold_on_server_error=backend.resend_folded, **options)
     stop = F.col("tokens")["end_token"] if tokens is not None else None
     replies = inference.clean_response(replies, stop).drop("tokens", "prompt")
-    results.write_scored(replies, f"{out}/responses")
-
-    answered = results.read_scored(spark, f"{out}/responses", replies.schema)
-    answered = join_small(answered, tasks, key, "left_semi")
+    # Written as they come, without a shuffle: an answered batch is never lost again.
+    stage = f"{out}/stages/{uuid.uuid4().hex}"
+    answered = _kept(replies, f"{stage}/responses")
     if parsing == "llm" or backend.shot_rule == "judge":
-        judged = inference.judge(answered, judge_make, **options)
-        results.write_scored(judged, f"{out}/judged")
-        answered = join_small(results.read_scored(spark, f"{out}/judged", judged.schema), tasks, key, "left_semi")
+        answered = _kept(inference.judge(answered, judge_make, **options), f"{stage}/judged")
     marked = mark_replies(answered, backend, k != 0, cot, parsing, script, choices)
     results.write_scored(marked, f"{out}/scored")
 
