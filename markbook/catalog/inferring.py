@@ -16,6 +16,7 @@ from markbook.catalog.prompting import BLOCK, K, OPTIONS, SYSTEM, USER, sql_text
 from markbook.catalog.registry import query
 from markbook.functions import blocks, scoring
 from markbook.operators import inference
+from markbook.operators.inference import ServerError
 from markbook.plans.backends import BACKENDS
 from markbook.plans.evaluate import evaluate
 
@@ -62,7 +63,7 @@ def picky_model():
         if len(prompts) > 1:
             raise RuntimeError("one prompt at a time")
         if any(c in prompts[0] for c in "【】（）") or len(prompts[0]) % 3 == 0:
-            raise inference.ServerError("rejected")
+            raise ServerError("rejected")
         return [f"{params[0]['temperature']} {prompts[0]}"]
 
     return call

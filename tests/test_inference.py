@@ -152,3 +152,23 @@ def test_evaluate_vector_and_judge_backends(spark, bank, tmp_path):
     assert done[0]["n_correct"] == 2
     with pytest.raises(ValueError, match="does not support judge"):
         evaluate(bank, tasks(spark, ("m", "s1")), BACKENDS["groq"], always("A"), str(tmp_path / "x"), parsing="llm")
+
+
+def test_workers_need_no_installed_copy(tmp_path):
+    """Run from another folder: the functions must travel with the job."""
+    import os
+    import subprocess
+    import sys
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("tables not present")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r}); import __spark_entry__ as e; sys.path.remove({root!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "print('rows', e.queries()['retry_alternate'](spark, '/root/testdata/sf0.001').count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert "rows 200" in done.stdout, done.stderr[-2000:]
