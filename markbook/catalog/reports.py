@@ -132,7 +132,7 @@ QUOTED = ", ".join(f'"{c}"' for c in CATS)
 @query(
     "leaderboard",
     sql_report(WITH_LEDGER + means_with_order(), CATS, len(CATS))
-    + f" SELECT CAST(row_number() OVER (ORDER BY average DESC, seq) AS INT) AS rank, model, {QUOTED}, round(average, 6) AS average FROM grouped",
+    + f" SELECT CAST(row_number() OVER (ORDER BY round(average, 9) DESC, seq, model) AS INT) AS rank, model, {QUOTED}, round(average, 6) AS average FROM grouped",
 )
 def leaderboard(spark, sf):
     board = report.leaderboard(exam_ledger(spark, sf), fx.subject_supercategory(spark, sf), CATS, None)
@@ -142,7 +142,7 @@ def leaderboard(spark, sf):
 @query(
     "leaderboard_gated",
     sql_report(WITH_LEDGER + means_with_order(), CATS, len(CATS))
-    + f" SELECT CAST(row_number() OVER (ORDER BY average DESC, seq) AS INT) AS rank, model, {QUOTED}, round(average, 6) AS average "
+    + f" SELECT CAST(row_number() OVER (ORDER BY round(average, 9) DESC, seq, model) AS INT) AS rank, model, {QUOTED}, round(average, 6) AS average "
     f"FROM grouped WHERE n_rows = {fx.N_SUBJECTS}",
 )
 def leaderboard_gated(spark, sf):
@@ -153,7 +153,7 @@ def leaderboard_gated(spark, sf):
 @query(
     "leaderboard_lines",
     sql_report(LINE_LEDGER + means_with_order(), CATS, len(CATS))
-    + f" SELECT CAST(row_number() OVER (ORDER BY average DESC, seq) AS INT) AS rank, model, {QUOTED}, round(average, 6) AS average "
+    + f" SELECT CAST(row_number() OVER (ORDER BY round(average, 9) DESC, seq, model) AS INT) AS rank, model, {QUOTED}, round(average, 6) AS average "
     f"FROM grouped WHERE n_rows = {fx.N_SUBJECTS}",
 )
 def leaderboard_lines(spark, sf):
@@ -274,7 +274,7 @@ TOP_OF = "CASE " + " ".join(f"WHEN category = '{c}' THEN '{t}'" for t, names in
     "FROM l JOIN d ON l.place = d.place GROUP BY 1, 2), "
     "g AS (SELECT model, sum(n) AS n_rows, min(first) AS seq, sum(mean_accuracy) / 4 AS mean, "
     + ", ".join(f"""round(max(CASE WHEN top = '{t}' THEN mean_accuracy END), 4) AS "{t}" """ for t in TOPS)
-    + " FROM m GROUP BY model) SELECT CAST(row_number() OVER (ORDER BY mean DESC, seq) AS INT) AS rank, model, "
+    + " FROM m GROUP BY model) SELECT CAST(row_number() OVER (ORDER BY round(mean, 9) DESC, seq, model) AS INT) AS rank, model, "
     + ", ".join(f'"{t}"' for t in TOPS)
     + ", round(mean, 4) AS average FROM g WHERE n_rows = 66",
 )

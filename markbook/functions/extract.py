@@ -9,13 +9,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from markbook import fixed_values as fixed
-from markbook.functions.text import SPACE, Script, bound, strip, text_or_empty
+from markbook.functions.text import SPACE, Script, strip, text_or_empty
 
 CHOICES = ("A", "B", "C", "D")
 _WORD = r"[\p{L}\p{N}_]"
@@ -36,21 +35,28 @@ def jvm_pattern(pattern: str, choices: Sequence[str] = CHOICES) -> str:
 
 def _literal_start(pattern: str) -> str:
     """The plain text every match of the pattern begins with (may be empty)."""
-    plain = re.match(r"[^\\\[\](){}.*+?^$|]*", pattern)[0]
-    rest = pattern[len(plain):]
-    return plain[:-1] if rest[:1] in ("?", "*") else plain
+    if "|" in pattern:
+        return ""
+    plain = re.match(r"[^\\\[\](){}.*+?^$]*", pattern)[0]
+    optional = pattern[len(plain) : len(plain) + 1] in ("?", "*", "{")
+    return plain[:-1] if optional else plain
 
 
-def _attempts(text: Column, patterns: Sequence[str], choices: Sequence[str], hit) -> list[Column]:
-    """One guarded attempt per pattern; a plain-text test runs before the regex."""
-    out = []
-    for pattern in dict.fromkeys(patterns):
-        jvm, start = jvm_pattern(pattern, choices), _literal_start(pattern)
-        found = text.rlike(jvm)
-        if start:
-            found = text.contains(start) & found
-        out.append(F.when(found, hit(F.regexp_extract_all(text, F.lit(jvm), F.lit(1)))))
-    return out
+def _quoted(plain: str) -> str:
+    return "'" + plain.replace("'", "\\'") + "'"
+
+
+def _raw(pattern: str) -> str:
+    """The pattern as a raw SQL literal."""
+    return "r'" + pattern.replace("'", r"\x27") + "'"
+
+
+def _attempt(pattern: str, choices: Sequence[str], every: bool) -> str:
+    """One guarded attempt as SQL over ``t``; a plain-text test runs before the regex."""
+    literal, start = _raw(jvm_pattern(pattern, choices)), _literal_start(pattern)
+    found = f"regexp_extract_all(t, {literal}, 1)"
+    guard = f"contains(t, {_quoted(start)}) AND " if start else ""
+    return f"CASE WHEN {guard}t RLIKE {literal} THEN {found if every else f'try_element_at({found}, -1)'} END"
 
 
 def _shared_marker(pattern: str) -> str:
@@ -59,10 +65,12 @@ def _shared_marker(pattern: str) -> str:
     return "答案" if "答案" in start else start
 
 
-def _cascade(text: Column, patterns: Sequence[str], choices: Sequence[str], hit) -> Column:
-    """Patterns in order, neighbours with one marker behind one plain-text test.
+def _cascade(patterns: Sequence[str], choices: Sequence[str], every: bool = False) -> str:
+    """Patterns in order as SQL over ``t``: the last match of the first that matches.
 
-    Runs keep the priority order; a response without the marker skips the run.
+    Neighbours with one marker sit behind one plain-text test.  Runs keep the
+    priority order; a response without the marker skips the run.  ``every`` gives
+    all matches instead of the last.
     """
     runs: list[tuple[str, list[str]]] = []
     for pattern in dict.fromkeys(patterns):
@@ -73,13 +81,15 @@ def _cascade(text: Column, patterns: Sequence[str], choices: Sequence[str], hit)
             runs.append((marker, [pattern]))
     steps = []
     for marker, members in runs:
-        step = F.coalesce(*_attempts(text, members, choices, hit))
-        steps.append(F.when(text.contains(marker), step) if len(members) > 1 else step)
-    return F.coalesce(*steps)
+        step = "coalesce(" + ", ".join(_attempt(p, choices, every) for p in members) + ")"
+        steps.append(f"CASE WHEN contains(t, {_quoted(marker)}) THEN {step} END" if len(members) > 1 and marker else step)
+    return "coalesce(" + ", ".join(steps) + ")"
 
 
-def _last(found: Column) -> Column:
-    return F.try_element_at(found, F.lit(-1))
+def _bound_sql(text: Column, body: str) -> Column:
+    """``text.bound`` for a body written in SQL over ``t``: a long cascade is parsed
+    in one call instead of being put together from a thousand."""
+    return F.call_function("transform", F.array(text), F.expr(f"t -> {body}"))[0]
 
 
 def convert_patterns(patterns: Sequence[str], script: Script | None) -> list[str]:
@@ -93,6 +103,10 @@ def leading_choice(text: Column, choices: Sequence[str] = CHOICES) -> Column:
     return F.when(first.isin(*choices), first)
 
 
+def _letters(choices: Sequence[str]) -> str:
+    return ", ".join(map(_quoted, choices))
+
+
 def all_choices(
     text: Column,
     patterns: Sequence[str] = fixed.CASCADE,
@@ -100,13 +114,8 @@ def all_choices(
     script: Script | None = None,
 ) -> Column:
     """Every match of the deciding pattern, as an array; null if none matches."""
-    patterns = convert_patterns(patterns, script)
-
-    def matches(t: Column) -> Column:
-        lead = leading_choice(t, choices)
-        return F.coalesce(F.when(lead.isNotNull(), F.array(lead)), _cascade(t, patterns, choices, lambda found: found))
-
-    return bound(text, matches)
+    body = _cascade(convert_patterns(patterns, script), choices, every=True)
+    return _bound_sql(text, f"CASE WHEN left(t, 1) IN ({_letters(choices)}) THEN array(left(t, 1)) ELSE {body} END")
 
 
 def last_choice(
@@ -117,16 +126,14 @@ def last_choice(
 ) -> Column:
     """The extracted answer: leading letter, else the last match of the cascade.
 
-    A response without any answer letter skips the cascade, since every pattern
+    A response without any answer letter skips the cascade if every pattern
     captures one.
     """
-    patterns = convert_patterns(patterns, script)
-
-    def answer(t: Column) -> Column:
-        letter = reduce(lambda a, b: a | b, [t.contains(c) for c in choices])
-        return F.coalesce(leading_choice(t, choices), F.when(letter, _cascade(t, patterns, choices, _last)))
-
-    return bound(text, answer)
+    body = _cascade(convert_patterns(patterns, script), choices)
+    letter = "true"
+    if all("([A-D])" in p for p in patterns):
+        letter = " OR ".join(f"contains(t, {_quoted(c)})" for c in choices)
+    return _bound_sql(text, f"CASE WHEN left(t, 1) IN ({_letters(choices)}) THEN left(t, 1) WHEN {letter} THEN {body} END")
 
 
 def loose_choice(text: Column, choices: Sequence[str] = CHOICES, script: Script | None = None) -> Column:
@@ -137,14 +144,14 @@ def loose_choice(text: Column, choices: Sequence[str] = CHOICES, script: Script
 def worked_choice(text: Column, simplified: bool = False) -> Column:
     """Answer of a worked response: the text captured after a closing marker."""
     patterns = fixed.COT_SIMPLIFIED if simplified else fixed.COT_TRADITIONAL
-    return bound(text, lambda t: _cascade(t, patterns, CHOICES, _last))
+    return _bound_sql(text, _cascade(patterns, CHOICES))
 
 
 def loose_then_worked(text: Column, simplified: bool = False, script: Script | None = None) -> Column:
     """Loose cascade, then the first three worked-answer markers as fallback."""
     patterns = (fixed.COT_SIMPLIFIED if simplified else fixed.COT_TRADITIONAL)[:3]
     loose = loose_choice(text, CHOICES, script if simplified else None)
-    return F.coalesce(loose, bound(text, lambda t: _cascade(t, patterns, CHOICES, _last)))
+    return F.coalesce(loose, _bound_sql(text, _cascade(patterns, CHOICES)))
 
 
 def judge_label(reply: Column) -> Column:

@@ -116,8 +116,9 @@ def leaderboard(
     rows = _report(ledger, dimension, categories, category, divisor)
     if n_subjects is not None:
         rows = rows.where(F.col("n_rows") == n_subjects)
-    # One row per model by now, so a single ordered window is small.
-    place = Window.orderBy(F.col("average").desc(), F.col("seq"))
+    # One row per model by now, so a single ordered window is small.  The last digits
+    # of a mean depend on the order of adding, so they do not decide between models.
+    place = Window.orderBy(F.round("average", 9).desc(), "seq", "model")
     return rows.select(F.row_number().over(place).alias("rank"), "model", *_named(categories), "average").orderBy("rank")
 
 

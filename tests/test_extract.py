@@ -99,3 +99,10 @@ def test_patterns_converted_for_simplified_text(values):
 def test_cascade_is_one_native_projection(spark):
     plan = plan_of(spark.range(5).select(F.col("id").cast("string").alias("text")).select(extract.last_choice(TEXT)))
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_own_patterns(values):
+    patterns = [r"it's ([A-D])|so ([A-D])", r"x{0,2}=(\d)", r"選?項([A-D])"]
+    texts = ["it's B", "so C", "=7", "xx=8 =9", "項D", "none"]
+    want = ["B", "", "7", "9", "D", None]
+    assert values(texts, extract.last_choice(TEXT, patterns)) == want
