@@ -115,10 +115,9 @@ PHRASE_PATTERN = "(?s)(該應該|應該|為n|[^應該為]+|.)"
     f"ELSE translate(p, '{''.join(CODES)}', '{''.join(CODES.values())}') END), '') AS by_phrase FROM documents",
 )
 def to_simplified(spark, sf):
-    text = F.expr(TRADITIONAL_TEXT)
-    return fx.table(spark, sf, "documents").select(
-        "doc_id", Script(CODES).column(text).alias("by_char"), Script(CODES, PHRASES).column(text).alias("by_phrase")
-    )
+    rows = fx.table(spark, sf, "documents").select("doc_id", F.expr(TRADITIONAL_TEXT).alias("text"))
+    by_char, by_phrase = Script(CODES).column(F.col("text")), Script(CODES, PHRASES).column(F.col("text"))
+    return rows.select("doc_id", by_char.alias("by_char"), by_phrase.alias("by_phrase"))
 
 
 STOP = "CASE WHEN doc_id % 7 = 0 THEN '' ELSE substr(text, 11, 2) END"

@@ -73,27 +73,34 @@ class Script:
         self.chars = dict(fixed.SCRIPT_CHARS if chars is None else chars)
         self.phrases = dict(phrases or {})
 
-    def _pieces(self) -> str:
-        """A phrase, or a stretch without the first character of any, or one character."""
+    def _phrase(self) -> str:
+        """Any phrase, the longest first, tried only where one can begin."""
         longest_first = sorted(self.phrases, key=lambda p: (-len(p), p))
         heads = "".join(sorted({re.escape(p[0]) for p in self.phrases}))
-        return f"(?s)([^{heads}]+|" + "|".join(map(re.escape, longest_first)) + "|.)"
+        return f"(?=[{heads}])(" + "|".join(map(re.escape, longest_first)) + ")"
 
     def column(self, text: Column) -> Column:
         source, target = "".join(self.chars), "".join(self.chars.values())
         if not self.phrases:
             return F.translate(text, source, target)
         table = F.create_map(*[F.lit(x) for pair in self.phrases.items() for x in pair])
-        pieces = F.regexp_extract_all(text, F.lit(self._pieces()), F.lit(1))
-        mapped = F.transform(pieces, lambda p: F.coalesce(F.try_element_at(table, p), F.translate(p, source, target)))
-        return F.array_join(mapped, "")
+        # The stretches between the phrases and the phrases themselves take turns.
+        between = F.split(text, self._phrase(), -1)
+        phrases = F.regexp_extract_all(text, F.lit(self._phrase()), F.lit(1))
+        converted = F.zip_with(
+            between,
+            phrases,
+            lambda b, p: F.concat(F.translate(b, source, target), F.coalesce(F.try_element_at(table, p), F.lit(""))),
+        )
+        return F.array_join(converted, "")
 
     def text(self, value: str) -> str:
         """The same conversion of a driver-side constant, such as a pattern."""
         chars = str.maketrans(self.chars)
         if not self.phrases:
             return value.translate(chars)
-        return re.sub(self._pieces(), lambda m: self.phrases.get(m[0], m[0].translate(chars)), value)
+        pieces = re.split(self._phrase(), value)
+        return "".join(self.phrases[p] if i % 2 else p.translate(chars) for i, p in enumerate(pieces))
 
     def messages(self, messages: Column) -> Column:
         """Each message's content converted."""
