@@ -13,19 +13,23 @@ def message_parts(turns: DataFrame, key: str, order: str, role: str = "role", co
     turns in several parts, all kept, so no array grows with the conversation;
     ``role_before`` and ``is_last`` let a renderer join the parts without a seam.
     """
-    rows = turns.withColumn("part", F.floor(F.col(order) / part_turns))
-    arrays = rows.groupBy(key, "part").agg(
+    # A struct key is never null, so the join below keeps turns without a key.
+    rows = turns.withColumn("_at", F.struct(F.col(key).alias("key"), F.floor(F.col(order) / part_turns).alias("part")))
+    arrays = rows.groupBy("_at").agg(
         F.array_sort(F.collect_list(F.struct(F.col(order), F.col(role).alias("role"), F.col(content).alias("content")))).alias("_t")
     )
-    arrays = arrays.select(
-        key, "part", F.transform("_t", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages")
-    )
     # Seams from the roles alone: no message text takes part in this window.
-    ends = rows.groupBy(key, "part").agg(F.max_by(role, order).alias("_role"))
-    along = Window.partitionBy(key).orderBy("part")
+    ends = rows.groupBy("_at").agg(F.max_by(role, order).alias("_role"))
+    along = Window.partitionBy(F.col("_at")["key"]).orderBy(F.col("_at")["part"])
     seams = ends.select(
-        key, "part",
+        "_at",
         F.lag("_role").over(along).alias("role_before"),
-        F.lead("part").over(along).isNull().alias("is_last"),
+        F.lead("_at").over(along).isNull().alias("is_last"),
+    )
+    return arrays.join(seams, "_at").select(
+        F.col("_at")["key"].alias(key),
+        F.col("_at")["part"].alias("part"),
+        F.transform("_t", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages"),
+        "role_before",
+        "is_last",
     )
-    return arrays.join(seams, [key, "part"])

@@ -18,12 +18,18 @@ WINDOW_LIMIT = 1000
 
 
 def _starts(df: DataFrame, keys: list[str], order: str, values: dict[str, Column], width: int) -> tuple[DataFrame, DataFrame]:
-    """(rows with their stretch, one row per stretch with the totals before it)."""
-    rows = df.withColumn("_stretch", F.floor(F.col(order) / width))
-    totals = rows.groupBy(*keys, "_stretch").agg(*[F.sum(v).alias(f"_sum_{name}") for name, v in values.items()])
-    before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    """(rows with their stretch ``_at``, one row per stretch with the totals before it).
+
+    ``_at`` is a struct of the group and the stretch.  A struct is never null, so
+    joining on it keeps the rows of a null group too.
+    """
+    stretch = F.floor(F.col(order) / width).alias("_stretch")
+    rows = df.withColumn("_at", F.struct(*keys, stretch))
+    totals = rows.groupBy("_at").agg(*[F.sum(v).alias(f"_sum_{name}") for name, v in values.items()])
+    group = [F.col("_at")[k] for k in keys]
+    before = Window.partitionBy(*group).orderBy(F.col("_at")["_stretch"]).rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
-        *keys, "_stretch",
+        "_at",
         *[F.coalesce(F.sum(f"_sum_{name}").over(before), F.lit(0)).alias(f"_start_{name}") for name in values],
     )
     return rows, starts
@@ -35,8 +41,8 @@ def running_totals(df: DataFrame, keys: list[str], order: str, values: dict[str,
     The join and the window use the same keys, so the rows are shuffled once.
     """
     rows, starts = _starts(df, keys, order, values, width)
-    upto = Window.partitionBy(*keys, "_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = rows.join(starts, [*keys, "_stretch"])
+    upto = Window.partitionBy("_at").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = rows.join(starts, "_at")
     return joined.select(
         *df.columns,
         *[(F.col(f"_start_{name}") + F.coalesce(F.sum(v).over(upto), F.lit(0))).alias(name) for name, v in values.items()],
@@ -50,7 +56,7 @@ def first_rows(df: DataFrame, keys: list[str], order: str, n: int, width: int =
         return df.withColumn("rank", F.row_number().over(by_order)).where(F.col("rank") <= n)
     rows, starts = _starts(df, keys, order, {"rank": F.lit(1)}, width)
     # Stretches that begin past the cap leave before any row is ranked.
-    kept = rows.join(starts.where(F.col("_start_rank") < n), [*keys, "_stretch"])
-    within = Window.partitionBy(*keys, "_stretch").orderBy(order)
+    kept = rows.join(starts.where(F.col("_start_rank") < n), "_at")
+    within = Window.partitionBy("_at").orderBy(order)
     ranked = kept.withColumn("rank", (F.col("_start_rank") + F.row_number().over(within)).cast("int"))
     return ranked.where(F.col("rank") <= n).select(*df.columns, "rank")

@@ -15,7 +15,8 @@ from markbook.sources import bank, dims, results
 def hot_rows(seed=1, n=3000):
     rng = random.Random(seed)
     order = rng.sample(range(50_000), n)
-    return [(("hot" if rng.random() < 0.5 else f"g{rng.randint(0, 20)}"), o, rng.randint(0, 1)) for o in order]
+    names = [None, "", *(f"g{i}" for i in range(20))]
+    return [(("hot" if rng.random() < 0.5 else rng.choice(names)), o, rng.randint(0, 1)) for o in order]
 
 
 def test_running_totals_equal_brute_force(spark):
