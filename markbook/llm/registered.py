@@ -1,4 +1,4 @@
 """All queries of this folder."""
 
-from markbook.llm import packing, secrets, topk, warc  # noqa: F401
+from markbook.llm import langid, packing, secrets, topk, toxicity, warc  # noqa: F401
 from markbook.llm.common import QUERIES, SQL  # noqa: F401
