@@ -1,4 +1,4 @@
 """All queries of this folder."""
 
-from markbook.llm import decontamination, html, langid, near_duplicates, packing, secrets, topk, toxicity, warc  # noqa: F401
+from markbook.llm import decontamination, html, langid, near_duplicates, packing, secrets, suffixes, topk, toxicity, warc  # noqa: F401
 from markbook.llm.common import QUERIES, SQL  # noqa: F401
