@@ -1,4 +1,9 @@
-"""All queries of this folder."""
+"""All queries of this folder, and the pipeline at the top of the repository."""
 
+import corpus_pipeline
 from markbook.llm import decontamination, html, langid, near_duplicates, packing, secrets, suffixes, topk, toxicity, warc  # noqa: F401
 from markbook.llm.common import QUERIES, SQL  # noqa: F401
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

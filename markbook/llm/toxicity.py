@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -167,17 +168,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     # At most 2 x sample ids: a bounded broadcast.
     texts = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = texts.where("text IS NOT NULL").dropDuplicates(["doc_id"]).orderBy("toxic", "n").select("text", "toxic").collect()
-    return fit([(r.text, r.toxic) for r in sorted(rows, key=lambda r: hash_order(r.text))], share)
+    return fit([(r.text, r.toxic) for r in sorted(rows, key=lambda r: zlib.crc32(r.text.encode()))], share)
 
 
-def hash_order(text: str) -> int:
-    import zlib
-
-    return zlib.crc32(text.encode())
-
-
-def score(docs: DataFrame, distance: Distance, model: Logistic | None) -> DataFrame:
-    """``docs`` plus ``score`` (0 to 1) from the whole text.  A null or empty text has no windows and is scored as such;
+def score(docs: DataFrame, distance: Distance, model: Logistic | None, name: str = "score") -> DataFrame:
+    """``docs`` plus column ``name`` (0 to 1) from the whole text.  A null or empty text has no windows and is scored as such;
     with nothing learned the score is 0."""
     shared = docs.sparkSession.sparkContext.broadcast((distance, model))
 
@@ -191,7 +186,7 @@ def score(docs: DataFrame, distance: Distance, model: Logistic | None) -> DataFr
             else:
                 yield pd.Series(model(features([count(t or "") for t in texts])) if len(texts) else [], dtype="float64")
 
-    return docs.withColumn("score", scored("text"))
+    return docs.withColumn(name, scored("text"))
 
 
 @query("op5_toxicity")
