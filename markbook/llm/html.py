@@ -86,6 +86,8 @@ class _Lines(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self._end_line()
+            while self.counts["p"]:  # a paragraph ends where another block begins
+                self._close()
         if not self.silent:
             self.tags += 1
         if tag in CLOSES:

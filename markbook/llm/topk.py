@@ -50,7 +50,8 @@ def search_block(qids, q, cids, c, k: int):
     """(query id, candidate id, score) of the k best of one block of candidates for every query; q, c are dims x rows."""
     dims = q.shape[0]
     if dims and np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * dims >= EXACT:
-        return _search_wide(qids, q, cids, c, k)
+        yield from _search_wide(qids, q, cids, c, k)
+        return
     cuts = list(range(DIMS, dims, DIMS)) + [dims]
     left_q, left_c = _remaining(q, cuts), _remaining(c, cuts)
     first = q[: cuts[0]].T @ c[: cuts[0]]
@@ -99,18 +100,15 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     def score(batches):
         for rows in batches:
             for r in rows.itertuples():
-                side = lambda ids, v: (np.frombuffer(ids, np.int64), np.frombuffer(v, np.float64).reshape(r.dims, -1))
-                qids, q = side(r.lane_ids, r.lane_v)
-                cids, c = side(r.slab_ids, r.slab_v)
-                if r.dims == 0:
-                    q, c = np.zeros((1, len(qids))), np.zeros((1, len(cids)))
+                qids, cids = np.frombuffer(r.lane_ids, np.int64), np.frombuffer(r.slab_ids, np.int64)
+                q = np.frombuffer(r.lane_v, np.float64).reshape(r.dims, len(qids))
+                c = np.frombuffer(r.slab_v, np.float64).reshape(r.dims, len(cids))
                 found = list(search_block(qids, q, cids, c, k))
                 yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     units = lanes.hint("shuffle_hash").join(slabs, ["dims", "slab", "lane"])
     found = units.mapInPandas(score, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    # A query row that is repeated is one query: its candidates are told apart by their place among equal ids.
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
