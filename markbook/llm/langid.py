@@ -124,11 +124,15 @@ def held_out(doc_id):
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     """Train on at most ``sample`` documents of each language, those least by a hash of the id; None without any."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    languages = sorted(r.lang for r in known.select("lang").distinct().limit(LANGUAGES + 1).collect())
+    rows = {r.lang: r["count"] for r in known.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    languages = sorted(rows)
     if len(languages) > LANGUAGES:
         raise ValueError(f"over {LANGUAGES} languages")
     if not languages:
         return None
+    # A share of each language's rows by their hash comes near the sample's size, so that few rows are ranked.
+    near = F.create_map(*[F.lit(x) for lang, n in rows.items() for x in (lang, min(1.0, 1.2 * (sample + 50) / n))])
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.element_at(near, F.col("lang")) * (1 << 30))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     rows = (known.select("doc_id", "lang", F.substring("text", 1, CROP).alias("text"))
             .withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("lang", "n", "text").collect())

@@ -106,6 +106,9 @@ def features(counts: np.ndarray) -> np.ndarray:
     """Shares and damped numbers of windows by saving, the text's length and its mean saving."""
     counts = np.asarray(counts, np.float64).reshape(-1, STEPS)
     n = np.maximum(counts.sum(axis=1, keepdims=True), 1)
+    # A text longer than those learned from counts as one of their length with the same shares.
+    longest = SAMPLE_CHARS / WINDOW
+    counts, n = counts * np.minimum(1, longest / n), np.minimum(n, longest)
     above = counts[:, ::-1].cumsum(axis=1)[:, ::-1][:, 1:]
     mean = (counts * np.arange(STEPS)).sum(axis=1, keepdims=True) / n
     return np.hstack([above / n, np.log1p(above), np.log(n), mean, np.sqrt(mean)])
@@ -163,8 +166,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     share = known.agg(F.avg("toxic")).first()[0]
     if share is None or not 0 < share < 1:
         return Distance(b"", b""), None
+    # A share of each label's rows by their hash comes near the sample's size, so that few rows are ranked.
+    rows = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    near = F.when(F.col("toxic") == 1, sample / rows[1]).otherwise(sample / rows[0]) * 1.2 + 100 / min(rows.values())
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < near * (1 << 30)).withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
     # At most 2 x sample ids: a bounded broadcast.
     texts = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = texts.where("text IS NOT NULL").dropDuplicates(["doc_id"]).orderBy("toxic", "n").select("text", "toxic").collect()
