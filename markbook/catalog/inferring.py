@@ -10,15 +10,18 @@ import sys
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from markbook import fixed_values as fixed
 from markbook import session
 from markbook.catalog import fixtures as fx
-from markbook.catalog.prompting import BLOCK, K, OPTIONS, SYSTEM, USER, sql_text
+from markbook.catalog.prompting import BASE_STEM, BLOCK, INSTRUCT_STEM, K, OPTIONS, PAIR_ANSWER, PAIR_QUERY, SYSTEM, USER, sql_text
 from markbook.catalog.registry import query
 from markbook.functions import blocks, scoring
+from markbook.functions.text import Script
 from markbook.operators import inference
 from markbook.operators.inference import ServerError
 from markbook.plans.backends import BACKENDS
-from markbook.plans.evaluate import evaluate
+from markbook.plans.evaluate import build_prompts, evaluate
+from markbook.sources import results
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -34,24 +37,62 @@ def letter_model():
     return lambda prompts, params: [f"答案：{'ABCD'[len(p) % 4]}<|im_end|>more" for p in prompts]
 
 
+def _letter(prompt):
+    return "ABCD"[len(prompt) % 4]
+
+
+def worked_model():
+    """The same letter at the end of a worked answer."""
+    return lambda prompts, params: [f"讓我們一步一步思考，\n所以答案是{_letter(p)}。" for p in prompts]
+
+
+def bare_model():
+    """The letter alone."""
+    return lambda prompts, params: [_letter(p) for p in prompts]
+
+
+def vector_model():
+    """A score vector whose largest value is the letter's."""
+    return lambda prompts, params: [str([float(c == _letter(p)) for c in "ABCD"]) for p in prompts]
+
+
+def summed_model():
+    """Two vectors that only together put the letter first."""
+
+    def call(prompts, params):
+        out = []
+        for p in prompts:
+            place = len(p) % 4
+            one, two = [0.0] * 4, [0.0] * 4
+            one[place], two[place], one[(place + 1) % 4], two[(place + 2) % 4] = 2.0, 2.0, 3.0, 3.0
+            out.append(str([one, two]))
+        return out
+
+    return call
+
+
+def failing_model():
+    """Answers with a letter, but never where the prompt's length leaves 1 by 5."""
+    return lambda prompts, params: [ConnectionError("down") if len(p) % 5 == 1 else f"答案：{_letter(p)}" for p in prompts]
+
+
 def flaky_model():
     """Depending on the prompt's length: late twice, always failing, silent, or fine."""
-    state = {"prompt": None, "calls": 0}
+    rounds: dict[str, int] = {}
 
     def call(prompts, params):
-        if len(prompts) > 1:
-            raise RuntimeError("one prompt at a time")
-        prompt = prompts[0]
-        state["calls"] = state["calls"] + 1 if state["prompt"] == prompt else 1
-        state["prompt"] = prompt
-        kind = len(prompt) % 5
-        if kind == 0 and state["calls"] < 3:
-            raise TimeoutError("timeout=600")
-        if kind == 1:
-            state["prompt"] = None
-            raise ValueError("bad reply")
-        state["prompt"] = None
-        return [None if kind == 2 else f"ok {params[0]['max_tokens']}"]
+        for p in set(prompts):
+            rounds[p] = rounds.get(p, 0) % 3 + 1
+        out = []
+        for p, o in zip(prompts, params):
+            kind = len(p) % 5
+            if kind == 0 and rounds[p] < 3:
+                out.append(TimeoutError("timeout=600"))
+            elif kind == 1:
+                out.append(ValueError("bad reply"))
+            else:
+                out.append(None if kind == 2 else f"ok {o['max_tokens']}")
+        return out
 
     return call
 
@@ -60,11 +101,10 @@ def picky_model():
     """Rejects exotic brackets outright, and texts of one length whatever they hold."""
 
     def call(prompts, params):
-        if len(prompts) > 1:
-            raise RuntimeError("one prompt at a time")
-        if any(c in prompts[0] for c in "【】（）") or len(prompts[0]) % 3 == 0:
-            raise ServerError("rejected")
-        return [f"{params[0]['temperature']} {prompts[0]}"]
+        return [
+            ServerError("rejected") if any(c in p for c in "【】（）") or len(p) % 3 == 0 else f"{o['temperature']} {p}"
+            for p, o in zip(prompts, params)
+        ]
 
     return call
 
@@ -163,11 +203,11 @@ def tasks(spark, sf):
     return rows.select(F.col("c_mktsegment").alias("model"), F.col("n_name").alias("subject")).distinct()
 
 
-def _evaluation(name, backend, sql, **settings):
+def _evaluation(name, backend, sql, model=letter_model, **settings):
     @query(name, sql)
     def run(spark, sf):
         out = session.fresh_path(spark, name)
-        done = evaluate(fx.bank(spark, sf), tasks(spark, sf), BACKENDS[backend], letter_model, out, fx.subjects(spark, sf), **settings, **options(spark))
+        done = evaluate(fx.bank(spark, sf), tasks(spark, sf), BACKENDS[backend], model, out, fx.subjects(spark, sf), **settings, **options(spark))
         return done.select("model", "subject", "n_rows", "n_correct", "accuracy")
 
 
@@ -214,10 +254,131 @@ _evaluation(
         + sql_text("讓我們一步一步思考，\n{e}\n所以答案是{a}。", e="explanation", a="answer")
         + " || chr(10)"
     )
-    + f", p AS (SELECT bank.subject, 0 AS hit {TEST} JOIN shots ON bank.subject = shots.subject WHERE split = 'test') {ACCURACY}",
+    + ", p AS (SELECT bank.subject, "
+    + HIT.format(f"{SYSTEM} || chr(10) || context || {BLOCK} || chr(10)")
+    + f" {TEST} JOIN shots ON bank.subject = shots.subject WHERE split = 'test') {ACCURACY}",
+    worked_model,
     k=K,
     cot=True,
 )
+_evaluation(
+    "evaluate_exact_only",
+    "oai_complete",
+    f"WITH {fx.BANK_SQL}, {fx.SUBJECTS_SQL}, {TASKS_SQL}, "
+    + SHOTS.format(f"CASE WHEN place = 1 THEN {USER} ELSE '' END || {BLOCK} || chr(10) || answer || chr(10)")
+    + ", p AS (SELECT bank.subject, "
+    + HIT.format(f"{SYSTEM} || chr(10) || context || {BLOCK} || chr(10)")
+    + f" {TEST} JOIN shots ON bank.subject = shots.subject WHERE split = 'test') {ACCURACY}",
+    bare_model,
+    k=K,
+)
+
+
+def sql_json(text):
+    """A text as a JSON string."""
+    return f"""('"' || replace(replace({text}, '"', '\\"'), chr(10), '\\n') || '"')"""
+
+
+def sql_message(role, content):
+    return f"""('{{"role":"{role}","content":' || {sql_json(content)} || '}}')"""
+
+
+SEGMENT = f"{SYSTEM} || chr(10) || '問題: ' || {USER} || {BLOCK} || chr(10)"
+_evaluation(
+    "evaluate_segments",
+    "gemini",
+    f"WITH {fx.BANK_SQL}, {fx.SUBJECTS_SQL}, {TASKS_SQL}, p AS (SELECT bank.subject, "
+    + HIT.format(f"'[' || {sql_json(SEGMENT)} || ']'")
+    + f" {TEST} WHERE split = 'test') {ACCURACY}",
+)
+_evaluation(
+    "evaluate_first_only",
+    "chatgpt",
+    f"WITH {fx.BANK_SQL}, {fx.SUBJECTS_SQL}, {TASKS_SQL}, "
+    + SHOTS.format(f"CASE WHEN place = 1 THEN {sql_message('user', f'{USER} || {BLOCK}')} || ',' || {sql_message('assistant', 'answer')} ELSE '' END")
+    + ", p AS (SELECT bank.subject, "
+    + HIT.format(f"'[' || {sql_message('system', SYSTEM)} || ',' || context || ',' || {sql_message('user', BLOCK)} || ']'")
+    + f" {TEST} JOIN shots ON bank.subject = shots.subject WHERE split = 'test') {ACCURACY}",
+    k=K,
+)
+SHOT_PAIR = (
+    "CASE WHEN place = 1 THEN '' ELSE ',' END || '{{\"query\":' || "
+    + sql_json(f"CASE WHEN place = 1 THEN {USER} ELSE '' END || {PAIR_QUERY}")
+    + " || ',\"answer\":' || "
+    + sql_json(PAIR_ANSWER)
+    + " || '}}'"
+)
+_evaluation(
+    "evaluate_pairs",
+    "hf_chat",
+    f"WITH {fx.BANK_SQL}, {fx.SUBJECTS_SQL}, {TASKS_SQL}, "
+    + SHOTS.replace("{}", SHOT_PAIR.replace("{{", "{").replace("}}", "}"))
+    + ", p AS (SELECT bank.subject, "
+    + HIT.replace("{}", "'{\"history\":[' || context || '],\"query\":' || " + sql_json(PAIR_QUERY) + " || '}'")
+    + f" {TEST} JOIN shots ON bank.subject = shots.subject WHERE split = 'test') {ACCURACY}",
+    k=K,
+)
+_evaluation(
+    "evaluate_scores",
+    "hf_base",
+    f"WITH {fx.BANK_SQL}, {fx.SUBJECTS_SQL}, {TASKS_SQL}, p AS (SELECT bank.subject, "
+    + HIT.format(f"{BASE_STEM} || chr(10) || '答案：'")
+    + f" {TEST} WHERE split = 'test') {ACCURACY}",
+    vector_model,
+)
+_evaluation(
+    "evaluate_summed_scores",
+    "mixtral",
+    f"WITH {fx.BANK_SQL}, {fx.SUBJECTS_SQL}, {TASKS_SQL}, p AS (SELECT bank.subject, "
+    + HIT.format(f"'[INST] ' || {INSTRUCT_STEM} || chr(10) || '答案是什麼？讓我們一步一步思考，' || chr(10) || '1.' || ' [/INST]'")
+    + f" {TEST} WHERE split = 'test') {ACCURACY}",
+    summed_model,
+    cot=True,
+    with_prompt=True,
+)
+TOKENS = {"system": "S:", "end": "|", "assistant": "A:", "user": "U:"}
+_evaluation(
+    "evaluate_given_tokens",
+    "tgi",
+    f"WITH {fx.BANK_SQL}, {fx.SUBJECTS_SQL}, {TASKS_SQL}, p AS (SELECT bank.subject, "
+    + HIT.format(f"'S:' || {SYSTEM} || '|U:' || {USER} || {BLOCK} || '|A:'")
+    + f" {TEST} WHERE split = 'test') {ACCURACY}",
+    tokens=TOKENS,
+)
+PLAIN_CHAT = f"{chatml('system', SYSTEM)} || {chatml('user', f'{USER} || {BLOCK}')} || '<|im_start|>assistant' || chr(10)"
+
+
+@query(
+    "evaluate_with_failures",
+    f"WITH {fx.BANK_SQL}, {fx.SUBJECTS_SQL}, {TASKS_SQL}, p AS (SELECT bank.subject, length({PLAIN_CHAT}) % 5 = 1 AS failed, "
+    + HIT.format(PLAIN_CHAT)
+    + f" {TEST} WHERE split = 'test') "
+    "SELECT tasks.model, p.subject, count(*) FILTER (WHERE NOT failed) AS n_rows, CAST(sum(hit) FILTER (WHERE NOT failed) AS BIGINT) AS n_correct, "
+    "100.0 * sum(hit) FILTER (WHERE NOT failed) / nullif(count(*) FILTER (WHERE NOT failed), 0) AS accuracy, count(*) FILTER (WHERE failed) AS n_failed, "
+    "bool_or(failed) AS pending FROM p JOIN tasks ON p.subject = tasks.subject GROUP BY tasks.model, p.subject",
+)
+def evaluate_with_failures(spark, sf):
+    out = session.fresh_path(spark, "failures")
+    done = evaluate(
+        fx.bank(spark, sf), tasks(spark, sf), BACKENDS["tgi"], failing_model, out, fx.subjects(spark, sf), max_attempts=2, **options(spark)
+    )
+    ledger = results.read_ledger(spark, f"{out}/ledger").select("model", "subject", F.lit(True).alias("finished"))
+    done = done.join(ledger, ["model", "subject"], "left")
+    return done.select("model", "subject", "n_rows", "n_correct", "accuracy", "n_failed", F.col("finished").isNull().alias("pending"))
+
+
+SCRIPT = {"".join(fixed.SCRIPT_CHARS): "".join(fixed.SCRIPT_CHARS.values())}
+
+
+@query(
+    "prompt_simplified_segments",
+    f"WITH {fx.BANK_SQL}, {fx.SUBJECTS_SQL} SELECT bank.subject, row_idx, "
+    + "".join(f"translate('[' || {sql_json(SEGMENT)} || ']', '{a}', '{b}') AS prompt" for a, b in SCRIPT.items())
+    + f" {TEST} WHERE split = 'test'",
+)
+def prompt_simplified_segments(spark, sf):
+    rows = fx.bank(spark, sf).where(F.col("split") == "test").join(fx.subjects(spark, sf).select("subject", "name"), "subject")
+    return build_prompts(rows, None, BACKENDS["gemini"], script=Script()).select("subject", "row_idx", "prompt")
 
 
 @query(

@@ -9,7 +9,7 @@ from markbook.catalog import fixtures as fx
 from markbook.catalog.registry import query
 from markbook.functions import blocks, render
 from markbook.operators import fewshot
-from markbook.operators.conversations import message_parts
+from markbook.operators.conversations import message_parts, whole_prompts
 
 NL = "chr(10)"
 
@@ -75,7 +75,7 @@ _expressions(
 )
 _expressions(
     "format_base",
-    "train",
+    "test",
     {
         "query": blocks.base_block,
         "query_cot": lambda: blocks.base_block(cot=True),
@@ -91,7 +91,7 @@ _expressions(
 )
 _expressions(
     "format_history",
-    "train",
+    "test",
     {
         "query": lambda: blocks.history_pair()["query"],
         "reply": lambda: blocks.history_pair()["answer"],
@@ -101,7 +101,7 @@ _expressions(
 )
 _expressions(
     "format_instruct",
-    "train",
+    "test",
     {
         "query": blocks.instruct_block,
         "query_cot": lambda: blocks.instruct_block(cot=True),
@@ -225,24 +225,16 @@ def zero_shot_direct(spark, sf):
 
 # --- rendering conversations -----------------------------------------------------------
 
-PART_TURNS = 1024
-TURNS = (
-    "WITH t AS (SELECT conv_id, turn, role, text, CAST(floor(turn / 1024.0) AS BIGINT) AS part, "
-    "lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS previous, "
-    "max(turn) OVER (PARTITION BY conv_id) = turn AS final FROM conversations) "
-)
+TURNS = "WITH t AS (SELECT conv_id, turn, role, text, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations) "
 
 
 def _rendered(name, column, piece, ending="''"):
-    sql = TURNS + (
-        f"SELECT conv_id, part, string_agg({piece}, '' ORDER BY turn) || "
-        f"CASE WHEN bool_or(final) THEN {ending} ELSE '' END AS prompt FROM t GROUP BY conv_id, part"
-    )
+    """One prompt per conversation, whatever its length."""
 
-    @query(name, sql)
+    @query(name, TURNS + f"SELECT conv_id, string_agg({piece}, '' ORDER BY turn) || {ending} AS prompt FROM t GROUP BY conv_id")
     def run(spark, sf):
-        parts = message_parts(fx.table(spark, sf, "conversations"), "conv_id", "turn", content="text", part_turns=PART_TURNS)
-        return parts.select("conv_id", "part", column(F.col("messages")).alias("prompt"))
+        parts = message_parts(fx.table(spark, sf, "conversations"), "conv_id", "turn", content="text")
+        return whole_prompts(parts, "conv_id", column(F.col("messages")))
 
 
 _rendered(
@@ -262,7 +254,7 @@ _rendered(
     "render_segments",
     # A part that goes on with the previous part's segment gets no separator.
     lambda m: F.concat(
-        F.when((F.col("part") > 0) & ~((F.col("role_before") == "system") & (m[0]["role"] == "user")), "\x1e").otherwise(""),
+        F.when(F.col("role_before").isNotNull() & ~((F.col("role_before") == "system") & (m[0]["role"] == "user")), "\x1e").otherwise(""),
         F.array_join(render.render_segments(m), "\x1e"),
     ),
     "CASE WHEN previous IS NULL OR (role = 'user' AND previous = 'system') THEN '' ELSE chr(30) END || "

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from markbook import fixed_values as fixed
-from markbook import session
 from markbook.catalog import fixtures as fx
 from markbook.catalog.registry import query
 from markbook.catalog.routes import exam_ledger, exam_marks
@@ -80,18 +79,21 @@ def category_pivot(spark, sf):
     return rounded(report.category_pivot(exam_means(spark, sf), CATS), *CATS)
 
 
+# Some models have not sat one category yet.
+HELD = "(supercategory <> 'ASIA' OR length(model) % 2 = 1)"
+
+
 @query(
     "overall_average",
     f"{MEANS}, micro AS (SELECT model, 100.0 * sum(n_correct) / sum(n_rows) AS micro FROM ledger GROUP BY model), "
     "macro AS (SELECT model, sum(mean_accuracy) / 5 AS fixed_divisor, avg(mean_accuracy) AS present_divisor FROM means "
-    "WHERE supercategory <> 'ASIA' GROUP BY model) "
+    f"WHERE {HELD} GROUP BY model) "
     "SELECT macro.model, round(fixed_divisor, 6) AS fixed_divisor, round(present_divisor, 6) AS present_divisor, round(micro, 6) AS micro "
     "FROM macro JOIN micro ON macro.model = micro.model",
 )
 def overall_average(spark, sf):
     ledger = exam_ledger(spark, sf)
-    # One category is left out, so that the two divisors differ.
-    means = report.macro_by_category(ledger, fx.subject_supercategory(spark, sf)).where("supercategory <> 'ASIA'")
+    means = report.macro_by_category(ledger, fx.subject_supercategory(spark, sf)).where(HELD)
     out = report.overall(means, len(CATS)).withColumnRenamed("average", "fixed_divisor")
     out = out.join(report.overall(means, None).withColumnRenamed("average", "present_divisor"), "model")
     out = out.join(report.micro_average(ledger).withColumnRenamed("average", "micro"), "model")
@@ -109,9 +111,6 @@ def complete_models(spark, sf):
     return report.completeness(ledger, fx.N_SUBJECTS).join(counted, "model")
 
 
-SKILLED = "c_acctbal > 0"
-
-
 def sql_report(source, categories, divisor):
     return (
         f"{source}, grouped AS (SELECT model, sum(n) AS n_rows, min(first) AS seq, sum(mean_accuracy) / {divisor} AS average, "
@@ -164,16 +163,18 @@ def leaderboard_lines(spark, sf):
 
 # Users as models, event types as subjects: many have no value for some subject.
 EVENT_CATEGORY = "CASE WHEN event_type IN ('click', 'view') THEN 'reading' ELSE 'acting' END"
+# Whole pairs of user and event type stand for tasks not done yet.
+DONE = "(user_id + length(event_type)) % 7 <> 0"
 EVENT_MEANS = (
-    "WITH e AS (SELECT CAST(user_id AS STRING) AS model, event_type AS subject, avg(value) AS accuracy FROM events GROUP BY user_id, event_type), "
+    f"WITH e AS (SELECT CAST(user_id AS STRING) AS model, event_type AS subject, avg(value) AS accuracy FROM events GROUP BY user_id, event_type HAVING {DONE}), "
     f"means AS (SELECT model, {EVENT_CATEGORY.replace('event_type', 'subject')} AS category, avg(accuracy) AS mean_accuracy, count(*) AS n, "
     "min(subject) AS first FROM e GROUP BY 1, 2)"
 )
 
 
 def event_ledger(spark, sf):
-    rows = fx.table(spark, sf, "events").groupBy(F.col("user_id").cast("string").alias("model"), F.col("event_type").alias("subject"))
-    return rows.agg(F.avg("value").alias("accuracy"))
+    rows = fx.table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("accuracy")).where(DONE)
+    return rows.select(F.col("user_id").cast("string").alias("model"), F.col("event_type").alias("subject"), "accuracy")
 
 
 def event_categories(spark, sf):
@@ -192,19 +193,22 @@ def incomplete_models(spark, sf):
     return rounded(out, "reading", "acting", "average")
 
 
+# A run in progress: some models still lack whole subjects.
+SAT = "(length(model) % 2 = 1 OR (length(model) + length(subject)) % 5 <> 0)"
+
+
 @query(
     "incomplete_exam_models",
-    f"WITH {fx.exam_sql({'custkey': 'o_custkey'}).replace('exam AS (', 'every AS (')}, exam AS (SELECT * FROM every WHERE custkey < 200), "
+    f"WITH {fx.exam_sql()}, "
     + fx.marked_sql("zero_shot")
-    + ", ledger AS (SELECT model, subject, min(qid) AS seq, 100.0 * sum(correctness) / count(correctness) AS accuracy FROM marked GROUP BY model, subject)"
+    + ", ledger AS (SELECT model, subject, min(qid) AS seq, 100.0 * sum(correctness) / count(correctness) AS accuracy FROM marked "
+    f"GROUP BY model, subject HAVING {SAT})"
     + means_with_order()
     + f" SELECT model, CAST(sum(n) AS BIGINT) AS n_rows, {sql_pivot(CATS)}, round(sum(mean_accuracy) / 5, 6) AS average "
     f"FROM means GROUP BY model HAVING sum(n) <> {fx.N_SUBJECTS}",
 )
 def incomplete_exam_models(spark, sf):
-    # The first customers stand for a run in progress: no model has all subjects yet.
-    rows = fx.exam(spark, sf, {"custkey": "o_custkey"}).where("custkey < 200")
-    ledger = report.accuracy_by_subject(scoring.marks(rows, "zero_shot"), order="qid")
+    ledger = report.accuracy_by_subject(scoring.marks(fx.exam(spark, sf), "zero_shot"), order="qid").where(SAT)
     out = report.incomplete_models(ledger, fx.subject_supercategory(spark, sf), CATS, fx.N_SUBJECTS)
     return rounded(out, *CATS, "average")
 
@@ -295,8 +299,7 @@ RUNNING = (
 
 @query("running_accuracy", RUNNING)
 def running_accuracy(spark, sf):
-    # Read twice below (stretch totals, then rows), so it is marked once and kept.
-    marked = session.cut_lineage(exam_marks(spark, sf).select("qid", "model", "subject", "correctness"))
+    marked = exam_marks(spark, sf).select("qid", "model", "subject", "correctness")
     totals = {"n_correct": F.col("correctness"), "n_rows": F.lit(1)}
     out = running_totals(marked, ["model", "subject"], "qid", totals)
     return out.select("qid", "model", "subject", "n_correct", "n_rows")

@@ -25,11 +25,11 @@ def scan_questions(spark, sf):
 @query(
     "subject_semi",
     f"WITH {fx.SUBJECTS_SQL} SELECT * FROM subjects WHERE subject IN "
-    "(SELECT n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9950)",
+    "(SELECT n_name FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name HAVING count(*) % 3 <> 0)",
 )
 def subject_semi(spark, sf):
-    rich = fx.table(spark, sf, "customer").where("c_acctbal > 9950")
-    tasks = rich.join(fx.table(spark, sf, "nation"), F.expr("c_nationkey = n_nationkey")).select(F.col("n_name").alias("subject"))
+    rows = fx.table(spark, sf, "customer").join(fx.table(spark, sf, "nation"), F.expr("c_nationkey = n_nationkey"))
+    tasks = rows.groupBy(F.col("n_name").alias("subject")).count().where("count % 3 <> 0")
     return runs.known_subjects(fx.subjects(spark, sf), tasks)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markbook import fixed_values as fixed
@@ -69,30 +69,42 @@ class Script:
     hundred phrases.
     """
 
+    TABLE_ROWS = 10_000
+
     def __init__(self, chars: dict[str, str] | None = None, phrases: dict[str, str] | None = None):
         self.chars = dict(fixed.SCRIPT_CHARS if chars is None else chars)
         self.phrases = dict(phrases or {})
 
+    @classmethod
+    def from_table(cls, table: DataFrame) -> Script:
+        """The mapping of a table (source, target), one character or phrase per row; a table of
+        more than TABLE_ROWS rows is refused, not cut.  Of repeated sources the least target counts."""
+        rows = table.where("source <> '' AND target IS NOT NULL").groupBy("source").agg(F.min("target").alias("target")).limit(cls.TABLE_ROWS + 1).collect()
+        if len(rows) > cls.TABLE_ROWS:
+            raise ValueError(f"a script table has at most {cls.TABLE_ROWS} rows")
+        single = {r["source"]: r["target"] for r in rows if len(r["source"]) == 1 and len(r["target"]) == 1}
+        return cls(single, {r["source"]: r["target"] for r in rows if r["source"] not in single})
+
     def _phrase(self) -> str:
         """Any phrase, the longest first, tried only where one can begin."""
         longest_first = sorted(self.phrases, key=lambda p: (-len(p), p))
-        heads = "".join(sorted({re.escape(p[0]) for p in self.phrases}))
-        return f"(?=[{heads}])(" + "|".join(map(re.escape, longest_first)) + ")"
+        return "(" + "|".join(map(re.escape, longest_first)) + ")"
 
     def column(self, text: Column) -> Column:
         source, target = "".join(self.chars), "".join(self.chars.values())
         if not self.phrases:
             return F.translate(text, source, target)
+        # One pass cuts the text into phrases, stretches without the head of any, and lone heads.
+        heads = "".join(sorted({re.escape(p[0]) for p in self.phrases}))
+        pieces = F.regexp_extract_all(text, F.lit(f"(?s){self._phrase()[:-1]}|[^{heads}]+|.)"), F.lit(1))
         table = F.create_map(*[F.lit(x) for pair in self.phrases.items() for x in pair])
-        # The stretches between the phrases and the phrases themselves take turns.
-        between = F.split(text, self._phrase(), -1)
-        phrases = F.regexp_extract_all(text, F.lit(self._phrase()), F.lit(1))
-        converted = F.zip_with(
-            between,
-            phrases,
-            lambda b, p: F.concat(F.translate(b, source, target), F.coalesce(F.try_element_at(table, p), F.lit(""))),
-        )
-        return F.array_join(converted, "")
+        longest = max(map(len, self.phrases))
+
+        def converted(p):
+            known = F.when(F.length(p) <= longest, F.try_element_at(table, p))
+            return F.coalesce(known, F.translate(p, source, target))
+
+        return F.array_join(F.transform(pieces, converted), "")
 
     def text(self, value: str) -> str:
         """The same conversion of a driver-side constant, such as a pattern."""

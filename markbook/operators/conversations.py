@@ -1,8 +1,8 @@
-"""Message lists out of a table of turns, without one task per conversation."""
+"""Message lists out of a table of turns, and whole prompts out of their parts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,8 +13,10 @@ def message_parts(turns: DataFrame, key: str, order: str, role: str = "role", co
     turns in several parts, all kept, so no array grows with the conversation;
     ``role_before`` and ``is_last`` let a renderer join the parts without a seam.
     """
-    # A struct key is never null, so the join below keeps turns without a key.
-    rows = turns.withColumn("_at", F.struct(F.col(key).alias("key"), F.floor(F.col(order) / part_turns).alias("part")))
+    # A struct key is never null, so the join below keeps turns without a key; turns without
+    # a place come before all others, as in any ascending order.
+    part = F.coalesce(F.floor(F.col(order) / part_turns), F.lit(-(2**62)))
+    rows = turns.withColumn("_at", F.struct(F.col(key).alias("key"), part.alias("part")))
     arrays = rows.groupBy("_at").agg(
         F.array_sort(F.collect_list(F.struct(F.col(order), F.col(role).alias("role"), F.col(content).alias("content")))).alias("_t")
     )
@@ -33,3 +35,10 @@ def message_parts(turns: DataFrame, key: str, order: str, role: str = "role", co
         "role_before",
         "is_last",
     )
+
+
+def whole_prompts(parts: DataFrame, key: str, text: Column) -> DataFrame:
+    """(key, prompt): the rendered text of all parts of a conversation, put together in their order."""
+    pieces = F.array_sort(F.collect_list(F.struct("part", text.alias("text"))))
+    joined = F.array_join(F.transform(pieces, lambda p: p["text"]), "")
+    return parts.select(key, "part", "messages", "role_before", "is_last").groupBy(key).agg(joined.alias("prompt"))

@@ -7,38 +7,24 @@ from pyspark.sql import functions as F
 
 from markbook.functions import blocks
 from markbook.functions.extract import CHOICES
+from markbook.operators.runs import with_names
 from markbook.plans.joins import join_small
 from markbook.plans.running import first_rows
 
-# A context is one cell.  With "all rows" (k = -1) its size is checked first, and a
-# subject beyond this fails the job rather than being cut.
-MAX_CONTEXT_CHARS = 16 * 1024 * 1024
-ROW_CHARS = 64  # wording around each example
-
-
 def exemplar_rows(dev: DataFrame, k: int, policy: str = "all") -> DataFrame:
     """The first ``k`` rows per subject by ``row_idx`` with their place as ``rank``.
 
-    ``k = -1`` takes all rows; ``policy="first_only"`` keeps the first one only, as
+    ``k = -1`` takes all rows, whose context is then one cell as long as they are;
+    ``policy="first_only"`` keeps the first one only, as
     some backends do whatever ``k`` says.
     """
     if policy == "first_only" and k != 0:
         k = 1
     if k == -1:
-        sizes = dev.groupBy("subject").agg(
-            F.sum(sum((F.length(F.coalesce(F.col(c), F.lit(""))) for c in _texts(dev)), F.lit(ROW_CHARS)).cast("long")).alias("_chars")
-        )
-        rows = join_small(dev, sizes, ["subject"], "left")
-        small = F.col("_chars") <= MAX_CONTEXT_CHARS
-        too_large = F.raise_error(F.concat(F.lit("few-shot rows exceed one context: "), F.col("subject"))).cast("boolean")
-        return rows.where(F.when(small, F.lit(True)).otherwise(too_large)).drop("_chars")
+        return dev
     return first_rows(dev, ["subject"], "row_idx", max(k, 0)).drop("rank")
 
 
-def _texts(dev: DataFrame) -> list[str]:
-    return [name for name, kind in dev.dtypes if kind == "string"]
-
-
 def _in_order(item: Column) -> Column:
     """The group's items as an array in ``row_idx`` order."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col("row_idx"), item.alias("item"))))
@@ -46,10 +32,10 @@ def _in_order(item: Column) -> Column:
 
 
 def _with_names(per_subject: DataFrame, names: DataFrame | None) -> DataFrame:
-    """Display name per subject (the subject itself without a name table)."""
+    """Display name per subject (the subject itself where the table has none)."""
     if names is None:
         return per_subject.withColumn("name", F.col("subject"))
-    return join_small(per_subject, names.select("subject", "name"), ["subject"], "left")
+    return with_names(per_subject, names)
 
 
 def message_context(

@@ -1,9 +1,9 @@
 """Batch inference through a caller's function, with bounded retries.
 
-The only Python worker of the engine.  ``make()`` runs once per task and returns
-``call(prompts, params) -> replies``: two lists in, one list of texts (or None) out.
-Only the prompt and its parameters cross to Python; all other columns stay in the
-JVM.  Outcomes are columns, so a failed row never fails the job.
+``make()`` runs once per task and returns ``call(prompts, params) -> replies``: two lists
+in, one list out that holds per prompt a text, None, or an exception object.  Only the
+prompt and its parameters cross to Python; all other columns stay in the JVM.  Outcomes
+are columns, so a failed row never fails the job; a fault of the function itself does.
 """
 
 from __future__ import annotations
@@ -33,49 +33,72 @@ class ServerError(RuntimeError):
     server_error = True
 
 
-def _attempt(call: Callable, prompt: str, alternate: str | None, param: dict, limits: dict) -> tuple:
-    """One prompt until it is answered or its attempts are used up."""
-    attempts, status, error = 0, "error", None
-    while attempts < limits["max_attempts"]:
-        attempts += 1
-        try:
-            return _reply(call([prompt], [param])[0], attempts)
-        except Exception as exc:  # noqa: BLE001 - any client error becomes a status
-            error = f"{type(exc).__name__}: {exc}"
-            if getattr(exc, "server_error", False) and alternate is not None:
+# Faults of the caller's function, not of the model behind it: they end the job.
+PROGRAM_ERRORS = (TypeError, NameError, AttributeError, ImportError, SyntaxError)
+# Statuses of prompts that were never answered; they are asked again by a later run.
+FAILED = ("error", "timeout", "server_error")
+
+
+class _Prompt:
+    """One prompt on its way: what is sent next, and how its last attempt ended."""
+
+    def __init__(self, prompt: str, alternate: str | None, param: dict, attempts: int):
+        self.prompt, self.alternate, self.param, self.left = prompt, alternate, param, attempts
+        self.attempts, self.status, self.text, self.error = 0, "error", None, None
+        self.rejected = False
+
+    def take(self, outcome, warmer: float) -> None:
+        """Count an attempt that ended with a text, with None or with an exception."""
+        self.attempts, self.left = self.attempts + 1, self.left - 1
+        if not isinstance(outcome, Exception):
+            self.text = None if outcome is None else str(outcome)
+            self.status, self.error, self.left = "empty" if outcome is None else "ok", None, 0
+            return
+        if isinstance(outcome, PROGRAM_ERRORS):
+            raise outcome
+        self.error = f"{type(outcome).__name__}: {outcome}"
+        if getattr(outcome, "server_error", False):
+            self.status = "server_error"
+            if self.alternate is not None:
                 # Resend once, folded and warmer; a second failure ends the row.
-                prompt, alternate = alternate, None
-                param = {**param, "temperature": limits["alternate_temperature"]}
-                limits = {**limits, "max_attempts": attempts + 1, "backoff": 0}
-                status = "server_error"
-                continue
-            if getattr(exc, "server_error", False):
-                status = "server_error"
-            elif status != "server_error":
-                late = isinstance(exc, TimeoutError) or "timeout" in str(exc)
-                status = "timeout" if late else "error"
-        if attempts < limits["max_attempts"] and limits["backoff"]:
-            time.sleep(limits["backoff"])
-    return None, status, attempts, error
+                self.prompt, self.alternate, self.rejected, self.left = self.alternate, None, True, 1
+                self.param = {**self.param, "temperature": warmer}
+        elif self.status != "server_error":
+            late = isinstance(outcome, TimeoutError) or "timeout" in str(outcome)
+            self.status = "timeout" if late else "error"
 
 
-def _reply(text, attempts: int) -> tuple:
-    return (None, "empty", attempts, None) if text is None else (str(text), "ok", attempts, None)
+def _outcomes(call: Callable, prompts: list[_Prompt]) -> list:
+    """What one call returns per prompt; an exception out of the call counts for all of them."""
+    try:
+        replies = list(call([p.prompt for p in prompts], [p.param for p in prompts]))
+        if len(replies) != len(prompts):
+            raise ValueError("one reply per prompt expected")
+        return replies
+    except Exception as exc:  # noqa: BLE001 - any client error becomes a status
+        return [exc] * len(prompts)
 
 
 def _answer_batch(call: Callable, prompts: list, alternates: list, params: list, limits: dict) -> pd.DataFrame:
-    """A whole batch in one call; if that fails, its rows one by one."""
-    asked = [i for i, p in enumerate(prompts) if p is not None]
-    out: list[tuple] = [(None, "skipped", 0, None)] * len(prompts)
-    try:
-        replies = list(call([prompts[i] for i in asked], [params[i] for i in asked])) if asked else []
-        if len(replies) != len(asked):
-            raise ValueError("one reply per prompt expected")
-        for i, text in zip(asked, replies):
-            out[i] = _reply(text, 1)
-    except Exception:  # noqa: BLE001 - retried per row below
-        for i in asked:
-            out[i] = _attempt(call, prompts[i], alternates[i], params[i], limits)
+    """A batch in one call, then further calls with only those prompts that failed.
+
+    A call that fails as a whole may do so because of one prompt: its prompts go on one by one.
+    """
+    rows = [None if p is None else _Prompt(p, a, o, limits["max_attempts"]) for p, a, o in zip(prompts, alternates, params)]
+    calls = [[r for r in rows if r is not None]]
+    while calls := [c for c in calls if c]:
+        again = []
+        for group in calls:
+            outcomes = _outcomes(call, group)
+            for row, outcome in zip(group, outcomes):
+                row.take(outcome, limits["alternate_temperature"])
+            rest = [r for r in group if r.left > 0]
+            whole = len(group) > 1 and all(o is outcomes[0] for o in outcomes) and isinstance(outcomes[0], Exception)
+            again += [[r] for r in rest] if whole else [rest]
+        calls = again
+        if limits["backoff"] and any(not r.rejected for c in calls for r in c):
+            time.sleep(limits["backoff"])
+    out = [(None, "skipped", 0, None) if r is None else (r.text, r.status, r.attempts, r.error) for r in rows]
     return pd.DataFrame(out, columns=["response", "status", "attempts", "error"]).astype({"attempts": "int32"})
 
 
@@ -115,8 +138,8 @@ def batch_generate(
 ) -> DataFrame:
     """``rows`` plus response, status, attempts and error.
 
-    ``concurrency`` spreads the rows over that many tasks, which bounds the calls
-    in flight.  A null prompt is not sent.  With ``fold_on_server_error`` a rejected
+    ``concurrency`` deals the rows to that many tasks right before the call, which bounds
+    the calls in flight.  ``attempts`` counts every call that a prompt was in.  A null prompt is not sent.  With ``fold_on_server_error`` a rejected
     prompt is resent once with plain brackets at a higher temperature, within the
     same task, so the rest of the run is not repeated.
     """

@@ -9,16 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markbook.plans.joins import join_small
+from markbook.plans.running import running_totals
 
 
-def accuracy_by_subject(marks: DataFrame, correctness: str = "correctness", order: str | None = None) -> DataFrame:
+def accuracy_by_subject(marks: DataFrame, correctness: str = "correctness", order: str | None = None, failed: str | None = None) -> DataFrame:
     """(model, subject, n_rows, n_correct, accuracy 0-100); no marked rows gives null.
 
     ``order`` keeps the first value of that column as ``seq``, for stable ranking.
+    ``failed`` (a boolean column) adds ``n_failed``, the rows that were never answered.
     """
     aggregates = [
         F.count(correctness).alias("n_rows"),
@@ -26,6 +28,8 @@ def accuracy_by_subject(marks: DataFrame, correctness: str = "correctness", orde
     ]
     if order:
         aggregates.append(F.min(order).alias("seq"))
+    if failed:
+        aggregates.append(F.count_if(F.col(failed)).alias("n_failed"))
     totals = marks.groupBy("model", "subject").agg(*aggregates)
     return totals.withColumn("accuracy", F.try_divide(100.0 * F.col("n_correct"), F.col("n_rows")))
 
@@ -33,7 +37,8 @@ def accuracy_by_subject(marks: DataFrame, correctness: str = "correctness", orde
 def macro_by_category(ledger: DataFrame, dimension: DataFrame, category: str = "supercategory") -> DataFrame:
     """Unweighted mean of the ledger's accuracies per (model, category).
 
-    ``dimension`` maps subject to category; repeated ledger rows count each time.
+    ``dimension`` maps subject to category; repeated ledger rows count each time, rows of
+    a subject that it does not know count nowhere, here and in every report below.
     """
     rows = join_small(ledger, dimension.select("subject", category), ["subject"], "inner")
     return rows.groupBy("model", category).agg(F.avg("accuracy").alias("mean_accuracy"), F.count("*").alias("n_subjects"))
@@ -84,6 +89,7 @@ def _report(ledger: DataFrame, dimension: DataFrame, categories: Sequence[str],
     One pass over (model, category): the pivot, the average and the row count all
     come from the same grouped table.
     """
+    # Unknown subjects keep the model in the report, but count neither in the average nor for the gate.
     rows = join_small(ledger, dimension.select("subject", category), ["subject"], "left")
     means = rows.groupBy("model", category).agg(
         F.avg("accuracy").alias("mean_accuracy"), F.count("*").alias("n"), F.min("seq").alias("seq")
@@ -92,7 +98,7 @@ def _report(ledger: DataFrame, dimension: DataFrame, categories: Sequence[str],
     known = F.col(category).isNotNull()
     divisor = F.lit(n_categories) if n_categories else F.count(F.when(known, F.col("mean_accuracy")))
     return means.groupBy("model").agg(
-        F.sum("n").alias("n_rows"),
+        F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("n_rows"),
         F.min("seq").alias("seq"),
         *columns,
         (F.sum(F.when(known, F.col("mean_accuracy"))) / divisor).alias("average"),
@@ -116,10 +122,11 @@ def leaderboard(
     rows = _report(ledger, dimension, categories, category, divisor)
     if n_subjects is not None:
         rows = rows.where(F.col("n_rows") == n_subjects)
-    # One row per model by now, so a single ordered window is small.  The last digits
-    # of a mean depend on the order of adding, so they do not decide between models.
-    place = Window.orderBy(F.round("average", 9).desc(), "seq", "model")
-    return rows.select(F.row_number().over(place).alias("rank"), "model", *_named(categories), "average").orderBy("rank")
+    # The last digits of a mean depend on the order of adding, so they do not decide between
+    # models.  The rank is a running count over ranges of that order, not one task's window.
+    order = [F.round("average", 9).desc(), F.col("seq").asc(), F.col("model").asc()]
+    ranked = running_totals(rows, [], order, {"rank": F.lit(1)})
+    return ranked.select(F.col("rank").cast("int").alias("rank"), "model", *_named(categories), "average").orderBy("rank")
 
 
 def incomplete_models(

@@ -47,8 +47,9 @@ def questions_per_model(questions: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def with_names(rows: DataFrame, subjects: DataFrame) -> DataFrame:
-    """Subject display names."""
-    return join_small(rows, subjects.select("subject", "name"), ["subject"], "left")
+    """Subject display names; a subject that the table does not know is called by its id."""
+    named = join_small(rows, subjects.select("subject", "name"), ["subject"], "left")
+    return named.withColumn("name", F.coalesce("name", "subject"))
 
 
 def with_categories(rows: DataFrame, subjects: DataFrame, hierarchy: DataFrame) -> DataFrame:

@@ -1,12 +1,12 @@
 """A whole evaluation as one Spark job per stage: prompts, replies, marks, ledger.
 
-All pending models and subjects run together.  The replies are written before they
-are marked, so neither a marking error nor a lost executor repeats the inference.
+Replies are stored in waves of (model, subject) under a path fixed by the run's settings,
+before they are marked: a marking error or a lost run repeats at most the wave under way.
 """
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,10 +60,12 @@ def build_prompts(
         elif backend.render == "turns":
             prompt = render.render_turns(messages)
         else:
-            messages = script.messages(messages) if script else messages
             if backend.render == "segments":
-                prompt = F.to_json(render.render_segments(messages))
+                # Converted as rendered: the cue in front of a question too.
+                segments = render.render_segments(messages)
+                prompt = F.to_json(F.transform(segments, script.column) if script else segments)
             else:
+                messages = script.messages(messages) if script else messages
                 prompt = render.render_lines(messages) if backend.render == "lines" else F.to_json(messages)
         if script and backend.render in ("chat", "turns"):
             prompt = script.column(prompt)
@@ -118,17 +120,40 @@ def mark_replies(
     return scoring.marks(rows, policy, simplified=script is not None, choices=choices, script=script)
 
 
-def _kept(rows: DataFrame, path: str) -> DataFrame:
-    """``rows`` written to a shared folder and read back."""
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+ROW = ["model", "subject", "row_idx"]
+
+
+def _failed(status: str) -> Column:
+    return F.coalesce(F.col(status).isin(*inference.FAILED), F.lit(False))
+
+
+def _stored(spark: SparkSession, path: str, tasks: DataFrame) -> DataFrame | None:
+    """Stored outcomes of the tasks, None where nothing is stored yet."""
+    if not path_exists(spark, path):
+        return None
+    return join_small(spark.read.parquet(path), tasks, ["model", "subject"], "left_semi")
+
+
+def _outcome(stored: DataFrame, status: str) -> DataFrame:
+    """One outcome per row: an answer of any run, else a failure."""
+    return stored.withColumn("_failed", _failed(status)).groupBy(*ROW).agg(
+        F.min_by(F.struct(*[c for c in stored.columns if c not in ROW]), F.struct(F.col("_failed"), F.xxhash64(*stored.columns))).alias("_one")
+    ).select(*ROW, "_one.*")
+
+
+def _without_answers(rows: DataFrame, stored: DataFrame | None, status: str) -> DataFrame:
+    """Rows that no run has an answer for; null row numbers are compared as values."""
+    if stored is None:
+        return rows
+    answered = stored.where(~_failed(status)).select(F.struct(*ROW).alias("_done")).distinct()
+    return rows.withColumn("_row", F.struct(*ROW)).join(answered, F.col("_row").eqNullSafe(F.col("_done")), "left_anti").drop("_row")
+
+
 def evaluate(
     bank: DataFrame,
     tasks: DataFrame,
@@ -147,52 +172,76 @@ def evaluate(
     resume_by=("model", "subject"),
     split: str = "test",
     concurrency: int | None = None,
+    tokens: dict[str, str] | None = None,
+    with_prompt: bool = False,
+    blind: bool = False,
+    wave: int = 64,
     **options,
 ) -> DataFrame:
     """Run all pending (model, subject) ``tasks`` and append their accuracies.
 
-    Writes ``stages``, ``scored`` and ``ledger`` under ``out``, which must be a
-    folder all executors share, and returns this run's accuracies.  ``concurrency``
-    is the number of tasks that call the model.
+    Writes ``replies``, ``judged``, ``scored`` and ``ledger`` under ``out``, which must be a
+    folder all executors share, and returns this run's accuracies with ``n_failed``, the rows
+    that got no answer.  Those rows count neither as right nor as wrong, and their task stays
+    out of the ledger: a later run with the same settings asks only for what is missing.
+
+    Tasks run in waves of about ``wave``; the replies of a wave are stored before the next one
+    begins and before anything is marked.  ``concurrency`` is the number of tasks that call a
+    model or the judge.  ``tokens`` (system, end, assistant, user) replaces the looked-up role
+    tokens; ``blind`` marks without gold answers.
     """
     if parsing == "llm" and not backend.judge:
         raise ValueError(f"backend {backend.name} does not support judge marking")
     spark = bank.sparkSession
-    ledger = f"{out}/ledger"
-    key = ["model", "subject"]
+    ledger, key = f"{out}/ledger", ["model", "subject"]
+    settings = (backend, k, cot, split, tuple(choices), with_prompt, tokens, templates is not None, script and (script.chars, script.phrases))
+    run = hashlib.sha256(repr(settings).encode()).hexdigest()[:12]
+    replies_path, judged_path = f"{out}/replies/{run}", f"{out}/judged/{run}"
     tasks = tasks.select(*key).distinct()
     if path_exists(spark, ledger):
         tasks = runs.pending_tasks(tasks, results.read_ledger(spark, ledger), resume_by)
-
-    tasks = cut_lineage(tasks)  # read three times below, and the ledger grows meanwhile
+    tasks = cut_lineage(tasks)  # read many times below, and the ledger grows meanwhile
+    waves = max(1, -(-tasks.count() // wave))
+    wave_of = F.pmod(F.xxhash64(*key), F.lit(waves))
 
     test = bank.where(F.col("split") == split).drop("split", "explanation")
     if max_samples is not None:
         test = runs.cap_samples(test, max_samples)
     test = runs.with_names(test, names) if names is not None else test.withColumn("name", F.col("subject"))
-    rows = runs.questions_per_model(test, tasks)
-    tokens = None
-    if templates is not None and backend.render == "chat":
-        rows = routing.with_tokens(rows, templates, "model")
-        tokens = F.col("tokens")
-    if concurrency:
-        # Spread before the prompts are built: the rows are still short.
-        rows = rows.repartition(concurrency)
-    prompts = build_prompts(rows, bank.where(F.col("split") == "train"), backend, k, cot, names, choices, tokens, script)
-
-    params = routing.backend_params(F.lit(backend.name), F.lit(cot), F.col("model"))
-    replies = inference.batch_generate(prompts, make, params=params, fold_on_server_error=backend.resend_folded, **options)
-    stop = F.col("tokens")["end_token"] if tokens is not None else None
-    replies = inference.clean_response(replies, stop).drop("tokens", "prompt")
-    # Written as they come, without a shuffle: an answered batch is never lost again.
-    stage = f"{out}/stages/{uuid.uuid4().hex}"
-    answered = _kept(replies, f"{stage}/responses")
+    dev = bank.where(F.col("split") == "train")
+    chat = backend.render == "chat" and (templates is not None or tokens is not None)
+    role_tokens = F.col("tokens") if chat else None
+    calls = {"concurrency": concurrency, **options}
+    for number in range(waves):
+        rows = runs.questions_per_model(test, tasks.where(wave_of == number))
+        rows = _without_answers(rows, _stored(spark, replies_path, tasks), "status")
+        if chat and tokens is not None:
+            rows = rows.withColumn("tokens", F.struct(*[F.lit(tokens[t.removesuffix("_token")]).alias(t) for t in routing.TOKENS]))
+        elif chat:
+            rows = routing.with_tokens(rows, templates, "model")
+        prompts = build_prompts(rows, dev, backend, k, cot, names, choices, role_tokens, script, with_prompt)
+        params = routing.backend_params(F.lit(backend.name), F.lit(cot), F.col("model"))
+        replies = inference.batch_generate(prompts, make, params=params, fold_on_server_error=backend.resend_folded, **calls)
+        replies = inference.clean_response(replies, role_tokens["end_token"] if chat else None).drop("tokens", "prompt")
+        replies.write.mode("append").parquet(replies_path)
+
+    # Only rows of the bank as it is asked now; older runs may have stored others.
+    wanted = runs.questions_per_model(test.select("subject", "row_idx"), tasks)
+    answered = _outcome(_stored(spark, replies_path, tasks), "status").join(wanted, ROW, "left_semi")
+    failed = _failed("status")
     if parsing == "llm" or backend.shot_rule == "judge":
-        answered = _kept(inference.judge(answered, judge_make, **options), f"{stage}/judged")
+        asked = _without_answers(answered.where(~failed).select(*ROW, "response"), _stored(spark, judged_path, tasks), "judge_status")
+        inference.judge(asked, judge_make, **calls).select(*ROW, "judged", "judge_status").write.mode("append").parquet(judged_path)
+        judged = _outcome(_stored(spark, judged_path, tasks), "judge_status")
+        answered = answered.join(judged, ROW, "left")
+        failed = failed | _failed("judge_status")
+    if blind:
+        answered = scoring.blind(answered)
     marked = mark_replies(answered, backend, k != 0, cot, parsing, script, choices)
+    marked = marked.withColumn("failed", failed).withColumn("correctness", F.when(~F.col("failed"), F.col("correctness")))
     results.write_scored(marked, f"{out}/scored")
 
     scored = join_small(results.read_scored(spark, f"{out}/scored", marked.schema), tasks, key, "left_semi")
-    accuracy = report.accuracy_by_subject(scored)
-    results.append_ledger(accuracy, ledger)
+    accuracy = report.accuracy_by_subject(scored, failed="failed")
+    results.append_ledger(accuracy.where("n_failed = 0"), ledger)
     return accuracy

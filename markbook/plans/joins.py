@@ -10,21 +10,28 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate: exact for constants, an upper bound after
-    filters and aggregates, and no job is run for it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def constant_bytes(df: DataFrame) -> int | None:
+    """Size of a table that the optimizer has folded to constant rows, else None.
 
+    Only there is the estimate a size: files count as they lie compressed on disk, and
+    exploded or collected rows are hardly counted at all.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if plan.getClass().getSimpleName() not in ("LocalRelation", "OneRowRelation"):
+        return None
+    return int(str(plan.stats().sizeInBytes()))
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """True if ``df`` surely fits: by estimate, or else by measuring its rows.
 
-    The measuring job is one map-side-combined aggregate over the small side.
-    """
-    if planned_bytes(df) <= limit:
-        return True
+def measured_bytes(df: DataFrame) -> int:
+    """The width of all rows as text: one map-side-combined aggregate over the small side."""
     row = F.length(F.to_json(F.struct("*"))).cast("long")
-    return (df.select(F.sum(row).alias("bytes")).first()["bytes"] or 0) <= limit
+    return df.select(F.sum(row).alias("bytes")).first()["bytes"] or 0
+
+
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """True if the rows of ``df`` fit, by their size and not by an estimate."""
+    size = constant_bytes(df)
+    return (measured_bytes(df) if size is None else size) <= limit
 
 
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_BYTES) -> DataFrame:

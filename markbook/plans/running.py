@@ -1,9 +1,9 @@
 """Running totals and row caps that never put a whole group into one task.
 
-``order`` is a long that is unique within a group, such as a row index.  Each
-group is cut into stretches of ``width`` consecutive order values.  Stretch
-totals (map-side combined) give every stretch its starting value; only the rows
-of one stretch, at most ``width`` of them, are ever sorted together.
+Rows are dealt by range over (group, order), so a task gets a stretch of that order
+whatever the order values are: dense, sparse, repeated or null.  The dealt rows are
+written with the number of their range.  The totals per group and range, a small table,
+give each range its starting value; only the rows of one range are sorted together.
 """
 
 from __future__ import annotations
@@ -11,52 +11,70 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WIDTH = 1 << 17
-# Up to this many rows per group Spark's own limit under row_number() is best: it
-# drops the surplus before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+from markbook.session import written
+
+# Up to this many rows per group it is cheaper to drop the surplus before any shuffle.
 WINDOW_LIMIT = 1000
+SALTS = 32
+
 
+def _columns(df: DataFrame) -> list[Column]:
+    """All columns, whose names may hold dots and spaces."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
-def _starts(df: DataFrame, keys: list[str], order: str, values: dict[str, Column], width: int) -> tuple[DataFrame, DataFrame]:
-    """(rows with their stretch ``_at``, one row per stretch with the totals before it).
 
-    ``_at`` is a struct of the group and the stretch.  A struct is never null, so
-    joining on it keeps the rows of a null group too.
+def _dealt(df: DataFrame, keys: list[str], order: list[Column], parts: int | None) -> DataFrame:
+    """``df`` with the group ``_group``, the number of its range ``_range``, and ``_tie``.
+
+    Equal order values are told apart by a hash of the row, so they too are dealt out.
     """
-    stretch = F.floor(F.col(order) / width).alias("_stretch")
-    rows = df.withColumn("_at", F.struct(*keys, stretch))
-    totals = rows.groupBy("_at").agg(*[F.sum(v).alias(f"_sum_{name}") for name, v in values.items()])
-    group = [F.col("_at")[k] for k in keys]
-    before = Window.partitionBy(*group).orderBy(F.col("_at")["_stretch"]).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(
-        "_at",
+    # A struct is never null, so joining on it keeps the rows of a null group too.
+    group = F.struct(*keys) if keys else F.struct(F.lit(0))
+    rows = df.withColumn("_group", group).withColumn("_tie", F.xxhash64(*_columns(df)))
+    by = [*keys, *order, "_tie"]
+    ranged = rows.repartitionByRange(parts, *by) if parts else rows.repartitionByRange(*by)
+    return written(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def _starts(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Per group and range: the totals of all earlier ranges of the group."""
+    totals = rows.groupBy("_group", "_range").agg(*[F.sum(v).alias(f"_sum_{name}") for name, v in values.items()])
+    before = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(
+        F.struct("_group", "_range").alias("_at"),
         *[F.coalesce(F.sum(f"_sum_{name}").over(before), F.lit(0)).alias(f"_start_{name}") for name in values],
     )
-    return rows, starts
 
 
-def running_totals(df: DataFrame, keys: list[str], order: str, values: dict[str, Column], width: int = WIDTH) -> DataFrame:
-    """``df`` plus one running sum per entry of ``values`` within each group.
+def running_totals(
+    df: DataFrame, keys: list[str], order: str | list[Column], values: dict[str, Column], parts: int | None = None
+) -> DataFrame:
+    """``df`` plus one running sum per entry of ``values`` within each group, rows in the given order.
 
-    The join and the window use the same keys, so the rows are shuffled once.
+    Without ``keys`` the whole table is one group.  ``parts`` is the number of ranges,
+    by default that of a shuffle.
     """
-    rows, starts = _starts(df, keys, order, values, width)
-    upto = Window.partitionBy("_at").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = rows.join(starts, "_at")
+    order = [F.col(order)] if isinstance(order, str) else list(order)
+    rows = _dealt(df, keys, order, parts)
+    upto = Window.partitionBy("_at").orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = rows.withColumn("_at", F.struct("_group", "_range")).join(_starts(rows, values), "_at")
     return joined.select(
-        *df.columns,
+        *_columns(df),
         *[(F.col(f"_start_{name}") + F.coalesce(F.sum(v).over(upto), F.lit(0))).alias(name) for name, v in values.items()],
     )
 
 
-def first_rows(df: DataFrame, keys: list[str], order: str, n: int, width: int = WIDTH) -> DataFrame:
-    """The first ``n`` rows of every group by ``order``, with their rank as ``rank``."""
-    if n <= WINDOW_LIMIT:
-        by_order = Window.partitionBy(*keys).orderBy(order)
-        return df.withColumn("rank", F.row_number().over(by_order)).where(F.col("rank") <= n)
-    rows, starts = _starts(df, keys, order, {"rank": F.lit(1)}, width)
-    # Stretches that begin past the cap leave before any row is ranked.
-    kept = rows.join(starts.where(F.col("_start_rank") < n), "_at")
-    within = Window.partitionBy("_at").orderBy(order)
-    ranked = kept.withColumn("rank", (F.col("_start_rank") + F.row_number().over(within)).cast("int"))
-    return ranked.where(F.col("rank") <= n).select(*df.columns, "rank")
+def first_rows(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
+    """The first ``n`` rows of every group by ``order``, with their rank as ``rank``.
+
+    A small ``n`` is cut twice, first within each of SALTS parts of a group, so that the
+    last sort of a group sees at most SALTS * n rows however many tasks hold some.
+    """
+    if n > WINDOW_LIMIT:
+        ranked = running_totals(df, keys, order, {"rank": F.lit(1)})
+        return ranked.where(F.col("rank") <= n).withColumn("rank", F.col("rank").cast("int"))
+    tie = F.xxhash64(*_columns(df))
+    salted = df.withColumn("_tie", tie).withColumn("_salt", F.pmod("_tie", F.lit(SALTS)))
+    part = Window.partitionBy(*keys, "_salt").orderBy(order, "_tie")
+    few = salted.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= n)
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order, "_tie"))).where(F.col("rank") <= n).drop("_tie", "_salt")

@@ -23,7 +23,6 @@ TEMPLATES = T.StructType(
     + _strings("model_name", "system_token", "end_token", "assistant_token", "user_token")
 )
 LEDGER = T.StructType(_strings("model", "subject") + [T.StructField("accuracy", T.DoubleType())])
-MESSAGES = T.ArrayType(T.StructType(_strings("role", "content")))
 GENERATED = T.StructType(
     _strings("response", "status") + [T.StructField("attempts", T.IntegerType())] + _strings("error")
 )

@@ -10,7 +10,7 @@ import csv
 import io
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -71,13 +71,16 @@ def templates(spark: SparkSession) -> DataFrame:
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
     """Role tokens from a CSV file with the columns of the built-in table.
 
-    Rows keep their order: the file is tiny, so it is one partition and the
-    generated id counts up through it.
+    Rows keep the order of the file, also where it is read in several splits.  One row per
+    model name, so their numbering is one small window.
     """
     text = ["model_name", "systemMessageToken", "messageEndToken", "assistantMessageToken", "userMessageToken"]
     raw = spark.read.schema(",".join(f"{name} string" for name in text)).csv(path, header=True)
-    return raw.na.fill("").select(
-        F.monotonically_increasing_id().cast("int").alias("file_order"),
+    meta = F.col("_metadata")
+    place = F.struct(meta["file_name"].alias("file"), meta["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("row"))
+    placed = raw.select("*", place.alias("place")).na.fill("", text)
+    return placed.select(
+        (F.row_number().over(Window.orderBy("place")) - 1).cast("int").alias("file_order"),
         "model_name",
         F.col("systemMessageToken").alias("system_token"),
         F.col("messageEndToken").alias("end_token"),

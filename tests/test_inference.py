@@ -22,20 +22,17 @@ def test_statuses(spark):
     def make():
         seen = {}
 
-        def call(texts, params):
-            if len(texts) > 1:
-                raise ConnectionError("batch too large")
-            text = texts[0]
+        def one(text):
             seen[text] = seen.get(text, 0) + 1
             if text == "late" or (text == "slow" and seen[text] < 3):
-                raise TimeoutError("timeout=600")
+                return TimeoutError("timeout=600")
             if text == "bad":
-                raise KeyError("reply")
+                return KeyError("reply")
             if text == "rejected":
-                raise inference.ServerError("no")
-            return [None if text == "silent" else text.upper()]
+                return inference.ServerError("no")
+            return None if text == "silent" else text.upper()
 
-        return call
+        return lambda texts, params: [one(t) for t in texts]
 
     df = prompts(spark, ["ok", "late", "slow", "bad", "silent", "rejected", None])
     got = collect(inference.batch_generate(df.coalesce(1), make, max_attempts=4, **OPTIONS))
@@ -45,12 +42,59 @@ def test_statuses(spark):
     }
 
 
+def counting(path, reply):
+    """A maker whose calls leave the prompts they were given in files."""
+
+    def make():
+        def call(texts, params):
+            import uuid
+
+            with open(f"{path}/{uuid.uuid4().hex}", "w") as f:
+                f.write("\x1f".join(texts))
+            return [reply(t) for t in texts]
+
+        return call
+
+    return make
+
+
+def sent(path):
+    return [t for f in path.iterdir() for t in f.read_text().split("\x1f")]
+
+
+def test_one_failing_prompt_is_retried_alone(spark, tmp_path):
+    df = prompts(spark, [f"p{i}" for i in range(64)]).coalesce(1)
+    make = counting(str(tmp_path), lambda t: ConnectionError("x") if t == "p9" else t)
+    got = collect(inference.batch_generate(df, make, max_attempts=3, **OPTIONS))
+    assert got[9] == (None, "error", 3) and all(got[i] == (f"p{i}", "ok", 1) for i in range(64) if i != 9)
+    assert len(sent(tmp_path)) == 64 + 2
+
+
+def test_a_call_that_fails_as_a_whole_is_split(spark):
+    def make():
+        def call(texts, params):
+            if "bad" in texts:
+                raise ConnectionError("batch refused")
+            return texts
+
+        return call
+
+    got = collect(inference.batch_generate(prompts(spark, ["a", "bad", "b"]).coalesce(1), make, max_attempts=3, **OPTIONS))
+    assert got == {0: ("a", "ok", 2), 1: (None, "error", 3), 2: ("b", "ok", 2)}
+
+
+def test_a_fault_of_the_function_ends_the_job(spark):
+    def make():
+        return lambda texts, params: [undefined_name for t in texts]  # noqa: F821
+
+    with pytest.raises(Exception, match="undefined_name"):
+        inference.batch_generate(prompts(spark, ["a"]), make, **OPTIONS).collect()
+
+
 def test_rejected_prompt_is_resent_folded_and_warmer(spark):
     def make():
         def call(texts, params):
-            if any("【" in t or "never" in t for t in texts):
-                raise inference.ServerError("no")
-            return [f"{t} {p['temperature']}" for t, p in zip(texts, params)]
+            return [inference.ServerError("no") if "【" in t or "never" in t else f"{t} {p['temperature']}" for t, p in zip(texts, params)]
 
         return call
 
@@ -65,7 +109,7 @@ def test_wrong_reply_count_is_retried_per_row(spark):
         return lambda texts, params: texts[:1]
 
     got = collect(inference.batch_generate(prompts(spark, ["a", "b", "c"]).coalesce(1), make, **OPTIONS))
-    assert got == {0: ("a", "ok", 1), 1: ("b", "ok", 1), 2: ("c", "ok", 1)}
+    assert got == {0: ("a", "ok", 2), 1: ("b", "ok", 2), 2: ("c", "ok", 2)}
 
 
 def test_maker_runs_once_per_task_and_only_prompts_cross(spark):
@@ -154,6 +198,75 @@ def test_evaluate_vector_and_judge_backends(spark, bank, tmp_path):
         evaluate(bank, tasks(spark, ("m", "s1")), BACKENDS["groq"], always("A"), str(tmp_path / "x"), parsing="llm")
 
 
+def test_an_endpoint_that_is_down_finishes_nothing(spark, bank, tmp_path):
+    todo, out = tasks(spark, ("m", "s1"), ("m", "s2")), str(tmp_path / "run")
+    (tmp_path / "seen").mkdir()
+    first = evaluate(bank, todo, BACKENDS["groq"], counting(str(tmp_path / "seen"), lambda t: ConnectionError("down")), out, max_attempts=1, **OPTIONS).collect()
+    assert {(r["n_rows"], r["n_correct"], r["accuracy"], r["n_failed"]) for r in first} == {(0, None, None, 6)}
+    assert results.read_ledger(spark, f"{out}/ledger").count() == 0
+    second = evaluate(bank, todo, BACKENDS["groq"], always("C"), out, **OPTIONS).collect()
+    assert {(r["subject"], r["n_rows"], r["n_correct"], r["n_failed"]) for r in second} == {("s1", 6, 2, 0), ("s2", 6, 2, 0)}
+    assert results.read_ledger(spark, f"{out}/ledger").count() == 2
+    assert evaluate(bank, todo, BACKENDS["groq"], always("C"), out, **OPTIONS).count() == 0
+
+
+def test_no_prompt_is_sent_twice(spark, bank, tmp_path, monkeypatch):
+    """Half the prompts fail in the first run, whose marking then breaks; the second run asks the other half only."""
+    from markbook.plans import evaluate as module
+
+    todo, out = tasks(spark, ("m", "s1"), ("m", "s2"), ("n", "s1")), str(tmp_path / "run")
+    one, two = tmp_path / "one", tmp_path / "two"
+    one.mkdir()
+    two.mkdir()
+    half = counting(str(one), lambda t: ConnectionError("x") if "s1 3" in t else "答案：C")
+    with monkeypatch.context() as m:
+        m.setattr(module, "mark_replies", lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            evaluate(bank, todo, BACKENDS["dashscope"], half, out, max_attempts=1, wave=1, concurrency=2, **OPTIONS)
+    assert len(sent(one)) == 18
+    done = evaluate(bank, todo, BACKENDS["dashscope"], counting(str(two), lambda t: "答案：C"), out, concurrency=2, **OPTIONS).collect()
+    assert len(sent(two)) == 2 and all("s1 3" in t for t in sent(two))
+    assert {(r["model"], r["subject"]): (r["n_rows"], r["n_failed"]) for r in done} == {("m", "s1"): (6, 0), ("m", "s2"): (6, 0), ("n", "s1"): (6, 0)}
+
+
+def test_failed_judge_rows_stay_open(spark, bank, tmp_path):
+    out = str(tmp_path / "run")
+
+    def judge_down():
+        return lambda texts, params: [TimeoutError("timeout")] * len(texts)
+
+    def judge():
+        return lambda texts, params: ["C\n"] * len(texts)
+
+    args = (bank, tasks(spark, ("m", "s1")), BACKENDS["gemini"], always("C"), out)
+    first = evaluate(*args, parsing="llm", judge_make=judge_down, max_attempts=1, **OPTIONS).collect()
+    assert (first[0]["n_rows"], first[0]["n_failed"]) == (0, 6)
+    second = evaluate(*args, parsing="llm", judge_make=judge, **OPTIONS).collect()
+    assert (second[0]["n_rows"], second[0]["n_correct"], second[0]["n_failed"]) == (6, 2, 0)
+
+
+def test_concurrency_bounds_generation_and_judge(spark, bank, tmp_path, monkeypatch):
+    from markbook.plans import joins
+
+    def maker(path):
+        def make():
+            import uuid
+
+            open(f"{path}/{uuid.uuid4().hex}", "w").close()
+            return lambda texts, params: ["C"] * len(texts)
+
+        return make
+
+    for limit in (joins.BROADCAST_BYTES, 0):  # broadcast and salted joins
+        monkeypatch.setattr(joins.join_small, "__defaults__", ("left", limit))
+        one, two = tmp_path / f"g{limit}", tmp_path / f"j{limit}"
+        one.mkdir()
+        two.mkdir()
+        evaluate(bank, tasks(spark, ("m", "s1"), ("m", "s2")), BACKENDS["gemini"], maker(str(one)), str(tmp_path / f"run{limit}"),
+                 parsing="llm", judge_make=maker(str(two)), k=1, concurrency=2, **OPTIONS)
+        assert len(list(one.iterdir())) <= 2 and len(list(two.iterdir())) <= 2
+
+
 def test_workers_need_no_installed_copy(tmp_path):
     """Run from another folder: the functions must travel with the job."""
     import os

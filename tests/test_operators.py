@@ -22,7 +22,7 @@ def hot_rows(seed=1, n=3000):
 def test_running_totals_equal_brute_force(spark):
     rows = hot_rows()
     df = spark.createDataFrame(rows, "g string, o long, v int")
-    got = running.running_totals(df, ["g"], "o", {"total": F.col("v"), "n": F.lit(1)}, width=64).collect()
+    got = running.running_totals(df, ["g"], "o", {"total": F.col("v"), "n": F.lit(1)}, parts=40).collect()
     want, seen = {}, {}
     for g, o, v in sorted(rows, key=lambda r: r[1]):
         total, n = seen.get(g, (0, 0))
@@ -30,18 +30,21 @@ def test_running_totals_equal_brute_force(spark):
     assert {(r["g"], r["o"]): (r["total"], r["n"]) for r in got} == want
 
 
-def test_running_totals_shuffle_the_rows_once(spark):
-    df = spark.createDataFrame(hot_rows(), "g string, o long, v int")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        plan = plan_of(running.running_totals(df, ["g"], "o", {"total": F.col("v")}))
-        # rows by (group, stretch), totals by the same, totals by group for the
-        # window, and the starts back by (group, stretch)
-        assert plan.split("== Physical Plan ==")[1].split("\n\n\n")[0].count("Exchange (") == 4
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
+def test_running_totals_bound_the_rows_of_a_range(spark):
+    """One hot group with sparse, repeated and null order values is still dealt out evenly."""
+    order = [None] * 2000 + [7] * 2000 + [i**3 for i in range(4000)]
+    df = spark.createDataFrame([("hot", o, i) for i, o in enumerate(order)], "g string, o long, i long")
+    dealt = running._dealt(df, ["g"], [F.col("o")], 40)
+    sizes = [r["count"] for r in dealt.groupBy("_range").count().collect()]
+    assert sum(sizes) == 8000 and max(sizes) < 3 * 8000 / 40
+    ranks = running.running_totals(df, ["g"], "o", {"n": F.lit(1)}, parts=40).orderBy("n").collect()
+    assert [r["n"] for r in ranks] == list(range(1, 8001)) and [r["o"] for r in ranks] == sorted(order, key=lambda o: (o is not None, o))
+
+
+def test_running_totals_of_a_whole_table(spark):
+    df = spark.createDataFrame([(i % 7, i) for i in range(500)], "`a.b` long, i long")
+    got = running.running_totals(df, [], [F.col("`a.b`").desc(), F.col("i")], {"rank": F.lit(1)}).collect()
+    assert [r["i"] for r in sorted(got, key=lambda r: r["rank"])] == sorted(range(500), key=lambda i: (-(i % 7), i))
 
 
 @pytest.mark.parametrize("n", [1, 50, 400])
@@ -54,7 +57,7 @@ def test_first_rows_both_ways(spark, monkeypatch, n):
     want = {(g, o, i + 1) for g, os in groups.items() for i, o in enumerate(os[:n])}
     for limit in (1000, 0):
         monkeypatch.setattr(running, "WINDOW_LIMIT", limit)
-        got = running.first_rows(df, ["g"], "o", n, width=128).collect()
+        got = running.first_rows(df, ["g"], "o", n).collect()
         assert {(r["g"], r["o"], r["rank"]) for r in got} == want
 
 
@@ -74,7 +77,43 @@ def test_join_beyond_the_limit_gives_the_same_rows(spark, how):
 
 
 def test_constant_dimension_needs_no_measuring_job(spark):
-    assert joins.planned_bytes(dims.subjects(spark, "cmmlu")) < 100_000
+    assert joins.constant_bytes(dims.subjects(spark, "cmmlu")) < 100_000
+
+
+def test_sides_over_the_limit_are_not_broadcast_whatever_their_estimate(spark, tmp_path):
+    limit = 1 << 20
+    big = spark.range(100).select((F.col("id") % 10).alias("k"))
+    spark.range(4000).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 1000).alias("v")).write.parquet(str(tmp_path / "t"))
+    squeezed = spark.read.parquet(str(tmp_path / "t"))
+    exploded = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(200_000))).alias("k"))
+    collected = squeezed.groupBy((F.col("k") % 10).alias("k")).agg(F.collect_list("v").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for side in (squeezed, exploded, collected):
+            assert not joins.fits_broadcast(side, limit)
+            assert "Broadcast" not in plan_of(joins.join_small(big, side, ["k"], "left", limit=limit))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+# --- unknown subjects ----------------------------------------------------------------
+
+
+def test_unknown_subjects_count_nowhere(spark):
+    ledger = spark.createDataFrame([("m", "s1", 50.0, 1), ("m", "new", 100.0, 2), ("n", "s1", 40.0, 3), ("n", "s2", 60.0, 4), ("x", "new", 9.0, 5)], "model string, subject string, accuracy double, seq long")
+    dimension = spark.createDataFrame([("s1", "c"), ("s2", "c")], "subject string, supercategory string")
+    board = report.leaderboard(ledger, dimension, ["c"], 2).collect()
+    assert [(r["rank"], r["model"], r["average"]) for r in board] == [(1, "n", 50.0)]
+    rest = {r["model"]: r["n_rows"] for r in report.incomplete_models(ledger, dimension, ["c"], 2).collect()}
+    assert rest == {"m": 1, "x": 0}
+    means = {r["model"]: (r["mean_accuracy"], r["n_subjects"]) for r in report.macro_by_category(ledger, dimension).collect()}
+    assert means == {"m": (50.0, 1), "n": (50.0, 2)}
+
+
+def test_unknown_subjects_are_called_by_their_id(spark):
+    names = spark.createDataFrame([("s1", "One")], "subject string, name string")
+    got = runs.with_names(spark.createDataFrame([("s1",), ("s2",)], "subject string"), names).collect()
+    assert {r["subject"]: r["name"] for r in got} == {"s1": "One", "s2": "s2"}
 
 
 # --- dimensions ------------------------------------------------------------------------
@@ -109,6 +148,24 @@ def test_read_templates_from_file(spark, tmp_path):
     assert [tuple(r["tokens"]) for r in rows] == [("", "\\n", "A: ", "U")]
 
 
+def test_read_templates_keeps_the_order_of_many_splits(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    head = "model_name,systemMessageToken,messageEndToken,assistantMessageToken,userMessageToken\n"
+    path.write_text(head + "".join(f"m{i},s,e,a,u{i}\n" for i in range(3000)), encoding="utf8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = dims.read_templates(spark, str(path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r["model_name"]: r["file_order"] for r in rows} == {f"m{i}": i for i in range(3000)}
+
+
+def test_read_subjects_from_file(spark, tmp_path):
+    path = tmp_path / "s.tsv"
+    path.write_text("subject\tname\tcategory\nmath\t數學\tSTEM\nlaw\t法律\thumanities\n", encoding="utf8")
+    assert sorted(map(tuple, dims.read_subjects(spark, str(path)).collect())) == [("law", "法律", "humanities"), ("math", "數學", "STEM")]
+
+
 # --- routing -----------------------------------------------------------------------------
 
 

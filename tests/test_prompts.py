@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from conftest import plan_of
 from markbook.functions import blocks, render
 from markbook.operators import fewshot
-from markbook.operators.conversations import message_parts
+from markbook.operators.conversations import message_parts, whole_prompts
 from markbook.plans.backends import BACKENDS
 from markbook.plans.evaluate import build_prompts
 
@@ -69,10 +69,10 @@ def test_message_context_order_and_headers(bank, names):
     assert len(fewshot.message_context(dev, 3, names, policy="first_only").collect()[0]["context"]) == 3
 
 
-def test_all_rows_context_fails_rather_than_cuts(bank, names, monkeypatch):
-    monkeypatch.setattr(fewshot, "MAX_CONTEXT_CHARS", 100)
-    with pytest.raises(Exception, match="exceed one context"):
-        fewshot.message_context(bank.where("split = 'train'"), -1, names).collect()
+def test_all_rows_context_has_no_limit(spark, names):
+    rows = [("math", "train", i, "q" * 2000, "1", "2", "3", "4", "A", "e") for i in range(2000)]
+    dev = spark.createDataFrame(rows, "subject string, split string, row_idx long, question string, A string, B string, C string, D string, answer string, explanation string")
+    assert len(fewshot.message_context(dev, -1, names).collect()[0]["context"]) == 4001
 
 
 def test_top_k_is_limited_before_the_shuffle(bank):
@@ -128,11 +128,8 @@ def test_conversation_parts_join_without_a_seam(spark):
     split = message_parts(df, "conv_id", "turn", part_turns=2)
 
     def texts(parts):
-        rows = parts.select("conv_id", "part", render.render_chat(F.col("messages"), closing=F.col("is_last")).alias("t"))
-        out = {}
-        for r in rows.orderBy("conv_id", "part").collect():
-            out[r["conv_id"]] = out.get(r["conv_id"], "") + r["t"]
-        return out
+        prompts = whole_prompts(parts, "conv_id", render.render_chat(F.col("messages"), closing=F.col("is_last")))
+        return {r["conv_id"]: r["prompt"] for r in prompts.collect()}
 
     assert texts(split) == texts(whole)
     assert whole.count() == 3 and split.count() > 3
