@@ -518,7 +518,27 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         _remaining, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-@query("op3_suffixes")
+OP3_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, o, n, substr(h, 2 * o + 1, 610) AS piece FROM (
+  SELECT doc_id, h, length(h) // 2 AS n, unnest(range(0, greatest(length(h) // 2 - 49, 0), 256)) AS o FROM d)),
+w AS (SELECT doc_id, o + q AS p, substr(piece, 2 * q + 1, 100) AS s FROM (SELECT *, unnest(range(0, least(256, n - 49 - o))) AS q FROM c)),
+f AS (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT DISTINCT w.doc_id, w.p FROM w JOIN f ON w.s = f.s WHERE f.first_id < w.doc_id),
+g AS (SELECT doc_id, p, sum(CASE WHEN p <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS k
+  FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM r)),
+spans AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM g GROUP BY doc_id, k),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS c FROM spans),
+kept AS (SELECT d.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+  string_agg(substr(h, CAST(2 * c + 1 AS BIGINT), CAST(2 * (a - c) AS BIGINT)), '' ORDER BY a) || substr(any_value(h), CAST(2 * max(b) + 1 AS BIGINT)) AS rest
+  FROM gaps JOIN d ON gaps.doc_id = d.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
+@query("op3_suffixes", OP3_SQL)
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated passages of 50 bytes removed from all ``documents``."""
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
