@@ -17,6 +17,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     edges = stored(edges, "edges")
     total = edges.count()
+    nodes = edges.select("a").distinct().count()
     labels = stored(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label"), F.count("*").alias("degree")), "labels")
     while True:
         asked = lookup_join(edges, labels.select(F.col("a").alias("b"), "label", "degree"), "b", "degree", total, F.col("a").cast("string"))
@@ -25,7 +26,7 @@ def components(links: DataFrame) -> DataFrame:
         nearer = stored(nearer, "labels")
         held = nearer.groupBy("label").agg(F.count("*").alias("holders"))
         roots = held.join(nearer.select(F.col("a").alias("label"), F.col("label").alias("root")), "label")
-        jumped = lookup_join(nearer, roots, "label", "holders", nearer.count(), F.col("a").cast("string"))
+        jumped = lookup_join(nearer, roots, "label", "holders", nodes, F.col("a").cast("string"))
         after = stored(jumped.select("a", "degree", "old", F.least("label", F.coalesce("root", "label")).alias("label")), "labels")
         moved = after.where("label <> old").limit(1).count()
         discard(labels, nearer)

@@ -69,8 +69,8 @@ def test_equals_brute_force(spark, monkeypatch, block, best):
 def test_pairs_across_components_are_not_lost(spark):
     """Members that only meet each other, not the bucket's first member, are linked all the same."""
     sketch = lambda seed: N.odd_sketch(np.random.default_rng(seed).integers(0, 2**32, N.SAMPLES, dtype=np.uint64).astype(np.uint32)).tobytes()
-    rows = [(7, i, i if i < 90 else 0, 0, 100, sketch(i // 2)) for i in range(100)]
-    mixed = spark.createDataFrame(rows, "band long, doc_id long, component long, main long, members long, sketch binary")
+    rows = [(7, i, i if i < 90 else 0, 0, 100, 50, sketch(i // 2), N.parity(np.arange(i // 2 * 50, i // 2 * 50 + 50, dtype=np.uint64)).tobytes()) for i in range(100)]
+    mixed = spark.createDataFrame(rows, "band long, doc_id long, component long, main long, members long, n_shingles long, sketch binary, parity binary")
     got = {(r.a, r.b) for r in N._across(mixed, 8).collect()}
     assert got >= {(i + 1, i) for i in range(0, 88, 2)} and all(a // 2 == b // 2 for a, b in got)
 
@@ -85,6 +85,18 @@ def test_sketch_estimates_similarity():
         assert abs(float(N.estimate(N.odd_sketch(a), N.odd_sketch(b))) - share) < 0.12
 
 
+def test_parity_rules_out_only_what_differs_too_much():
+    rng = np.random.default_rng(6)
+    for size in (20, 166, 3000):
+        x = rng.integers(0, 2**63, size, dtype=np.uint64)
+        for cut in (int(size * 0.86), int(size * 0.7), 0):
+            y = np.r_[x[:cut], rng.integers(0, 2**63, size - cut, dtype=np.uint64)]
+            alike = 100 * cut >= N.PERCENT * (2 * size - cut)
+            assert N.possible(N.parity(x), N.parity(y), np.int64(2 * size)) >= alike
+            if size < 500 and not alike and cut < 0.8 * size:
+                assert not N.possible(N.parity(x), N.parity(y), np.int64(2 * size))
+
+
 def test_components_of_long_paths_hubs_and_cycles(spark):
     links = [(i, i + 1) for i in range(70)] + [(500, i) for i in range(501, 900)] + [(1000, 1001), (1001, 1002), (1002, 1000), (1000, 1000)]
     rnd = random.Random(0)
