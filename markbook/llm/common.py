@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ SQL: dict[str, str] = {}
 HOT_SHARE = 4096
 
 
+def travels(module: str) -> None:
+    """Workers get the functions and classes of this module with the job, so they need no installed copy."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def query(name: str, sql: str | None = None):
     """Register a query, with its SQL where SQL can say the same."""
 

@@ -19,9 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markbook.llm.common import query, stored, table
+from markbook.llm.common import query, stored, table, travels
 from markbook.plans.joins import salted_join
 
+travels(__name__)
+
 WINDOW = 8  # tokens; an item of fewer tokens is one window
 LEAST_ITEM = 5  # tokens; shorter items name no passage and are never found
 LITERAL = 5 / 8  # least share of a window's tokens that are no placeholders

@@ -19,7 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markbook.llm.common import query, table
+from markbook.llm.common import query, table, travels
+
+travels(__name__)
 
 SIGMA = 1.5  # lines
 # Elements that end a line of text.

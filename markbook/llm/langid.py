@@ -15,7 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from markbook.llm.common import query, table
+from markbook.llm.common import query, table, travels
+
+travels(__name__)
 
 WINDOW = 256  # bytes of a window; the last one is filled with zero bytes
 WIDTHS = (2, 3, 4)
@@ -144,11 +146,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
 def predict(docs: DataFrame, network: Network | None) -> DataFrame:
     """``docs`` plus lang_pred and score (its probability).  A null text, one without a letter, or an untrained network
     gives ``und`` with score 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(network)
-
     @F.pandas_udf("struct<lang_pred: string, score: double>")
     def named(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        network = shared.value
         score = network.scorer() if network else None
         for texts in parts:
             # Windows of all texts of the batch side by side, scored CHUNK bytes at a time.

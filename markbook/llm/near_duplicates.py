@@ -18,9 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markbook.llm.common import discard, lookup_join, query, stored, table
+from markbook.llm.common import discard, lookup_join, query, stored, table, travels
 from markbook.llm.graph import components
 
+travels(__name__)
+
 WORDS = 5
 PERCENT = 75  # least similarity
 BANDS, ROWS = 40, 5  # a pair at the least similarity meets in a band with probability 1 - 2e-5

@@ -12,7 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from markbook.llm.common import query, table
+from markbook.llm.common import query, table, travels
+
+travels(__name__)
 
 SLAB_ROWS = 8192  # candidates in one block
 LANE_ROWS = 512  # queries in one block

@@ -21,7 +21,9 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from markbook.llm.common import query, table
+from markbook.llm.common import query, table, travels
+
+travels(__name__)
 
 SAMPLE = 3000  # labelled rows per class that the model is fitted on, at most
 SAMPLE_CHARS = 8000  # code points taken from each of them
@@ -180,11 +182,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
 def score(docs: DataFrame, distance: Distance, model: Logistic | None, name: str = "score") -> DataFrame:
     """``docs`` plus column ``name`` (0 to 1) from the whole text.  A null or empty text has no windows and is scored as such;
     with nothing learned the score is 0."""
-    shared = docs.sparkSession.sparkContext.broadcast((distance, model))
-
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        distance, model = shared.value
         count = distance.counter()
         for texts in parts:
             if model is None:

@@ -17,9 +17,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markbook.llm.common import discard, lookup_join, query, stored, table
+from markbook.llm.common import discard, lookup_join, query, stored, table, travels
 from markbook.session import fresh_path
 
+travels(__name__)
+
 ARCHIVE_BYTES = 16 << 20  # payload aimed at per archive
 LEAST_REVISIT = 100  # smaller payloads are always stored as responses
 GAP_BYTES = 64 << 10  # ranges nearer than this are one read
