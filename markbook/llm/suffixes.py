@@ -22,18 +22,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markbook.llm.common import discard, query, stored, table
+from markbook.llm.common import discard, query, stored, table, travels
+
+travels(__name__)
 
 LENGTH = 50
 K = 16
 PLACES = LENGTH - K + 1  # places of an anchor in a passage
 LEFT = PLACES - 1
 KEY = LENGTH + 1 + LEFT + 1  # suffix, its length, reversed left context, its length
-BLOCK_BYTES = 8 << 20
-CHUNK = 1 << 20  # passages whose anchors are computed at once
+BLOCK_BYTES = 4 << 20
+CHUNK = 1 << 18  # passages whose anchors are computed at once
 POSITION_BITS = np.uint64(22)
 RANGE_HASHES = 2_000_000  # hashes aimed at per range of step 2
-RANGE_RECORDS = 200_000  # records aimed at per range of step 4
+RANGE_RECORDS = 100_000  # records aimed at per range of step 4
 SAMPLE = 1 << 16  # anchors sampled for the splitters, in expectation
 HASH_BITS = 48
 
@@ -55,7 +57,9 @@ def anchors(raw: np.ndarray, lengths: np.ndarray, takes_part: np.ndarray):
     """Records of a block: (document index, first passage, last passage, anchor, hash of the anchor), as arrays.
 
     ``raw`` is all texts after one another; places count from its start."""
-    limit = np.repeat(np.where(takes_part, np.cumsum(lengths) - LENGTH, -1), lengths)  # last passage of the place's document
+    last = np.where(takes_part, np.cumsum(lengths) - LENGTH, -1)
+    small = np.int32 if len(raw) < 1 << 31 else np.int64
+    limit = np.repeat(last.astype(small), lengths)  # last passage of the place's document
     owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     parts = []
     for at in range(0, max(len(raw) - LENGTH + 1, 0), CHUNK):
@@ -312,19 +316,19 @@ def _anchor_lists(ranges: int, sampled_below: int):
 
 def _shared_anchors(rows: pd.DataFrame) -> pd.DataFrame:
     """Step 2, per range: for every block, which of its hashes another document has."""
-    lists = []
+    every, flag = [], []
     for data in rows["data"]:
         b = _unpacked(data)
         h = np.cumsum(b["low"].astype(np.uint64) | b["high"].astype(np.uint64) << np.uint64(32))
-        lists.append((h, np.unpackbits(b["several"], count=len(h)).astype(bool)))
-    every = np.concatenate([h for h, _ in lists])
-    flag = np.concatenate([s for _, s in lists])
+        every.append(h)
+        flag.append(np.unpackbits(b["several"], count=len(h)).astype(bool))
+    sizes = np.cumsum([len(h) for h in every])[:-1]
+    every, twice = np.concatenate(every), np.concatenate(flag)
     order = np.argsort(every, kind="stable")
-    same = every[order][1:] == every[order][:-1]
-    twice = np.zeros(len(every), bool)
-    twice[order] = np.r_[False, same] | np.r_[same, False]
-    twice |= flag
-    sizes = np.cumsum([len(h) for h, _ in lists])[:-1]
+    every = every[order]
+    same = every[1:] == every[:-1]
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
     return pd.DataFrame({"block": rows["block"], "range": rows["range"], "bits": [np.packbits(x).tobytes() for x in np.split(twice, sizes)]})
 
 

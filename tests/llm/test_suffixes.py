@@ -65,18 +65,11 @@ def test_equals_brute_force(spark):
 
 
 def test_equals_brute_force_over_many_blocks_and_ranges(spark, monkeypatch):
-    import sys
-
-    from pyspark import cloudpickle
-
-    cloudpickle.register_pickle_by_value(S)  # so that the workers see the small limits
-    try:
-        for name, value in (("BLOCK_BYTES", 4000), ("CHUNK", 700), ("RANGE_HASHES", 300), ("RANGE_RECORDS", 100)):
-            monkeypatch.setattr(S, name, value)
-        rows = rows_with_repeats()
-        assert got(documents(spark, rows).repartition(2)) == brute(rows)
-    finally:
-        cloudpickle.unregister_pickle_by_value(sys.modules[S.__name__])
+    # The module travels with the job, so the workers see the small limits.
+    for name, value in (("BLOCK_BYTES", 4000), ("CHUNK", 700), ("RANGE_HASHES", 300), ("RANGE_RECORDS", 100)):
+        monkeypatch.setattr(S, name, value)
+    rows = rows_with_repeats()
+    assert got(documents(spark, rows).repartition(2)) == brute(rows)
 
 
 def test_empty_table(spark):
