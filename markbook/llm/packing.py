@@ -10,7 +10,11 @@ Tails are then ranked within their length and meet their place in the plan by (l
 
 from __future__ import annotations
 
+import re
+import sys
+import types
 import zlib
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -20,32 +24,75 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from markbook.llm.common import query, stored, table
+from markbook.llm.common import query, stored, table, travels
+
+travels(__name__)
 
 SEQUENCE = 2048
 END_ID = 1
 LEAST_PART = 8  # no cut makes a smaller part
-CACHE_WORDS = 300_000  # a worker forgets its words beyond this many
+FLUSH_IDS = 1 << 20  # ids that a worker holds before it hands them on
+CACHE_WORDS = 120_000  # stretches that a worker keeps, and as many older ones
+
+
+# Latin words with marks after them: their parts and their lower case can be told without the tokenizer's own splitter.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=>?@\[-`{-~]*)")
+VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that a byte-level vocabulary writes as themselves
+HIDDEN = [b for b in range(256) if b not in VISIBLE]
+BYTE_CHARS = {**{b: chr(b) for b in VISIBLE}, **{b: chr(256 + i) for i, b in enumerate(HIDDEN)}}
+
+
+class _Known(dict):
+    """stretch of text -> its ids as bytes, filled as it is asked; when full, the older half of what was asked goes."""
+
+    def __init__(self, make):
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
 
 
 def encoder(tokenizer_path: str):
+    """``_encoder`` with what it knows kept in the worker from task to task."""
+    kept = sys.modules.setdefault("_markbook_encoders", types.ModuleType("_markbook_encoders")).__dict__
+    if tokenizer_path not in kept:
+        kept[tokenizer_path] = _encoder(tokenizer_path)
+    return kept[tokenizer_path]
+
+
+def _encoder(tokenizer_path: str):
     """text -> ids (uint32), equal to encoding the whole text: the tokenizer never joins across a blank or a line end,
-    so the stretches between them are encoded once each and kept."""
+    so the stretches between them are encoded once each and kept.  A plain Latin word and the marks after it are asked of the
+    vocabulary itself, everything else of the whole tokenizer."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
-    known: dict[str, bytes] = {}
+    model = tokenizer.model
+
+    def part(word: str) -> bytes:
+        written = word if word.isascii() else "".join([BYTE_CHARS[b] for b in word.encode()])
+        return array("I", [t.id for t in model.tokenize(written)]).tobytes()
+
+    parts = _Known(part)
+
+    def stretch(text: str) -> bytes:
+        plain = PLAIN.fullmatch(text)
+        if plain:
+            word, marks = plain.groups()
+            return parts[word.lower()] + parts[marks] if marks else parts[word.lower()]
+        return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    known = _Known(stretch)
 
     def encode(text: str) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, np.uint32).tobytes()
-        return np.frombuffer(b"".join([known[w] for w in words]), np.uint32)
+        return np.frombuffer(b"".join([known[w] for w in text.replace("\n", " ").split(" ")]), np.uint32)
 
     return encode
 
@@ -125,12 +172,14 @@ def _ids(docs: DataFrame, tokenizer_path: str, size: int) -> DataFrame:
     ``place`` numbers the tails of a length and ``full0`` the full sequences within a chunk, so that later steps only
     add a start per (chunk, length).  Ids below 65,536 are kept in two bytes."""
 
+    columns = ["chunk", "doc_id", "doc_tokens", "tail", "place", "full0", "wide", "ids"]
+
     def run(batches: Iterator[pd.DataFrame]):
         encode = encoder(tokenizer_path)
         part = TaskContext.get().partitionId() << 16
         for number, rows in enumerate(batches):
             seen: dict[int, int] = {}
-            out, fulls = [], 0
+            out, fulls, held = [], 0, 0
             for doc_id, text in zip(rows["doc_id"].astype("Int64"), rows["text"]):
                 ids = np.append(encode(text or ""), np.uint32(END_ID))
                 tail = len(ids) % size
@@ -139,7 +188,11 @@ def _ids(docs: DataFrame, tokenizer_path: str, size: int) -> DataFrame:
                 wide = int(ids.max()) >= 1 << 16
                 out.append((part + number, doc_id, len(ids), tail, place, fulls, wide, ids.astype("<u4" if wide else "<u2").tobytes()))
                 fulls += len(ids) // size
-            yield pd.DataFrame(out, columns=["chunk", "doc_id", "doc_tokens", "tail", "place", "full0", "wide", "ids"])
+                held += len(ids)
+                if held >= FLUSH_IDS:
+                    yield pd.DataFrame(out, columns=columns)
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=columns)
 
     schema = "chunk long, doc_id long, doc_tokens long, tail int, place long, full0 long, wide boolean, ids binary"
     return docs.select("doc_id", "text").mapInPandas(run, schema)
