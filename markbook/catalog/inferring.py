@@ -21,7 +21,7 @@ from markbook.operators import inference
 from markbook.operators.inference import ServerError
 from markbook.plans.backends import BACKENDS
 from markbook.plans.evaluate import build_prompts, evaluate
-from markbook.sources import results
+from markbook.sources import commits, replies, results
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -362,11 +362,39 @@ def evaluate_with_failures(spark, sf):
     done = evaluate(
         fx.bank(spark, sf), tasks(spark, sf), BACKENDS["tgi"], failing_model, out, fx.subjects(spark, sf), max_attempts=2, **options(spark)
     )
-    ledger = results.read_ledger(spark, f"{out}/ledger").select("model", "subject", F.lit(True).alias("finished"))
+    ledger = results.committed_ledger(spark, f"{out}/ledger").select("model", "subject", F.lit(True).alias("finished"))
     done = done.join(ledger, ["model", "subject"], "left")
     return done.select("model", "subject", "n_rows", "n_correct", "accuracy", "n_failed", F.col("finished").isNull().alias("pending"))
 
 
+AGAIN = "CASE WHEN row_idx % 7 = 0 THEN question || ' (new)' ELSE question END"
+
+
+@query(
+    "replies_reused",
+    f"WITH {fx.BANK_SQL}, {fx.SUBJECTS_SQL}, {TASKS_SQL}, old AS (SELECT bank.subject, row_idx % 7 = 0 AS changed, {PLAIN_CHAT} AS prompt {TEST} WHERE split = 'test'), "
+    f"bank2 AS (SELECT * REPLACE ({AGAIN} AS question) FROM bank), "
+    f"p AS (SELECT bank.subject, row_idx % 7 = 0 AS changed, {PLAIN_CHAT} AS prompt, {HIT.format(PLAIN_CHAT)} {TEST.replace('FROM bank', 'FROM bank2 AS bank')} WHERE split = 'test'), "
+    "asked AS (SELECT subject, count(DISTINCT prompt) AS n_first FROM old GROUP BY subject), "
+    "again AS (SELECT subject, count(DISTINCT CASE WHEN changed THEN prompt END) AS n_second, count(*) AS n_rows, CAST(sum(hit) AS BIGINT) AS n_correct FROM p GROUP BY subject) "
+    "SELECT tasks.model, subject, n_first, n_second, n_rows, n_correct FROM tasks JOIN asked USING (subject) JOIN again USING (subject) WHERE n_second > 0",
+)
+def replies_reused(spark, sf):
+    """A bank is marked, some of its questions change, and it is marked again: only what changed is asked."""
+    out = session.fresh_path(spark, "reused")
+    bank, todo = fx.bank(spark, sf), tasks(spark, sf)
+
+    def run(bank):
+        return evaluate(bank, todo, BACKENDS["tgi"], letter_model, out, fx.subjects(spark, sf), **options(spark))
+
+    run(bank)
+    last = commits.records(spark, f"{out}/replies").agg(F.max("number")).first()[0]
+    done = run(bank.withColumn("question", F.expr(AGAIN)))
+    asked = commits.read(spark, f"{out}/replies", replies.STORED).groupBy("model", "subject").agg(
+        F.count_if(F.col("number") <= last).alias("n_first"), F.count_if(F.col("number") > last).alias("n_second"))
+    return done.join(asked, ["model", "subject"]).select("model", "subject", "n_first", "n_second", "n_rows", "n_correct")
+
+
 SCRIPT = {"".join(fixed.SCRIPT_CHARS): "".join(fixed.SCRIPT_CHARS.values())}
 
 

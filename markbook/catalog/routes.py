@@ -10,7 +10,7 @@ from markbook.catalog.registry import query
 from markbook.functions import scoring
 from markbook.operators import report, routing, runs
 from markbook.sources import bank as bank_source
-from markbook.sources import dims, results
+from markbook.sources import commits, dims, results
 
 
 @query(
@@ -294,3 +294,42 @@ def ledger_roundtrip(spark, sf):
     path = session.fresh_path(spark, "ledger")
     results.append_ledger(exam_ledger(spark, sf), path)
     return results.read_ledger(spark, path).drop("seq")
+
+
+@query(
+    "ledger_committed",
+    f"WITH {fx.LEDGER_SQL} SELECT 'run ' || CAST(n AS VARCHAR) AS run, model, subject, CASE WHEN n = 1 AND length(model) % 2 = 0 THEN 0.0 ELSE accuracy END AS accuracy "
+    "FROM ledger, range(2) AS runs(n)",
+)
+def ledger_committed(spark, sf):
+    """Two runs in one ledger: one appended twice, one corrected for some models, and an append that broke off before its commit."""
+    path = session.fresh_path(spark, "ledger")
+    ledger = exam_ledger(spark, sf).withColumn("content", F.lit("c"))
+    first, second = (ledger.withColumn("run", F.lit(f"run {n}")) for n in range(2))
+    for rows in (first, first, second, second.where("length(model) % 2 = 0").withColumn("accuracy", F.lit(0.0))):
+        results.commit_ledger(rows, path)
+    commits.write(first.withColumn("accuracy", F.lit(-1.0)).select("run", "model", "subject", "accuracy", "content"), path)
+    return results.committed_ledger(spark, path).select("run", "model", "subject", "accuracy")
+
+
+UPSERT_KEYS = "c_mktsegment AS model, 'nation ' || CAST(c_nationkey AS VARCHAR) AS subject, o_custkey % 50 AS row_idx"
+UPSERT = {
+    "correctness": "CAST(o_orderkey % 2 AS INT)",
+    # One version per key at most: the order's number.
+    "version": "o_orderkey",
+}
+
+
+@query(
+    "merge_upsert",
+    f"WITH r AS (SELECT {UPSERT_KEYS}, {fx.select_list(UPSERT)} FROM orders JOIN customer ON o_custkey = c_custkey) "
+    "SELECT model, subject, row_idx, max_by(correctness, version) AS correctness, max(version) AS version FROM r GROUP BY model, subject, row_idx",
+)
+def merge_upsert(spark, sf):
+    """Runs that overlap, one of them repeated, merged oldest last."""
+    path = session.fresh_path(spark, "upsert")
+    rows = fx.table(spark, sf, "orders").join(fx.table(spark, sf, "customer"), F.expr("o_custkey = c_custkey"))
+    rows = rows.select(F.col("c_mktsegment").alias("model"), F.expr("'nation ' || CAST(c_nationkey AS STRING)").alias("subject"), F.expr("o_custkey % 50").alias("row_idx"), *fx.columns(UPSERT))
+    for part in (rows.where("version % 3 = 2"), rows.where("version % 3 = 1"), rows.where("version % 3 = 1"), rows.where("version % 3 = 0 OR row_idx < 9")):
+        results.upsert_scored(part, path, key=("model", "subject", "row_idx"))
+    return results.read_scored(spark, path, rows.schema)

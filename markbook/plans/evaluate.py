@@ -1,7 +1,7 @@
 """A whole evaluation as one Spark job per stage: prompts, replies, marks, ledger.
 
-Replies are stored in waves of (model, subject) under a path fixed by the run's settings,
-before they are marked: a marking error or a lost run repeats at most the wave under way.
+Replies are stored in waves of (model, subject) under a hash of what was asked, before they are
+marked: a marking error or a lost run repeats at most the wave under way.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from markbook.functions.text import Script
 from markbook.operators import fewshot, inference, report, routing, runs
 from markbook.plans.backends import Backend
 from markbook.plans.joins import join_small
-from markbook.session import cut_lineage
-from markbook.sources import results
+from markbook.session import cut_lineage, written
+from markbook.sources import commits, replies, results
 
 
 def _with_context(rows: DataFrame, context: DataFrame | None) -> DataFrame:
@@ -120,38 +120,10 @@ def mark_replies(
     return scoring.marks(rows, policy, simplified=script is not None, choices=choices, script=script)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
-ROW = ["model", "subject", "row_idx"]
-
-
-def _failed(status: str) -> Column:
-    return F.coalesce(F.col(status).isin(*inference.FAILED), F.lit(False))
-
-
-def _stored(spark: SparkSession, path: str, tasks: DataFrame) -> DataFrame | None:
-    """Stored outcomes of the tasks, None where nothing is stored yet."""
-    if not path_exists(spark, path):
-        return None
-    return join_small(spark.read.parquet(path), tasks, ["model", "subject"], "left_semi")
-
-
-def _outcome(stored: DataFrame, status: str) -> DataFrame:
-    """One outcome per row: an answer of any run, else a failure."""
-    return stored.withColumn("_failed", _failed(status)).groupBy(*ROW).agg(
-        F.min_by(F.struct(*[c for c in stored.columns if c not in ROW]), F.struct(F.col("_failed"), F.xxhash64(*stored.columns))).alias("_one")
-    ).select(*ROW, "_one.*")
-
-
-def _without_answers(rows: DataFrame, stored: DataFrame | None, status: str) -> DataFrame:
-    """Rows that no run has an answer for; null row numbers are compared as values."""
-    if stored is None:
-        return rows
-    answered = stored.where(~_failed(status)).select(F.struct(*ROW).alias("_done")).distinct()
-    return rows.withColumn("_row", F.struct(*ROW)).join(answered, F.col("_row").eqNullSafe(F.col("_done")), "left_anti").drop("_row")
+def settings_key(backend: str, k: int, cot: bool, simplified: bool, settings: tuple) -> str:
+    """The name of a run in the ledger: readable, and told apart by everything that is set."""
+    parts = [backend, f"top_{k}" if k else "", "cot" if cot else "", "zhs" if simplified else "", hashlib.sha256(repr(settings).encode()).hexdigest()[:12]]
+    return "_".join(p for p in parts if p)
 
 
 def evaluate(
@@ -183,7 +155,12 @@ def evaluate(
     Writes ``replies``, ``judged``, ``scored`` and ``ledger`` under ``out``, which must be a
     folder all executors share, and returns this run's accuracies with ``n_failed``, the rows
     that got no answer.  Those rows count neither as right nor as wrong, and their task stays
-    out of the ledger: a later run with the same settings asks only for what is missing.
+    out of the ledger: a later run asks only for what is missing.
+
+    A task is finished if the ledger holds it for the same settings and the same prompts.  A changed
+    question, example, template, name or parameter makes it pending again, and only the prompts that
+    changed are sent: a reply belongs to the prompt that it answers, also across runs of other settings.
+    With ``resume_by=["subject"]`` a subject that any model finished under these settings is left out.
 
     Tasks run in waves of about ``wave``; the replies of a wave are stored before the next one
     begins and before anything is marked.  ``concurrency`` is the number of tasks that call a
@@ -193,16 +170,11 @@ def evaluate(
     if parsing == "llm" and not backend.judge:
         raise ValueError(f"backend {backend.name} does not support judge marking")
     spark = bank.sparkSession
-    ledger, key = f"{out}/ledger", ["model", "subject"]
-    settings = (backend, k, cot, split, tuple(choices), with_prompt, tokens, templates is not None, script and (script.chars, script.phrases))
-    run = hashlib.sha256(repr(settings).encode()).hexdigest()[:12]
-    replies_path, judged_path = f"{out}/replies/{run}", f"{out}/judged/{run}"
-    tasks = tasks.select(*key).distinct()
-    if path_exists(spark, ledger):
-        tasks = runs.pending_tasks(tasks, results.read_ledger(spark, ledger), resume_by)
-    tasks = cut_lineage(tasks)  # read many times below, and the ledger grows meanwhile
-    waves = max(1, -(-tasks.count() // wave))
-    wave_of = F.pmod(F.xxhash64(*key), F.lit(waves))
+    key = ["model", "subject"]
+    settings = (backend, k, cot, split, tuple(choices), with_prompt, tokens, parsing, blind, max_samples, script and (script.chars, script.phrases))
+    run = settings_key(backend.name, k, cot, script is not None, settings)
+    tasks = cut_lineage(tasks.select(*key).distinct())  # read many times below
+    waves = max(1, min(replies.PLACES, -(-tasks.count() // wave)))
 
     test = bank.where(F.col("split") == split).drop("split", "explanation")
     if max_samples is not None:
@@ -211,37 +183,62 @@ def evaluate(
     dev = bank.where(F.col("split") == "train")
     chat = backend.render == "chat" and (templates is not None or tokens is not None)
     role_tokens = F.col("tokens") if chat else None
+    rows = runs.questions_per_model(test, tasks)
+    if chat and tokens is not None:
+        rows = rows.withColumn("tokens", F.struct(*[F.lit(tokens[t.removesuffix("_token")]).alias(t) for t in routing.TOKENS]))
+    elif chat:
+        rows = routing.with_tokens(rows, templates, "model")
+    prompts = build_prompts(rows, dev, backend, k, cot, names, choices, role_tokens, script, with_prompt)
+    prompts = prompts.withColumn("params", routing.backend_params(F.lit(backend.name), F.lit(cot), F.col("model")))
+    prompts = prompts.withColumn("key", replies.reply_key(F.col("prompt"), F.col("params"), F.col("model"), backend.name))
+    end_token = role_tokens["end_token"] if chat else F.lit(None).cast("string")
+    # Built once; a wave reads the folders of its places.
+    prompts = prompts.withColumn("end_token", end_token).drop("tokens").withColumn("place", replies.task_place())
+    prompts = written(prompts, "prompts", ["place"])
+
+    contents = prompts.groupBy(*key).agg(F.concat_ws(":", F.count("*"), F.sum(F.xxhash64("key").cast("decimal(20,0)"))).alias("content"))
+    contents = cut_lineage(contents)  # a row per task
+    ledger = results.committed_ledger(spark, f"{out}/ledger", run)
+    if tuple(resume_by) == ("model", "subject"):
+        contents = contents.join(ledger.select(*key, "content"), [*key, "content"], "left_anti")
+    else:
+        contents = runs.pending_tasks(contents, ledger, resume_by)
+    contents = cut_lineage(contents)
+    pending = contents.select(*key)
+
     calls = {"concurrency": concurrency, **options}
-    for number in range(waves):
-        rows = runs.questions_per_model(test, tasks.where(wave_of == number))
-        rows = _without_answers(rows, _stored(spark, replies_path, tasks), "status")
-        if chat and tokens is not None:
-            rows = rows.withColumn("tokens", F.struct(*[F.lit(tokens[t.removesuffix("_token")]).alias(t) for t in routing.TOKENS]))
-        elif chat:
-            rows = routing.with_tokens(rows, templates, "model")
-        prompts = build_prompts(rows, dev, backend, k, cot, names, choices, role_tokens, script, with_prompt)
-        params = routing.backend_params(F.lit(backend.name), F.lit(cot), F.col("model"))
-        replies = inference.batch_generate(prompts, make, params=params, fold_on_server_error=backend.resend_folded, **calls)
-        replies = inference.clean_response(replies, role_tokens["end_token"] if chat else None).drop("tokens", "prompt")
-        replies.write.mode("append").parquet(replies_path)
-
-    # Only rows of the bank as it is asked now; older runs may have stored others.
-    wanted = runs.questions_per_model(test.select("subject", "row_idx"), tasks)
-    answered = _outcome(_stored(spark, replies_path, tasks), "status").join(wanted, ROW, "left_semi")
-    failed = _failed("status")
+    stored = (spark, f"{out}/replies", replies.STORED, "status")
+    for number in range(0 if contents.isEmpty() else waves):
+        low, high = (replies.PLACES * n // waves for n in (number, number + 1))
+        wanted = join_small(prompts.where(F.col("place").between(low, high - 1)), pending, key, "left_semi")
+        asked = replies.unanswered(wanted.select(*key, "key", "prompt", "params", "place"), replies.outcomes(*stored, low, high), "status")
+        got = inference.batch_generate(asked, make, params=F.col("params"), fold_on_server_error=backend.resend_folded, **calls)
+        commits.append(got.drop("prompt", "params"), f"{out}/replies", ["place"])
+
+    wanted = join_small(prompts.drop("prompt", "params", "place"), pending, key, "left_semi")
+    answered = wanted.join(replies.outcomes(*stored).drop(*key), "key", "left")
+    failed = replies.failed("status")
+    if chat:
+        answered = inference.clean_response(answered, F.col("end_token"))
+    else:
+        answered = inference.clean_response(answered)
     if parsing == "llm" or backend.shot_rule == "judge":
-        asked = _without_answers(answered.where(~failed).select(*ROW, "response"), _stored(spark, judged_path, tasks), "judge_status")
-        inference.judge(asked, judge_make, **calls).select(*ROW, "judged", "judge_status").write.mode("append").parquet(judged_path)
-        judged = _outcome(_stored(spark, judged_path, tasks), "judge_status")
-        answered = answered.join(judged, ROW, "left")
-        failed = failed | _failed("judge_status")
+        # The judge sees the response alone, so equal responses are judged once.
+        answered = written(answered.withColumn("_reply", F.col("key")).withColumn("key", F.sha2("response", 256)), "answered")
+        judged = (spark, f"{out}/judged", replies.JUDGED, "judge_status")
+        asked = replies.unanswered(answered.where(~failed).select("key", "response"), replies.outcomes(*judged), "judge_status")
+        labels = inference.judge(asked, judge_make, **calls).withColumn("place", replies.key_place())
+        commits.append(labels.select("key", "judged", "judge_status", "place"), f"{out}/judged", ["place"])
+        answered = join_small(answered, replies.outcomes(*judged), ["key"], "left").drop("key").withColumnRenamed("_reply", "key")
+        failed = failed | replies.failed("judge_status")
     if blind:
         answered = scoring.blind(answered)
-    marked = mark_replies(answered, backend, k != 0, cot, parsing, script, choices)
-    marked = marked.withColumn("failed", failed).withColumn("correctness", F.when(~F.col("failed"), F.col("correctness")))
-    results.write_scored(marked, f"{out}/scored")
-
-    scored = join_small(results.read_scored(spark, f"{out}/scored", marked.schema), tasks, key, "left_semi")
-    accuracy = report.accuracy_by_subject(scored, failed="failed")
-    results.append_ledger(accuracy.where("n_failed = 0"), ledger)
+    marked = mark_replies(answered.drop("end_token"), backend, k != 0, cot, parsing, script, choices)
+    marked = marked.withColumn("failed", failed).withColumn("correctness", F.when(~F.col("failed"), F.col("correctness"))).withColumn("run", F.lit(run))
+    results.write_scored(marked, f"{out}/scored", by=("run", *key))
+
+    scored = results.read_scored(spark, f"{out}/scored", marked.schema).where(F.col("run") == run)
+    accuracy = report.accuracy_by_subject(join_small(scored, pending, key, "left_semi"), failed="failed")
+    done = accuracy.where("n_failed = 0").join(contents, key).withColumn("run", F.lit(run))
+    results.commit_ledger(done, f"{out}/ledger")
     return accuracy

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markbook import schema
+from markbook.plans.joins import join_small
+from markbook.session import written
+from markbook.sources import commits
+
+LEDGER_ROW = "run string, model string, subject string, accuracy double, content string"
 
 
 def write_scored(scored: DataFrame, path: str, fmt: str = "parquet", by=("model", "subject")) -> None:
@@ -59,3 +64,38 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
             F.monotonically_increasing_id().alias("row"),
         ).alias("seq"),
     )
+
+
+def commit_ledger(accuracy: DataFrame, path: str) -> None:
+    """Append (run, model, subject, accuracy, content) rows as one commit; nothing is seen of an append that breaks off."""
+    commits.append(accuracy.select("run", "model", "subject", "accuracy", "content").coalesce(1), path)
+
+
+def committed_ledger(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
+    """One row per (run, model, subject), that of the last committed append, with ``seq``, its order of appending."""
+    rows = commits.read(spark, path, LEDGER_ROW)
+    rows = rows if run is None else rows.where(F.col("run") == run)
+    return commits.latest(rows, ["run", "model", "subject"]).withColumn("seq", F.struct("number", "model", "subject")).drop("number")
+
+
+def upsert_scored(rows: DataFrame, path: str, key=("model", "subject", "row_idx", "attempt"), version: str = "version", by=("model", "subject")) -> None:
+    """Merge ``rows`` into the scored rows at ``path``: of each key the row of the highest version stays.
+
+    Only the folders (``by``) that ``rows`` touches are read and replaced.  The merged rows are written aside first, so a run that
+    breaks off can be repeated.  A late row of a lower version changes nothing, and a repeated one nothing either.
+    """
+    spark = rows.sparkSession
+    merged = rows
+    if commits.path_exists(spark, path):
+        touched = rows.select(*by).distinct()
+        old = join_small(spark.read.schema(rows.schema).parquet(path), touched, list(by), "left_semi")
+        merged = rows.unionByName(old)
+    write_scored(written(newest(merged, key, version), "upsert"), path, by=by)
+
+
+def newest(rows: DataFrame, key, version: str) -> DataFrame:
+    """One row per key, that of the highest version; equal versions are settled by a hash of the row.  Null keys are values."""
+    rest = [c for c in rows.columns if c not in key]
+    order = F.struct(F.col(version), F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]))
+    one = rows.groupBy(*key).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), order).alias("_one"))
+    return one.select(*key, "_one.*").select(*[f"`{c}`" for c in rows.columns])

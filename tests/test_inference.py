@@ -166,9 +166,9 @@ def test_evaluate_resumes_and_keeps_a_ledger(spark, bank, tmp_path):
     first = evaluate(bank, todo, BACKENDS["groq"], always("C"), out, k=1, **OPTIONS)
     assert {(r["model"], r["subject"]): (r["n_rows"], r["n_correct"]) for r in first.collect()} == {("m/1", "s1"): (6, 2), ("m/2", "s1"): (6, 2)}
     more = tasks(spark, ("m/1", "s1"), ("m/1", "s2"), ("m/2", "s2"))
-    second = evaluate(bank, more, BACKENDS["groq"], always("D"), out, **OPTIONS)
+    second = evaluate(bank, more, BACKENDS["groq"], always("D"), out, k=1, **OPTIONS)
     assert {(r["model"], r["subject"]) for r in second.collect()} == {("m/1", "s2"), ("m/2", "s2")}
-    ledger = results.read_ledger(spark, f"{out}/ledger")
+    ledger = results.committed_ledger(spark, f"{out}/ledger")
     assert ledger.count() == 4
     scored = spark.read.parquet(f"{out}/scored")
     assert scored.count() == 24 and {"response", "extracted", "correctness", "status"} <= set(scored.columns)
@@ -203,10 +203,10 @@ def test_an_endpoint_that_is_down_finishes_nothing(spark, bank, tmp_path):
     (tmp_path / "seen").mkdir()
     first = evaluate(bank, todo, BACKENDS["groq"], counting(str(tmp_path / "seen"), lambda t: ConnectionError("down")), out, max_attempts=1, **OPTIONS).collect()
     assert {(r["n_rows"], r["n_correct"], r["accuracy"], r["n_failed"]) for r in first} == {(0, None, None, 6)}
-    assert results.read_ledger(spark, f"{out}/ledger").count() == 0
+    assert results.committed_ledger(spark, f"{out}/ledger").count() == 0
     second = evaluate(bank, todo, BACKENDS["groq"], always("C"), out, **OPTIONS).collect()
     assert {(r["subject"], r["n_rows"], r["n_correct"], r["n_failed"]) for r in second} == {("s1", 6, 2, 0), ("s2", 6, 2, 0)}
-    assert results.read_ledger(spark, f"{out}/ledger").count() == 2
+    assert results.committed_ledger(spark, f"{out}/ledger").count() == 2
     assert evaluate(bank, todo, BACKENDS["groq"], always("C"), out, **OPTIONS).count() == 0
 
 
@@ -285,3 +285,53 @@ def test_workers_need_no_installed_copy(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
     assert "rows 200" in done.stdout, done.stderr[-2000:]
+
+
+CHAT = "file_order int, model_name string, system_token string, end_token string, assistant_token string, user_token string"
+
+
+def test_only_changed_prompts_are_asked_again(spark, bank, tmp_path):
+    """One question and one model's template change: exactly the prompts that these are part of are sent."""
+    todo, out = tasks(spark, ("m", "s1"), ("m", "s2"), ("n", "s1")), str(tmp_path / "run")
+    seen = [tmp_path / name for name in ("one", "two", "three", "four")]
+    for folder in seen:
+        folder.mkdir()
+
+    def run(bank, templates, folder):
+        table = spark.createDataFrame(templates, CHAT)
+        return evaluate(bank, todo, BACKENDS["tgi"], counting(str(folder), lambda t: "答案：C"), out, templates=table, concurrency=2, **OPTIONS).collect()
+
+    old = [(0, "m", "<s>", "</s>", "<a>", "<u>"), (1, "n", "[s]", "[/s]", "[a]", "[u]")]
+    run(bank, old, seen[0])
+    assert len(sent(seen[0])) == 18
+    changed = bank.withColumn("question", F.when((F.col("subject") == "s2") & (F.col("row_idx") == 4), "new text").otherwise(F.col("question")))
+    done = run(changed, old, seen[1])
+    assert [t for t in sent(seen[1]) if "new text" in t] == sent(seen[1]) and len(sent(seen[1])) == 1
+    assert [(r["model"], r["subject"], r["n_rows"]) for r in done] == [("m", "s2", 6)]
+    done = run(changed, [old[0], (1, "n", "[s]", "[/s]", "[A]", "[u]")], seen[2])
+    assert len(sent(seen[2])) == 6 and all("[A]" in t for t in sent(seen[2]))
+    assert [(r["model"], r["subject"], r["n_rows"]) for r in done] == [("n", "s1", 6)]
+    # Back to the first bank: every reply is known, the tasks are only marked again.
+    done = run(bank, old, seen[3])
+    assert sent(seen[3]) == [] and {(r["model"], r["subject"], r["n_rows"]) for r in done} == {("m", "s2", 6), ("n", "s1", 6)}
+    assert results.committed_ledger(spark, f"{out}/ledger").count() == 3
+
+
+def test_runs_of_other_settings_have_their_own_ledger_rows(spark, bank, tmp_path):
+    todo, out = tasks(spark, ("m", "s1")), str(tmp_path / "run")
+    for k in (0, 5, 0):
+        evaluate(bank, todo, BACKENDS["groq"], always("C"), out, k=k, **OPTIONS)
+    ledger = results.committed_ledger(spark, f"{out}/ledger").collect()
+    assert len(ledger) == 2 and sorted("top_5" in r["run"] for r in ledger) == [False, True]
+    assert spark.read.parquet(f"{out}/scored").groupBy("run").count().count() == 2
+
+
+def test_equal_prompts_are_asked_once_and_equal_replies_judged_once(spark, tmp_path):
+    rows = [("s1", "test", i, "the same", "w", "x", "y", "z", "C", None) for i in range(5)]
+    one, two = tmp_path / "one", tmp_path / "two"
+    one.mkdir()
+    two.mkdir()
+    done = evaluate(spark.createDataFrame(rows, BANK), tasks(spark, ("m", "s1")), BACKENDS["gemini"], counting(str(one), lambda t: "C it is"), str(tmp_path / "run"),
+                    parsing="llm", judge_make=counting(str(two), lambda t: "C"), **OPTIONS).collect()
+    assert (done[0]["n_rows"], done[0]["n_correct"]) == (5, 5)
+    assert len(sent(one)) == 1 and len(sent(two)) == 1
