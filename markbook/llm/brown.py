@@ -36,7 +36,7 @@ SHARE = 1 << 14  # a word of more than 1 / SHARE of all tokens is exchanged in r
 ROUNDS = 8
 LEAST_GAIN = 1e-4  # of the likelihood, below which a round is the last
 WEIGHT = 20.0  # tokens that the smoothing of a class weighs
-CHUNK_TOKENS, CHUNK_WORDS = 1 << 21, 1 << 18  # a chunk ends with the text that reaches either
+CHUNK_TOKENS, CHUNK_WORDS = 1 << 22, 3 << 17  # a chunk ends with the text that reaches either
 COUNTED_WORDS = 1 << 18  # words that a worker counts before it hands them on
 HAPAX, UNSEEN = 128, 127  # codes of a text: its classes, the end, UNSEEN; HAPAX is added to the class of a word seen once
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
