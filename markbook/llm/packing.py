@@ -32,7 +32,7 @@ SEQUENCE = 2048
 END_ID = 1
 LEAST_PART = 8  # no cut makes a smaller part
 FLUSH_IDS = 1 << 20  # ids that a worker holds before it hands them on
-CACHE_WORDS = 120_000  # stretches that a worker keeps, and as many older ones
+CACHE_WORDS = 200_000  # stretches that a worker keeps, and as many older ones
 
 
 # Latin words with marks after them: their parts and their lower case can be told without the tokenizer's own splitter.
@@ -76,23 +76,20 @@ def _encoder(tokenizer_path: str):
     tokenizer = Tokenizer.from_file(tokenizer_path)
     model = tokenizer.model
 
-    def part(word: str) -> bytes:
-        written = word if word.isascii() else "".join([BYTE_CHARS[b] for b in word.encode()])
-        return array("I", [t.id for t in model.tokenize(written)]).tobytes()
-
-    parts = _Known(part)
-
     def stretch(text: str) -> bytes:
         plain = PLAIN.fullmatch(text)
-        if plain:
-            word, marks = plain.groups()
-            return parts[word.lower()] + parts[marks] if marks else parts[word.lower()]
-        return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if not plain:
+            return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        word, marks = plain.groups()
+        if marks or word != word.lower():
+            return known[word.lower()] + known[marks] if marks else known[word.lower()]
+        written = text if text.isascii() else "".join([BYTE_CHARS[b] for b in text.encode()])
+        return array("I", [t.id for t in model.tokenize(written)]).tobytes()
 
     known = _Known(stretch)
 
     def encode(text: str) -> np.ndarray:
-        return np.frombuffer(b"".join([known[w] for w in text.replace("\n", " ").split(" ")]), np.uint32)
+        return np.frombuffer(b"".join(map(known.__getitem__, text.replace("\n", " ").split(" "))), np.uint32)
 
     return encode
 
