@@ -301,6 +301,40 @@ _evaluation(
     + f" {TEST} JOIN shots ON bank.subject = shots.subject WHERE split = 'test') {ACCURACY}",
     k=K,
 )
+SYSTEM_MESSAGE, WHOLE_MESSAGE, BARE_MESSAGE = sql_message("system", SYSTEM), sql_message("user", f"{USER} || {BLOCK}"), sql_message("user", BLOCK)
+ZERO_MESSAGES = f"'[' || {SYSTEM_MESSAGE} || ',' || {WHOLE_MESSAGE} || ']'"
+_evaluation(
+    "evaluate_groq",
+    "groq",
+    f"WITH {fx.BANK_SQL}, {fx.SUBJECTS_SQL}, {TASKS_SQL}, p AS (SELECT bank.subject, " + HIT.replace("{}", ZERO_MESSAGES) + f" {TEST} WHERE split = 'test') {ACCURACY}",
+)
+_evaluation(
+    "evaluate_together",
+    "together",
+    f"WITH {fx.BANK_SQL}, {fx.SUBJECTS_SQL}, {TASKS_SQL}, "
+    + SHOTS.replace("{}", "CASE WHEN place = 1 THEN '' ELSE ',' END || " + sql_message("user", f"CASE WHEN place = 1 THEN {USER} ELSE '' END || {BLOCK}") + " || ',' || " + sql_message("assistant", "answer"))
+    + ", p AS (SELECT bank.subject, "
+    + HIT.replace("{}", f"'[' || {SYSTEM_MESSAGE} || ',' || context || ',' || {BARE_MESSAGE} || ']'")
+    + f" {TEST} JOIN shots ON bank.subject = shots.subject WHERE split = 'test') {ACCURACY}",
+    k=K,
+)
+_evaluation(
+    "evaluate_azure",
+    "azure",
+    f"WITH {fx.BANK_SQL}, {fx.SUBJECTS_SQL}, {TASKS_SQL}, "
+    + SHOTS.replace("{}", f"CASE WHEN place = 1 THEN {WHOLE_MESSAGE} || ',' || {sql_message('assistant', 'answer')} ELSE '' END")
+    + ", p AS (SELECT bank.subject, "
+    + HIT.replace("{}", f"'[' || {SYSTEM_MESSAGE} || ',' || context || ',' || {BARE_MESSAGE} || ']'")
+    + f" {TEST} JOIN shots ON bank.subject = shots.subject WHERE split = 'test') {ACCURACY}",
+    k=K,
+)
+_evaluation(
+    "evaluate_reka",
+    "reka",
+    f"WITH {fx.BANK_SQL}, {fx.SUBJECTS_SQL}, {TASKS_SQL}, p AS (SELECT bank.subject, "
+    + HIT.replace("{}", f"{SYSTEM} || chr(10) || {USER} || {BLOCK} || chr(10)")
+    + f" {TEST} WHERE split = 'test') {ACCURACY}",
+)
 SHOT_PAIR = (
     "CASE WHEN place = 1 THEN '' ELSE ',' END || '{{\"query\":' || "
     + sql_json(f"CASE WHEN place = 1 THEN {USER} ELSE '' END || {PAIR_QUERY}")
@@ -429,3 +463,16 @@ def evaluate_judged(spark, sf):
         parsing="llm", judge_make=judge_model, **options(spark),
     )
     return done.select("model", "subject", "n_rows", "n_correct", "accuracy")
+
+
+@query(
+    "evaluate_breeze",
+    f"WITH {fx.BANK_SQL}, {fx.SUBJECTS_SQL}, {TASKS_SQL}, p AS (SELECT bank.subject, " + HIT.replace("{}", ZERO_MESSAGES) + f" {TEST} WHERE split = 'test') {ACCURACY}",
+)
+def evaluate_breeze(spark, sf):
+    """A backend whose replies are always judged."""
+    out = session.fresh_path(spark, "breeze")
+    done = evaluate(
+        fx.bank(spark, sf), tasks(spark, sf), BACKENDS["breeze"], letter_model, out, fx.subjects(spark, sf), judge_make=judge_model, **options(spark)
+    )
+    return done.select("model", "subject", "n_rows", "n_correct", "accuracy")

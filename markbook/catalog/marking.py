@@ -120,6 +120,26 @@ def to_simplified(spark, sf):
     return rows.select("doc_id", by_char.alias("by_char"), by_phrase.alias("by_phrase"))
 
 
+WORDS = "SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{3,}')) AS source FROM benchmark"
+ACCENTS = {"é": "e", "ß": "s", "ñ": "n"}
+
+
+@query(
+    "script_table",
+    f"WITH w AS ({WORDS}), p AS (SELECT '(' || string_agg(source, '|' ORDER BY length(source) DESC, source) || '|(?s:.))' AS pattern FROM w), "
+    "pieces AS (SELECT doc_id, regexp_extract_all(text, pattern, 1) AS all_pieces FROM documents, p), "
+    "one AS (SELECT doc_id, unnest(all_pieces) AS piece, generate_subscripts(all_pieces, 1) AS i FROM pieces) "
+    f"SELECT doc_id, string_agg(coalesce(reverse(source), translate(piece, '{''.join(ACCENTS)}', '{''.join(ACCENTS.values())}')), '' ORDER BY i) AS converted "
+    "FROM one LEFT JOIN w ON piece = source GROUP BY doc_id",
+)
+def script_table(spark, sf):
+    """A phrase table read from data: every word of the benchmark, also inside longer words, written backwards."""
+    words = fx.table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("source")).distinct()
+    chars = spark.createDataFrame(list(ACCENTS.items()), "source string, target string")
+    script = Script.from_table(words.withColumn("target", F.reverse("source")).union(chars))
+    return fx.table(spark, sf, "documents").select("doc_id", script.column(F.col("text")).alias("converted"))
+
+
 STOP = "CASE WHEN doc_id % 7 = 0 THEN '' ELSE substr(text, 11, 2) END"
 
 

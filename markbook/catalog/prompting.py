@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from markbook import fixed_values as fixed
+from markbook import session
 from markbook.catalog import fixtures as fx
 from markbook.catalog.registry import query
 from markbook.functions import blocks, render
 from markbook.operators import fewshot
-from markbook.operators.conversations import message_parts, whole_prompts
+from markbook.operators.conversations import ordered_messages
+from markbook.sources import bank as bank_source
 
 NL = "chr(10)"
 
@@ -223,6 +225,32 @@ def zero_shot_direct(spark, sf):
     return rows.select("subject", "row_idx", flat(fewshot.zero_shot_messages(F.col("name"), direct=True)).alias("prompt"))
 
 
+# --- banks of one file per subject ---------------------------------------------------------
+
+TREE_CHOICES = {"ABCD": "length(subject) % 2 = 0", "ABCDE": "length(subject) % 2 = 1"}
+OPTION_E = "'none of ' || A || ' and ' || B"
+
+
+@query(
+    "bank_tree",
+    WITH_BANK + ", ".join(["", "five AS (SELECT *, length(subject) % 2 = 1 AS longer FROM bank)"])
+    + "SELECT subject, split, row_idx, CASE WHEN longer THEN 'A,B,C,D,E' ELSE 'A,B,C,D' END AS letters, "
+    f"question || {OPTIONS} || CASE WHEN longer THEN chr(10) || 'E. ' || {OPTION_E} ELSE '' END || chr(10) || '{fixed.ANSWER_CUE}' AS block FROM five",
+)
+def bank_tree(spark, sf):
+    """A folder per subject and split, some with a fifth choice, written as CSV and read without being told which."""
+    path = session.fresh_path(spark, "tree")
+    bank = fx.bank(spark, sf).withColumn("E", F.expr(OPTION_E))
+    for letters, which in TREE_CHOICES.items():
+        columns = ["row_idx", "question", *letters, "answer", "explanation"]
+        rows = bank.where(which).select("subject", "split", *columns)
+        rows.write.mode("append").partitionBy("subject", "split").option("header", True).option("escape", '"').csv(path)
+    tree = bank_source.read_tree(spark, path)
+    parts = [bank_source.by_choices(tree, tuple(letters)).select("subject", "split", "row_idx", F.lit(",".join(letters)).alias("letters"), blocks.question_block(tuple(letters)).alias("block"))
+             for letters in TREE_CHOICES]
+    return parts[0].union(parts[1])
+
+
 # --- rendering conversations -----------------------------------------------------------
 
 TURNS = "WITH t AS (SELECT conv_id, turn, role, text, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations) "
@@ -233,30 +261,26 @@ def _rendered(name, column, piece, ending="''"):
 
     @query(name, TURNS + f"SELECT conv_id, string_agg({piece}, '' ORDER BY turn) || {ending} AS prompt FROM t GROUP BY conv_id")
     def run(spark, sf):
-        parts = message_parts(fx.table(spark, sf, "conversations"), "conv_id", "turn", content="text")
-        return whole_prompts(parts, "conv_id", column(F.col("messages")))
+        rows = ordered_messages(fx.table(spark, sf, "conversations"), "conv_id", "turn", content="text")
+        return rows.select("conv_id", column(F.col("messages")).alias("prompt"))
 
 
 _rendered(
     "render_chat",
-    lambda m: render.render_chat(m, closing=F.col("is_last")),
+    render.render_chat,
     "'<|im_start|>' || role || chr(10) || text || '<|im_end|>'",
     "'<|im_start|>assistant' || chr(10)",
 )
 _rendered(
     "render_turns",
-    lambda m: render.render_turns(m, closing=F.col("is_last")),
+    render.render_turns,
     "chr(10) || chr(10) || CASE WHEN role = 'assistant' THEN 'Assistant:' ELSE 'Human:' END || ' ' || text",
     "chr(10) || chr(10) || 'Assistant:'",
 )
 _rendered("render_lines", render.render_lines, "text || chr(10)")
 _rendered(
     "render_segments",
-    # A part that goes on with the previous part's segment gets no separator.
-    lambda m: F.concat(
-        F.when(F.col("role_before").isNotNull() & ~((F.col("role_before") == "system") & (m[0]["role"] == "user")), "\x1e").otherwise(""),
-        F.array_join(render.render_segments(m), "\x1e"),
-    ),
+    lambda m: F.array_join(render.render_segments(m), "\x1e"),
     "CASE WHEN previous IS NULL OR (role = 'user' AND previous = 'system') THEN '' ELSE chr(30) END || "
     "CASE WHEN role = 'user' THEN '問題: ' ELSE '' END || text || chr(10)",
 )

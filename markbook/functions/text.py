@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-import re
+import sys
+from collections.abc import Iterator
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markbook import fixed_values as fixed
+from markbook.functions import trie as tries
+from markbook.functions.trie import Trie
+
+# Workers get these functions with the job, so they need no installed copy.
+cloudpickle.register_pickle_by_value(tries)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Every character that Python counts as white space; the JVM's own classes leave
 # some of them out.  Once as a regex class, once as plain characters.
@@ -64,59 +74,73 @@ class Script:
     """Traditional-to-simplified mapping: single characters and optional phrases.
 
     Phrases win over characters, from left to right, and the longest phrase at a
-    position wins, as in a dictionary segmenter.  The mapping lives in the
-    expression, so it is meant for tables of a few thousand characters and a few
-    hundred phrases.
+    position wins, as in a dictionary segmenter.  Characters alone are one built-in
+    expression.  With phrases, texts go through a trie in Arrow batches; the trie is sent to
+    the workers once, and its size is that of the dictionary, whatever the texts are.
     """
 
-    TABLE_ROWS = 10_000
-
     def __init__(self, chars: dict[str, str] | None = None, phrases: dict[str, str] | None = None):
         self.chars = dict(fixed.SCRIPT_CHARS if chars is None else chars)
         self.phrases = dict(phrases or {})
+        self._shared = None
 
     @classmethod
     def from_table(cls, table: DataFrame) -> Script:
-        """The mapping of a table (source, target), one character or phrase per row; a table of
-        more than TABLE_ROWS rows is refused, not cut.  Of repeated sources the least target counts."""
-        rows = table.where("source <> '' AND target IS NOT NULL").groupBy("source").agg(F.min("target").alias("target")).limit(cls.TABLE_ROWS + 1).collect()
-        if len(rows) > cls.TABLE_ROWS:
-            raise ValueError(f"a script table has at most {cls.TABLE_ROWS} rows")
-        single = {r["source"]: r["target"] for r in rows if len(r["source"]) == 1 and len(r["target"]) == 1}
-        return cls(single, {r["source"]: r["target"] for r in rows if r["source"] not in single})
-
-    def _phrase(self) -> str:
-        """Any phrase, the longest first, tried only where one can begin."""
-        longest_first = sorted(self.phrases, key=lambda p: (-len(p), p))
-        return "(" + "|".join(map(re.escape, longest_first)) + ")"
+        """The mapping of a table (source, target), one character or phrase per row.  Of repeated sources the least target counts."""
+        rows = table.where("source <> '' AND target IS NOT NULL").groupBy("source").agg(F.min("target").alias("target")).toArrow()
+        pairs = dict(zip(rows["source"].to_pylist(), rows["target"].to_pylist()))
+        single = {s: t for s, t in pairs.items() if len(s) == 1 and len(t) == 1}
+        return cls(single, {s: t for s, t in pairs.items() if s not in single})
+
+    @cached_property
+    def trie(self) -> Trie:
+        return Trie(self.chars, self.phrases)
+
+    def _sent(self):
+        """What the trie is made of as a broadcast of the running session."""
+        context = SparkSession.active().sparkContext
+        if self._shared is None or self._shared[0] is not context:
+            self._shared = (context, context.broadcast(self.trie.parts))
+        return self._shared[1]
 
     def column(self, text: Column) -> Column:
-        source, target = "".join(self.chars), "".join(self.chars.values())
         if not self.phrases:
-            return F.translate(text, source, target)
-        # One pass cuts the text into phrases, stretches without the head of any, and lone heads.
-        heads = "".join(sorted({re.escape(p[0]) for p in self.phrases}))
-        pieces = F.regexp_extract_all(text, F.lit(f"(?s){self._phrase()[:-1]}|[^{heads}]+|.)"), F.lit(1))
-        table = F.create_map(*[F.lit(x) for pair in self.phrases.items() for x in pair])
-        longest = max(map(len, self.phrases))
+            return F.translate(text, "".join(self.chars), "".join(self.chars.values()))
+        shared = self._sent()
+
+        @F.pandas_udf("string")
+        def converted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            trie = Trie.of(shared.value)
+            for texts in parts:
+                yield pd.Series(trie.convert(list(texts)), dtype=object)
+
+        return converted(text)
+
+    def texts(self, texts: Column) -> Column:
+        """Every element of an array of texts converted."""
+        if not self.phrases:
+            return F.transform(texts, self.column)
+        shared = self._sent()
 
-        def converted(p):
-            known = F.when(F.length(p) <= longest, F.try_element_at(table, p))
-            return F.coalesce(known, F.translate(p, source, target))
+        @F.pandas_udf("array<string>")
+        def converted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            trie = Trie.of(shared.value)
+            for lists in parts:
+                sizes = [0 if one is None else len(one) for one in lists]
+                flat = iter(trie.convert([t for one in lists if one is not None for t in one]))
+                yield pd.Series([None if one is None else [next(flat) for _ in range(n)] for one, n in zip(lists, sizes)], dtype=object)
 
-        return F.array_join(F.transform(pieces, converted), "")
+        return converted(texts)
 
     def text(self, value: str) -> str:
         """The same conversion of a driver-side constant, such as a pattern."""
-        chars = str.maketrans(self.chars)
-        if not self.phrases:
-            return value.translate(chars)
-        pieces = re.split(self._phrase(), value)
-        return "".join(self.phrases[p] if i % 2 else p.translate(chars) for i, p in enumerate(pieces))
+        return self.trie.convert([value])[0]
 
     def messages(self, messages: Column) -> Column:
         """Each message's content converted."""
-        return F.transform(
-            messages,
-            lambda m: F.struct(m["role"].alias("role"), self.column(m["content"]).alias("content")),
-        )
+        return F.zip_with(messages, self.texts(messages.getField("content")), lambda m, t: F.struct(m["role"].alias("role"), t.alias("content")))
+
+    def pairs(self, history: Column) -> Column:
+        """Both parts of each pair (query, answer) converted."""
+        queries, answers = (self.texts(history.getField(name)) for name in ("query", "answer"))
+        return F.zip_with(queries, answers, lambda q, a: F.struct(q.alias("query"), a.alias("answer")))

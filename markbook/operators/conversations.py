@@ -1,4 +1,4 @@
-"""Message lists out of a table of turns, and whole prompts out of their parts."""
+"""Message lists out of a table of turns, whole or in parts, and prompts out of parts."""
 
 from __future__ import annotations
 
@@ -6,12 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def ordered_messages(turns: DataFrame, key: str, order: str, role: str = "role", content: str = "text") -> DataFrame:
+    """(key, messages): every conversation as one array in order, ready to be rendered.
+
+    One exchange, and nothing is collected twice.  The array is no larger than the prompt made from
+    it, which is one cell; turns without a place come first, equal places are ordered by role and
+    content, and turns without a key are one conversation.
+    """
+    turn = F.struct(F.col(order), F.col(role).alias("role"), F.col(content).alias("content"))
+    listed = turns.groupBy(key).agg(F.array_sort(F.collect_list(turn)).alias("_turns"))
+    return listed.select(key, F.transform("_turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages"))
+
+
 def message_parts(turns: DataFrame, key: str, order: str, role: str = "role", content: str = "text", part_turns: int = 1024) -> DataFrame:
     """(key, part, messages, role_before, is_last): the turns as arrays in order.
 
-    A conversation of up to ``part_turns`` turns is one part.  A longer one has its
-    turns in several parts, all kept, so no array grows with the conversation;
-    ``role_before`` and ``is_last`` let a renderer join the parts without a seam.
+    For conversations whose prompt is to be written piece by piece.  One of up to ``part_turns``
+    turns is one part; a longer one has its turns in several parts, all kept.  ``role_before``
+    and ``is_last`` let a renderer join the parts without a seam.
     """
     # A struct key is never null, so the join below keeps turns without a key; turns without
     # a place come before all others, as in any ascending order.
@@ -38,7 +50,7 @@ def message_parts(turns: DataFrame, key: str, order: str, role: str = "role", co
 
 
 def whole_prompts(parts: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, prompt): the rendered text of all parts of a conversation, put together in their order."""
+    """(key, prompt): the rendered text of all parts of a conversation in one cell, in their order."""
     pieces = F.array_sort(F.collect_list(F.struct("part", text.alias("text"))))
     joined = F.array_join(F.transform(pieces, lambda p: p["text"]), "")
     return parts.select(key, "part", "messages", "role_before", "is_last").groupBy(key).agg(joined.alias("prompt"))

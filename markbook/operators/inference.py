@@ -125,6 +125,26 @@ def _generate_udf(make: Callable, batch: int, limits: dict):
     return F.pandas_udf(run, GENERATED).asNondeterministic()
 
 
+def dealt_by_length(rows: DataFrame, prompt: Column, callers: int) -> DataFrame:
+    """``rows`` in ``callers`` partitions whose prompts are about as long in total.
+
+    Each partition sorts its rows, longest first, and deals them to and fro: the first round goes to the callers in order, the
+    next one backwards.  What two callers get from a partition then differs by less than its longest prompt, however the
+    lengths are spread.  One exchange, as for any dealing out; equal lengths are ordered by a hash of the row, so a
+    task that is run again deals alike.
+    """
+    size, place = "_prompt_length_", "_caller_"
+    sized = rows.withColumn(size, F.coalesce(F.length(prompt), F.lit(0)))
+    ordered = sized.sortWithinPartitions(F.col(size).desc(), F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]))
+    numbered = ordered.withColumn(place, F.monotonically_increasing_id())
+    # The number of the partition is above bit 33; it turns the callers, so that not all partitions begin with the same one.
+    part, row = F.shiftright(place, 33), F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
+    turn = F.pmod(row, F.lit(callers))
+    caller = F.when(F.pmod(F.floor(row / callers), F.lit(2)) == 0, turn).otherwise(callers - 1 - turn)
+    caller = F.pmod(caller + F.pmod(F.xxhash64(part), F.lit(callers)), F.lit(callers)).cast("int")
+    return numbered.withColumn(place, caller).repartitionById(callers, place).drop(size, place)
+
+
 def batch_generate(
     rows: DataFrame,
     make: Callable[[], Callable],
@@ -139,7 +159,7 @@ def batch_generate(
     """``rows`` plus response, status, attempts and error.
 
     ``concurrency`` deals the rows to that many tasks right before the call, which bounds
-    the calls in flight.  ``attempts`` counts every call that a prompt was in.  A null prompt is not sent.  With ``fold_on_server_error`` a rejected
+    the calls in flight; prompts are dealt by length, so the tasks end at about the same time.  ``attempts`` counts every call that a prompt was in.  A null prompt is not sent.  With ``fold_on_server_error`` a rejected
     prompt is resent once with plain brackets at a higher temperature, within the
     same task, so the rest of the run is not repeated.
     """
@@ -149,7 +169,7 @@ def batch_generate(
     folded = fold_brackets(prompt) if fold_on_server_error else F.lit(None).cast("string")
     limits = {"max_attempts": max_attempts, "backoff": backoff, "alternate_temperature": ALTERNATE_TEMPERATURE}
     if concurrency:
-        rows = rows.repartition(concurrency)
+        rows = dealt_by_length(rows, prompt, concurrency)
     generated = rows.withColumn("_out", _generate_udf(make, batch, limits)(prompt, folded, params))
     return generated.select(*rows.columns, "_out.*")
 

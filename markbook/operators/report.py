@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markbook.plans.joins import join_small
-from markbook.plans.running import running_totals
 
 
 def accuracy_by_subject(marks: DataFrame, correctness: str = "correctness", order: str | None = None, failed: str | None = None) -> DataFrame:
@@ -123,9 +122,9 @@ def leaderboard(
     if n_subjects is not None:
         rows = rows.where(F.col("n_rows") == n_subjects)
     # The last digits of a mean depend on the order of adding, so they do not decide between
-    # models.  The rank is a running count over ranges of that order, not one task's window.
-    order = [F.round("average", 9).desc(), F.col("seq").asc(), F.col("model").asc()]
-    ranked = running_totals(rows, [], order, {"rank": F.lit(1)})
+    # models.  The window takes one row per model, which is what the board itself shows.
+    order = Window.orderBy(F.round("average", 9).desc(), F.col("seq").asc(), F.col("model").asc())
+    ranked = rows.withColumn("rank", F.row_number().over(order))
     return ranked.select(F.col("rank").cast("int").alias("rank"), "model", *_named(categories), "average").orderBy("rank")
 
 

@@ -63,7 +63,7 @@ def build_prompts(
             if backend.render == "segments":
                 # Converted as rendered: the cue in front of a question too.
                 segments = render.render_segments(messages)
-                prompt = F.to_json(F.transform(segments, script.column) if script else segments)
+                prompt = F.to_json(script.texts(segments) if script else segments)
             else:
                 messages = script.messages(messages) if script else messages
                 prompt = render.render_lines(messages) if backend.render == "lines" else F.to_json(messages)
@@ -75,10 +75,7 @@ def build_prompts(
         query = blocks.history_query(choices)
         if script:
             query = script.column(query)
-            history = F.transform(
-                history,
-                lambda p: F.struct(script.column(p["query"]).alias("query"), script.column(p["answer"]).alias("answer")),
-            )
+            history = script.pairs(history)
         prompt = F.to_json(F.struct(history.alias("history"), query.alias("query")))
     else:
         if backend.style == "base":

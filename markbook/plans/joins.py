@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from markbook.session import written
+
 # Well under what every executor can hold next to its own work.
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
@@ -28,6 +32,15 @@ def measured_bytes(df: DataFrame) -> int:
     return df.select(F.sum(row).alias("bytes")).first()["bytes"] or 0
 
 
+# Steps of a plan that make reading a table twice costly.
+_STEPS = re.compile(r"^[\s:+|*-]*\w*(?:Aggregate|Join|Window|Generate|Sort|Python|InPandas|InArrow|Repartition|Union|Rebalance)\w*\b", re.M)
+
+
+def is_computed(df: DataFrame) -> bool:
+    """False for a table that is no more than read and filtered."""
+    return bool(_STEPS.search(df._jdf.queryExecution().optimizedPlan().toString()))
+
+
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     """True if the rows of ``df`` fit, by their size and not by an estimate."""
     size = constant_bytes(df)
@@ -40,7 +53,10 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left
     A dimension of proven size is broadcast, so ``big`` is not shuffled and a hot
     key costs nothing.  A larger one is joined on (key, salt): its rows are
     repeated per salt and the rows of a hot key spread over that many tasks.
+    A dimension that has to be computed is written first, and measured and joined as it was written.
     """
+    if constant_bytes(small) is None and is_computed(small):
+        small = written(small, "dimension")
     if fits_broadcast(small, limit):
         return big.join(F.broadcast(small), on, how)
     return salted_join(big, small, on, how)

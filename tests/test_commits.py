@@ -3,6 +3,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import plan_of
 from markbook.sources import commits, replies, results
 
 ROW = "k string, v int"
@@ -116,3 +117,31 @@ def test_an_upsert_leaves_other_folders_alone(spark, tmp_path):
     before = sorted(p.name for p in (path / "model=m" / "subject=t").iterdir())
     results.upsert_scored(spark.createDataFrame(RUNS[1], SCORED), str(path))
     assert sorted(p.name for p in (path / "model=m" / "subject=t").iterdir()) == before
+
+
+MARKS = "model string, subject string, correctness int, failed boolean"
+
+
+def test_a_refresh_reads_new_appends_only(spark, tmp_path):
+    from markbook.plans import incremental
+
+    scored, state = str(tmp_path / "scored"), str(tmp_path / "state")
+    batches = [
+        [("m", "s", 1, False), ("m", "s", 0, False), ("n", "s", None, True)],
+        [("m", "s", 1, None), ("n", None, 0, False)],
+        [],
+    ]
+    assert incremental.refresh(spark, scored, state) == 0 and incremental.accuracy(spark, state).count() == 0
+    for rows in batches:
+        commits.append(spark.createDataFrame(rows, MARKS), scored)
+        (new,) = incremental.unseen(spark, scored, state)
+        plan = plan_of(incremental.new_marks(spark, scored, [new], MARKS))
+        assert any("PartitionFilters" in line and new in line for line in plan.splitlines())
+        assert incremental.refresh(spark, scored, state) == 1
+    torn = commits.write(spark.createDataFrame([("m", "s", 1, False)] * 5, MARKS), scored)
+    assert incremental.refresh(spark, scored, state) == 0
+    got = {(r["model"], r["subject"]): (r["n_rows"], r["n_correct"], r["n_failed"]) for r in incremental.accuracy(spark, state).collect()}
+    assert got == {("m", "s"): (3, 2, 0), ("n", "s"): (0, 0, 1), ("n", None): (1, 0, 0)}
+    commits.commit(spark, scored, torn)
+    assert incremental.refresh(spark, scored, state) == 1
+    assert {r["n_rows"] for r in incremental.accuracy(spark, state).where("model = 'm'").collect()} == {8}

@@ -335,3 +335,23 @@ def test_equal_prompts_are_asked_once_and_equal_replies_judged_once(spark, tmp_p
                     parsing="llm", judge_make=counting(str(two), lambda t: "C"), **OPTIONS).collect()
     assert (done[0]["n_rows"], done[0]["n_correct"]) == (5, 5)
     assert len(sent(one)) == 1 and len(sent(two)) == 1
+
+
+@pytest.mark.parametrize("parts", [1, 5, 16])
+def test_callers_get_prompts_of_equal_length_in_total(spark, parts):
+    import random
+
+    rng = random.Random(parts)
+    lengths = [int(40 * rng.paretovariate(1.3)) % 3000 for _ in range(4000)]
+    df = prompts(spark, ["x" * n for n in lengths] + [None] * 9).repartition(parts)
+    dealt = inference.dealt_by_length(df, F.col("prompt"), 8)
+    assert dealt.columns == df.columns and dealt.rdd.getNumPartitions() == 8
+    totals = [r[1] for r in dealt.groupBy(F.spark_partition_id()).agg(F.sum(F.length("prompt"))).collect()]
+    assert sum(totals) == sum(lengths) and len(totals) == 8
+    assert max(totals) - min(totals) < 0.05 * sum(totals) / 8
+
+
+def test_dealing_few_rows_and_none(spark):
+    df = prompts(spark, ["a", None, "bbb"])
+    assert sorted(r["i"] for r in inference.dealt_by_length(df, F.col("prompt"), 5).collect()) == [0, 1, 2]
+    assert inference.dealt_by_length(df.limit(0), F.col("prompt"), 5).count() == 0

@@ -1,3 +1,4 @@
+import decimal
 import random
 
 import pytest
@@ -34,10 +35,12 @@ def test_running_totals_bound_the_rows_of_a_range(spark):
     """One hot group with sparse, repeated and null order values is still dealt out evenly."""
     order = [None] * 2000 + [7] * 2000 + [i**3 for i in range(4000)]
     df = spark.createDataFrame([("hot", o, i) for i, o in enumerate(order)], "g string, o long, i long")
-    dealt = running._dealt(df, ["g"], [F.col("o")], 40)
-    sizes = [r["count"] for r in dealt.groupBy("_range").count().collect()]
+    dealt = running.running_totals(df, ["g"], "o", {"n": F.lit(1)}, parts=40)
+    ranges = spark.read.parquet(*dealt.inputFiles())
+    sizes = [r["count"] for r in ranges.groupBy(F.input_file_name()).count().collect()]
     assert sum(sizes) == 8000 and max(sizes) < 3 * 8000 / 40
-    ranks = running.running_totals(df, ["g"], "o", {"n": F.lit(1)}, parts=40).orderBy("n").collect()
+    assert "BroadcastHashJoin" in plan_of(dealt) and "SortMergeJoin" not in plan_of(dealt)  # the rows are not exchanged again
+    ranks = dealt.orderBy("n").collect()
     assert [r["n"] for r in ranks] == list(range(1, 8001)) and [r["o"] for r in ranks] == sorted(order, key=lambda o: (o is not None, o))
 
 
@@ -47,6 +50,28 @@ def test_running_totals_of_a_whole_table(spark):
     assert [r["i"] for r in sorted(got, key=lambda r: r["rank"])] == sorted(range(500), key=lambda i: (-(i % 7), i))
 
 
+def test_running_totals_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([("a", i, "mine", "too", 0.5, decimal.Decimal("0.10")) for i in range(50)], "g string, o long, _range string, __edge string, x double, d decimal(5,2)")
+    got = running.running_totals(df, ["g"], "o", {"sum": F.col("x"), "money": F.col("d"), "n": F.lit(1)}, parts=7)
+    assert got.columns == [*df.columns, "sum", "money", "n"]
+    rows = sorted(got.collect(), key=lambda r: r["o"])
+    assert all((r["_range"], r["__edge"]) == ("mine", "too") for r in rows)
+    assert [r["n"] for r in rows] == list(range(1, 51)) and rows[-1]["sum"] == 25.0 and rows[-1]["money"] == decimal.Decimal("5.00")
+    assert running.running_totals(df.limit(0), ["g"], "o", {"n": F.lit(1)}).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 2, 3, 9, 30])
+def test_running_totals_where_groups_end_at_ranges(spark, parts):
+    """Many small groups, with and without nulls among keys and values."""
+    rows = [(f"k{i // 4}" if i % 11 else None, i % 3, i, None if i % 5 == 0 else i) for i in range(90)]
+    df = spark.createDataFrame(rows, "a string, b int, o long, v long")
+    want, seen = {}, {}
+    for a, b, o, v in sorted(rows, key=lambda r: r[2]):
+        seen[a, b] = want[a, b, o] = seen.get((a, b), 0) + (v or 0)
+    got = running.running_totals(df, ["a", "b"], "o", {"t": F.col("v")}, parts=parts).collect()
+    assert {(r["a"], r["b"], r["o"]): r["t"] for r in got} == want
+
+
 @pytest.mark.parametrize("n", [1, 50, 400])
 def test_first_rows_both_ways(spark, monkeypatch, n):
     rows = hot_rows(2)
@@ -189,6 +214,18 @@ def test_exam_of(spark):
         other.select(routing.exam_of(F.col("d"))).collect()
 
 
+def test_rows_of_a_file_complete_the_built_in_templates(spark, tmp_path):
+    """Models that the built-in table lacks come from a file; where both name one, the built-in row stays first."""
+    path = tmp_path / "more.csv"
+    built_in = dims.templates(spark)
+    known = built_in.first()["model_name"]
+    path.write_text(f"model_name,systemMessageToken,messageEndToken,assistantMessageToken,userMessageToken\norg/one,<s>,</s>,<a>,<u>\norg/two,,|,,\n{known},x,x,x,x\n")
+    more = dims.read_templates(spark, str(path)).withColumn("file_order", F.col("file_order") + built_in.count())
+    rows = {r["model_name"]: r for r in routing.first_templates(built_in.unionByName(more)).collect()}
+    assert rows["org/one"]["user_token"] == "<u>" and rows["org/two"]["system_token"] == "" and rows[known]["system_token"] != "x"
+    assert len(rows) == built_in.select("model_name").distinct().count() + 2
+
+
 def test_missing_template_fails(spark):
     models = spark.createDataFrame([("nobody",)], "model_name string")
     with pytest.raises(Exception, match="no role tokens"):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from conftest import plan_of
 from markbook.functions import blocks, render
 from markbook.operators import fewshot
-from markbook.operators.conversations import message_parts, whole_prompts
+from markbook.operators.conversations import message_parts, ordered_messages, whole_prompts
 from markbook.plans.backends import BACKENDS
 from markbook.plans.evaluate import build_prompts
 
@@ -131,7 +131,9 @@ def test_conversation_parts_join_without_a_seam(spark):
         prompts = whole_prompts(parts, "conv_id", render.render_chat(F.col("messages"), closing=F.col("is_last")))
         return {r["conv_id"]: r["prompt"] for r in prompts.collect()}
 
-    assert texts(split) == texts(whole)
+    at_once = ordered_messages(df, "conv_id", "turn")
+    assert texts(split) == texts(whole) == {r["conv_id"]: r["p"] for r in at_once.select("conv_id", render.render_chat(F.col("messages")).alias("p")).collect()}
+    assert plan_of(at_once).count("Exchange (") == 1
     assert whole.count() == 3 and split.count() > 3
 
 
@@ -140,3 +142,11 @@ def test_direct_header_and_tokens(spark):
     messages = fewshot.F.array(blocks.message("system", F.col("n")), blocks.message("user", F.lit("hi")))
     text = df.select(render.render_chat(messages, render.column_tokens(F.col("t")))).collect()[0][0]
     assert text == "S:數學|U:hi|A:"
+
+
+def test_ordered_messages_of_awkward_turns(spark):
+    turns = [(1, 2, "user", "b"), (1, None, "system", "first"), (1, 2, "assistant", "a"), (None, 1, "user", "x"), (None, 0, None, None), (2, 1, "user", None)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: [tuple(m) for m in r["messages"]] for r in ordered_messages(df, "conv_id", "turn").collect()}
+    assert got == {1: [("system", "first"), ("assistant", "a"), ("user", "b")], None: [(None, None), ("user", "x")], 2: [("user", None)]}
+    assert ordered_messages(df.limit(0), "conv_id", "turn").count() == 0

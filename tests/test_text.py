@@ -63,6 +63,43 @@ def test_script_phrases_longest_first(values):
     assert [script.text(t) for t in texts] == want
 
 
+def test_a_large_table_equals_a_walk(spark, values):
+    """50,000 phrases, many of them beginnings of others."""
+    rng = random.Random(8)
+    letters = [chr(0x4E00 + i) for i in range(400)] + ["\U0001F600", "a"]
+    phrases = {}
+    while len(phrases) < 50_000:
+        phrase = "".join(rng.choice(letters) for _ in range(rng.randint(2, 5)))
+        phrases[phrase] = "".join(rng.choice(letters) for _ in range(rng.randint(0, 6)))
+    rows = [*phrases.items(), *((c, letters[i - 1]) for i, c in enumerate(letters)), ("", "x"), ("乙" * 3, None)]
+    script = text.Script.from_table(spark.createDataFrame(rows, "source string, target string"))
+    assert len(script.phrases) == 50_000 and len(script.chars) == len(letters)
+    known = list(phrases)
+    texts = ["".join(rng.choice([rng.choice(known), rng.choice(letters), " "]) for _ in range(rng.randint(0, 60))) for _ in range(400)] + ["", None]
+    by_size = {n: {p: t for p, t in phrases.items() if len(p) == n} for n in range(2, 6)}
+
+    def walk(value):
+        out, i = "", 0
+        while i < len(value):
+            size = next((n for n in (5, 4, 3, 2) if value[i: i + n] in by_size[n]), 0)
+            out += by_size[size][value[i: i + size]] if size else script.chars.get(value[i], value[i])
+            i += size or 1
+        return out
+
+    want = [None if t is None else walk(t) for t in texts]
+    assert values(texts, script.column(TEXT)) == want
+    assert script.trie.convert(texts) == want
+
+
+def test_script_of_messages_pairs_and_arrays(spark):
+    script = text.Script({"甲": "1"}, {"甲乙": "AB"})
+    rows = spark.createDataFrame([([("user", "甲乙甲"), ("x", None)], [("甲", "甲乙")], ["甲甲乙", None]), (None, [], [])], "m array<struct<role string, content string>>, p array<struct<query string, answer string>>, a array<string>")
+    for s, twice in ((script, "1AB"), (text.Script({"甲": "1"}), "11乙")):
+        got = rows.select(s.messages(F.col("m")), s.pairs(F.col("p")), s.texts(F.col("a"))).collect()
+        assert got[0][2] == [twice, None] and got[1][0] is None and got[1][1] == [] and got[1][2] == []
+        assert [tuple(r) for r in got[0][0]][0][0] == "user" and got[0][0][1]["content"] is None
+
+
 def test_script_without_phrases(values):
     script = text.Script()
     assert values(["答案應為：選項A"], script.column(TEXT)) == ["答案应为：选项A"] == [script.text("答案應為：選項A")]
