@@ -23,8 +23,8 @@ WINDOW = 256  # bytes of a window; the last one is filled with zero bytes
 WIDTHS = (2, 3, 4)
 FILTERS = 8  # per width
 SAMPLE = 400  # documents per language that the network is trained on, at most
-CROP = 2000  # code points of each of them
-LANGUAGES = 512  # more languages than this are refused, not dropped
+PIECES = 8  # windows drawn from each of them, wherever they are in the text
+SAMPLES = 100_000  # documents of all languages together, at most; a language has fewer if there are very many
 STEPS = 500
 BATCH = 96
 CHUNK = 1 << 20  # bytes scored at once
@@ -124,23 +124,26 @@ def held_out(doc_id):
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
-    """Train on at most ``sample`` documents of each language, those least by a hash of the id; None without any."""
+    """Train on windows of at most ``sample`` documents of each language, those least by a hash of the id; None without any.
+
+    Windows lie at places that a hash of the id gives, over the whole text."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    rows = {r.lang: r["count"] for r in known.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    rows = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # a row per language
     languages = sorted(rows)
-    if len(languages) > LANGUAGES:
-        raise ValueError(f"over {LANGUAGES} languages")
     if not languages:
         return None
+    sample = max(1, min(sample, SAMPLES // len(languages)))
     # A share of each language's rows by their hash comes near the sample's size, so that few rows are ranked.
     near = F.create_map(*[F.lit(x) for lang, n in rows.items() for x in (lang, min(1.0, 1.2 * (sample + 50) / n))])
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.element_at(near, F.col("lang")) * (1 << 30))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    rows = (known.select("doc_id", "lang", F.substring("text", 1, CROP).alias("text"))
-            .withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("lang", "n", "text").collect())
+    last = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
+    pieces = F.transform(F.sequence(F.lit(1), F.lit(PIECES)), lambda i: F.substr("text", 1 + F.pmod(F.xxhash64("doc_id", i), last), F.lit(WINDOW)))
+    rows = (known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
+            .select("lang", "n", pieces.alias("pieces")).collect())
     rows.sort(key=lambda r: (r.lang, r.n))
-    labels = np.array([languages.index(r.lang) for r in rows])
-    return Network(languages).train([r.text.encode() for r in rows], labels)
+    crops = [(languages.index(r.lang), piece.encode()) for r in rows for piece in r.pieces]
+    return Network(languages).train([raw for _, raw in crops], np.array([label for label, _ in crops]))
 
 
 def predict(docs: DataFrame, network: Network | None) -> DataFrame:

@@ -54,3 +54,22 @@ def test_nothing_to_learn_from(spark):
     assert L.learn(docs) is None
     assert [r.lang_pred for r in L.predict(docs.select("doc_id", "text"), None).collect()] == ["und"]
     assert L.predict(empty(spark).select("doc_id", "text"), None).count() == 0
+
+
+def test_learns_from_all_over_a_text(spark):
+    """What tells the languages apart begins after ten thousand characters."""
+    front = "0123 4567 89 - " * 700
+    words = {"aa": "lorem ipsum dolor sit amet ", "zz": "žluťoučký kůň úpěl ďábelské ódy "}
+    rows = [(i, front + words[lang] * (300 + i), lang) for i, lang in enumerate(["aa", "zz"] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    network = L.learn(docs)
+    fresh = spark.createDataFrame([(1, words["aa"] * 9), (2, words["zz"] * 9)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in L.predict(fresh, network).collect()} == {1: "aa", 2: "zz"}
+
+
+def test_any_number_of_languages_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLES", 600)
+    docs = spark.range(1300).selectExpr("id AS doc_id", "'lang ' || id % 650 AS lang", "'word' || id % 650 AS text")
+    monkeypatch.setattr(L, "STEPS", 1)
+    network = L.learn(docs)
+    assert len(network.languages) > 512 and network.out.shape[1] == len(network.languages)
