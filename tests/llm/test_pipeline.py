@@ -56,4 +56,23 @@ def test_one_of_each_group_takes_awkward_rows(spark):
 
 def test_every_operator_has_one_query():
     numbered = [n for n in QUERIES if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in numbered) == list(range(1, 11)) and "pipeline" in QUERIES and set(SQL) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in numbered) == list(range(1, 14)) and "pipeline" in QUERIES and set(SQL) <= set(QUERIES)
+
+
+def test_stages_take_awkward_rows_and_clashing_columns(spark):
+    if not os.path.isdir(FOLDER):
+        pytest.skip("tables not present")
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").first().text
+    rows = [(1, None), (2, ""), (None, "no id here"), (None, None), (3, "one text"), (3, "another text"), (None, item), (4, item)]
+    docs = documents(spark, rows)
+    for name, stage in C.STAGES:
+        docs = C.stored(stage(spark, docs, FOLDER), name)
+        if name == "decontamination":
+            kept = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in docs.collect()))
+            assert [k[:2] for k in kept] == [(False, 0), (False, 0), (True, 1), (True, 2), (True, 3)]
+    pieces = docs.collect()
+    assert sorted((r.doc_id or 0) for r in pieces) == [0, 0, 1, 2, 3] and {r.length for r in pieces if r.doc_id in (1, 2)} == {1}
+    none = empty(spark)
+    for name, stage in C.STAGES:
+        none = C.stored(stage(spark, none, FOLDER), name)
+    assert none.count() == 0 and "sequence_id" in none.columns
