@@ -59,7 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to ``documents``."""
+    """All stages applied to ``documents``; the pieces of all documents that are left.
+
+    A null or empty text passes every stage and is packed as the end id alone.  A row without an id is judged by its text: it is
+    never a near duplicate, and goes if it is toxic or holds a benchmark item.  Of rows that share an id one stays.  Columns
+    beyond those of documents are carried along up to packing, whatever their names, and an empty table gives no pieces.
+    """
     rows = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         rows = stored(stage(spark, rows, sf_dir), f"pipeline-{name}")
