@@ -141,7 +141,8 @@ def dealt_by_length(rows: DataFrame, prompt: Column, callers: int) -> DataFrame:
     part, row = F.shiftright(place, 33), F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
     turn = F.pmod(row, F.lit(callers))
     caller = F.when(F.pmod(F.floor(row / callers), F.lit(2)) == 0, turn).otherwise(callers - 1 - turn)
-    caller = F.pmod(caller + F.pmod(F.xxhash64(part), F.lit(callers)), F.lit(callers)).cast("int")
+    turned = F.floor(part * 0.6180339887 * callers)  # steps by the golden ratio never bunch up
+    caller = F.pmod(caller + turned, F.lit(callers)).cast("int")
     return numbered.withColumn(place, caller).repartitionById(callers, place).drop(size, place)
 
 

@@ -337,12 +337,12 @@ def test_equal_prompts_are_asked_once_and_equal_replies_judged_once(spark, tmp_p
     assert len(sent(one)) == 1 and len(sent(two)) == 1
 
 
-@pytest.mark.parametrize("parts", [1, 5, 16])
-def test_callers_get_prompts_of_equal_length_in_total(spark, parts):
+@pytest.mark.parametrize("parts, n", [(1, 4000), (5, 4000), (16, 20_000)])
+def test_callers_get_prompts_of_equal_length_in_total(spark, parts, n):
     import random
 
     rng = random.Random(parts)
-    lengths = [int(40 * rng.paretovariate(1.3)) % 3000 for _ in range(4000)]
+    lengths = [int(40 * rng.paretovariate(1.3)) % 3000 for _ in range(n)]
     df = prompts(spark, ["x" * n for n in lengths] + [None] * 9).repartition(parts)
     dealt = inference.dealt_by_length(df, F.col("prompt"), 8)
     assert dealt.columns == df.columns and dealt.rdd.getNumPartitions() == 8
