@@ -221,7 +221,7 @@ def test_rows_of_a_file_complete_the_built_in_templates(spark, tmp_path):
     known = built_in.first()["model_name"]
     path.write_text(f"model_name,systemMessageToken,messageEndToken,assistantMessageToken,userMessageToken\norg/one,<s>,</s>,<a>,<u>\norg/two,,|,,\n{known},x,x,x,x\n")
     more = dims.read_templates(spark, str(path)).withColumn("file_order", F.col("file_order") + built_in.count())
-    rows = {r["model_name"]: r for r in routing.first_templates(built_in.unionByName(more)).collect()}
+    rows = {r["model_name"]: r["tokens"] for r in routing.first_templates(built_in.unionByName(more)).collect()}
     assert rows["org/one"]["user_token"] == "<u>" and rows["org/two"]["system_token"] == "" and rows[known]["system_token"] != "x"
     assert len(rows) == built_in.select("model_name").distinct().count() + 2
 
