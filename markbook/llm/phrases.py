@@ -32,7 +32,8 @@ LONGEST = 4  # words
 SAMPLE = 4  # one text of SAMPLE is in the sample, by its hash
 SLACK = 0.4  # of the support that the sample's share of a frequent phrase would have
 FIRST = 2000  # phrases reported per language
-CHUNK_TOKENS, CHUNK_WORDS = 1 << 21, 1 << 18  # a chunk ends with the text that reaches either
+CHUNK_TOKENS, CHUNK_WORDS = 1 << 20, 1 << 18  # a chunk ends with the text that reaches either
+SLICE = 1 << 19  # positions that are worked on at once
 FILTER_BITS = 1 << 28
 BLOCK = 1 << 13  # bytes of a filter that travel together
 PROBES = 4
@@ -124,10 +125,10 @@ class _Chunk:
 
     def add(self, lang: str, raw: bytes | None) -> None:
         if lang not in self.tables:
-            self.tables[lang] = _Numbers(self, lang)
+            self.tables[lang] = _Numbers(self.words, self.langs, lang)
         found = split(raw)
         found.append(b"\n")
-        ids = np.fromiter(map(self.tables[lang].__getitem__, found), np.int64, len(found))
+        ids = np.fromiter(map(self.tables[lang].__getitem__, found), np.int32, len(found))
         ids = ids[ids != -2]
         self.parts.append(ids)
         self.size += len(ids)
@@ -137,49 +138,76 @@ class _Chunk:
 
 
 class _Numbers(dict):
-    def __init__(self, chunk: _Chunk, lang: str):
+    """word -> its number in the chunk, listed with its language when it is new"""
+
+    def __init__(self, words: list[bytes], langs: list[str], lang: str):
         super().__init__({b"": -2, b"\n": -1})
-        self.chunk, self.lang = chunk, lang
+        self.words, self.langs, self.lang = words, langs, lang  # not the chunk, which would then outlive its use
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = found = len(self.chunk.words)
-        self.chunk.words.append(word)
-        self.chunk.langs.append(self.lang)
+        self[word] = found = len(self.words)
+        self.words.append(word)
+        self.langs.append(self.lang)
         return found
 
 
-def candidates(ids: np.ndarray, hashes: np.ndarray, bits: np.ndarray, longest: int) -> list[np.ndarray]:
-    """For 2, 3 .. ``longest`` words: where phrases begin whose two parts, a word shorter, are in the filter."""
-    at = np.flatnonzero(ids >= 0)
-    at = at[holds(bits, hashes)[ids[at]]]
-    value = hashes[ids[at]]
+def _known(ids: np.ndarray, at: np.ndarray, length: int, hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Of the positions ``at`` those at which a phrase of ``length`` words in the filter begins."""
+    out = []
+    for low in range(0, len(at), SLICE):
+        here = at[low: low + SLICE]
+        value = reduce(extend, [hashes[ids[here + i]] for i in range(length)])
+        out.append(here[holds(bits, value)])
+    return np.concatenate(out) if out else at
+
+
+def candidates(ids: np.ndarray, at: np.ndarray, hashes: np.ndarray, bits: np.ndarray, longest: int) -> list[np.ndarray]:
+    """For 2, 3 .. ``longest`` words: those of the positions ``at`` where phrases begin whose two parts, a word shorter, are in
+    the filter."""
+    single = np.append(holds(bits, hashes), False)[ids]  # the last one stands for what is between pieces
+    at = at[single[at]]
+    here = np.zeros(len(ids) + 1, bool)
     out = []
     for length in range(2, longest + 1):
-        here = np.zeros(len(ids) + 1, bool)
-        here[at] = True
-        follows = here[at + 1]
-        at, value = at[follows], value[follows]
+        if length == 2:
+            at = at[single[np.minimum(at + 1, len(ids) - 1)] & (at + 1 < len(ids))]
+        else:
+            here[:] = False
+            here[at] = True
+            at = at[here[at + 1]]
         out.append(at)
         if length < longest:
-            value = extend(value, hashes[ids[at + length - 1]])
-            known = holds(bits, value)
-            at, value = at[known], value[known]
+            at = _known(ids, at, length, hashes, bits)
     return out
 
 
-def distinct(ids: np.ndarray, at: np.ndarray, length: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(where it first begins, how often) of every phrase of ``length`` words that begins at ``at``; told apart exactly."""
-    number = ids[at]
-    for i in range(1, length - 1):
-        number = np.unique(number * width + ids[at + i], return_inverse=True)[1]
-    _, first, n = np.unique(number * width + ids[at + length - 1], return_index=True, return_counts=True)
-    return at[first], n
+def distinct(ids: np.ndarray, at: np.ndarray, length: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(where it first begins, how often) of every phrase of ``length`` words that begins at ``at``, some first words at a
+    time; phrases are told apart exactly."""
+    parts = max(1, -(-len(at) // SLICE))
+    for part in range(parts):
+        mine = at if parts == 1 else at[ids[at] % parts == part]
+        number = ids[mine].astype(np.int64)
+        for i in range(1, length - 1):
+            number = np.unique(number * width + ids[mine + i], return_inverse=True)[1]
+        _, first, n = np.unique(number * width + ids[mine + length - 1], return_index=True, return_counts=True)
+        yield mine[first], n
+
+
+def near(hit: np.ndarray, ids: np.ndarray, longest: int) -> np.ndarray:
+    """Positions less than ``longest`` words away from a ``hit``, on either side."""
+    out = hit.copy()
+    for i in range(1, longest):
+        out[:-i] |= hit[i:]
+        out[i:] |= hit[:-i]
+    return np.flatnonzero(out & (ids >= 0)).astype(np.int32)
 
 
-def phrase_counts(docs: DataFrame, known=None, before=None, shortest: int = 1, longest: int = LONGEST) -> DataFrame:
+def phrase_counts(docs: DataFrame, known=None, before=None, shortest: int = 1, longest: int = LONGEST, fresh=None) -> DataFrame:
     """(lang, phrase, words, n) over all texts of ``docs``: phrases of ``shortest`` to ``longest`` words whose parts are in the
     filter ``known``, without those whose parts are in ``before``.  With single words comes a row per language of no words at all
-    and n words."""
+    and n words.  ``fresh`` is a filter of the words of what ``known`` has and ``before`` has not: without any of them near,
+    nothing is new."""
 
     def counted(batches: Iterator[pa.RecordBatch]):
         def rows(chunk: _Chunk):
@@ -201,17 +229,24 @@ def phrase_counts(docs: DataFrame, known=None, before=None, shortest: int = 1, l
                 places[name].append(i)
             for name, at in places.items():
                 hashes[at] = word_hashes([chunk.words[i] for i in at], seed_of(name))
-            old = candidates(ids, hashes, before.value, longest) if before is not None else None
-            for i, at in enumerate(candidates(ids, hashes, known.value, longest)):
+            if fresh is None:
+                at = np.flatnonzero(ids >= 0).astype(np.int32)
+            else:
+                hit = np.append(holds(fresh.value, hashes), False)[ids]
+                at = near(hit, ids, longest)
+            old = candidates(ids, at, hashes, before.value, longest) if before is not None else None
+            for i, at in enumerate(candidates(ids, at, hashes, known.value, longest)):
                 if i + 2 < shortest:
                     continue
                 if old is not None:
                     at = np.setdiff1d(at, old[i], assume_unique=True)
-                first, n = distinct(ids, at, i + 2, width)
-                for low in range(0, len(first), BATCH):
-                    here = first[low: low + BATCH]
-                    phrase = pc.binary_join_element_wise(*[listed.take(pa.array(ids[here + j])) for j in range(i + 2)], b" ")
-                    yield from batches_of(lang.take(pa.array(ids[here])), phrase, i + 2, n[low: low + BATCH])
+                if fresh is not None:  # places without such a word were not all looked at
+                    at = at[np.logical_or.reduce([hit[at + j] for j in range(i + 2)])]
+                for first, n in distinct(ids, at, i + 2, width):
+                    for low in range(0, len(first), BATCH):
+                        here = first[low: low + BATCH]
+                        phrase = pc.binary_join_element_wise(*[listed.take(pa.array(ids[here + j])) for j in range(i + 2)], b" ")
+                        yield from batches_of(lang.take(pa.array(ids[here])), phrase, i + 2, n[low: low + BATCH])
 
         def batches_of(lang, phrase, words, n):
             lang = lang.cast(pa.string())
@@ -246,9 +281,9 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sample: in
         level = phrase_counts(drawn, known and phrase_filter(known), shortest=length, longest=length)
         level = stored(level.where((F.col("n") >= support) & (F.col("words") > 0)).select("lang", "phrase"), f"phrases-{length}")
         known = level if known is None else known.union(level)
-    bits, before, shortest, frequent = phrase_filter(known), None, 1, None
+    bits, before, shortest, frequent, fresh = phrase_filter(known), None, 1, None, None
     while True:
-        counts = phrase_counts(texts, bits, before, shortest, longest)
+        counts = phrase_counts(texts, bits, before, shortest, longest, fresh)
         counts = stored(counts.where((F.col("n") >= least) | (F.col("words") == 0)), "phrase-counts")
         # A phrase counted by two passes has the same count in both.
         frequent = counts if frequent is None else frequent.union(counts)
@@ -257,6 +292,7 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sample: in
         if failures.isEmpty():
             return frequent.distinct()
         known = known.union(failures)
+        fresh = phrase_filter(failures.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")))
         bits, before, shortest = phrase_filter(known), bits, 2
 
 

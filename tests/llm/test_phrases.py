@@ -77,14 +77,21 @@ def test_equals_brute_force_whatever_the_sample(spark, options):
 def test_small_chunks_and_a_filter_that_is_full(spark, monkeypatch):
     rows = texts(2, 200)
     monkeypatch.setattr(P, "CHUNK_TOKENS", 40)
+    monkeypatch.setattr(P, "SLICE", 7)
     monkeypatch.setattr(P, "holds", lambda bits, hashes: np.ones(len(hashes), bool))
     assert report(spark, rows) == report_by_hand(rows)
 
 
+def test_slices_do_not_change_counts(spark, monkeypatch):
+    rows = texts(6, 200)
+    monkeypatch.setattr(P, "SLICE", 11)
+    assert report(spark, rows, slack=0.8) == report_by_hand(rows)
+
+
 def test_a_failed_sample_needs_more_passes(spark, monkeypatch):
     passes = []
     counted = P.phrase_counts
-    monkeypatch.setattr(P, "phrase_counts", lambda docs, known=None, before=None, shortest=1, longest=4: passes.append(before is not None) or counted(docs, known, before, shortest, longest))
+    monkeypatch.setattr(P, "phrase_counts", lambda docs, known=None, before=None, *more, **named: passes.append(before is not None) or counted(docs, known, before, *more, **named))
     rows = texts(3, 900)
     report(spark, rows, slack=1e9)  # nothing is frequent in the sample
     assert sum(passes) == 3  # words, then pairs, then triples are failures
