@@ -77,6 +77,21 @@ def test_false_discovery_control_by_length():
     assert S.least_levels(ordinary, {}) == {} and S.least_levels({}, {(0, 5): 3}) == {}
 
 
+def test_every_stretch_of_every_text_is_measured(spark):
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choice(["The ", "and", "ing, ", "tion", "é", "abc", "xyz", "7"]) for _ in range(n)) for n in (2500, 30, 9)]
+    texts += ["".join(rnd.choice(string.ascii_lowercase) for _ in range(5000)), "a" * 130, "feed beef " * 20, "b" * 19, "", None]
+    plain = {}
+    for text in texts:
+        letters = "".join(c.lower() for c in text or "" if c in string.ascii_letters)
+        for i, n in enumerate(S.LENGTHS):
+            for at in range(0, len(letters) if len(letters) >= n else 0, n):
+                at = min(at, len(letters) - n)
+                cell = i, S._level(S.randomness(letters[at: at + n]))
+                plain[cell] = plain.get(cell, 0) + 1
+    assert S.ordinary(documents(spark, list(enumerate(texts)))) == plain
+
+
 def test_scan_and_redact(spark):
     rnd = random.Random(9)
     prose = [" ".join(rnd.choice(["the", "and", "ing", "tion", "er", "weather", "is", "fine"]) for _ in range(900)) for _ in range(60)]
