@@ -22,10 +22,39 @@ from markbook.session import cut_lineage, written
 from markbook.sources import commits, replies, results
 
 
+PROMPT_BYTES = 256 * 1024 * 1024  # of prompts that one task builds, sorts and writes, about
+WORDING = 512  # what the wording adds to a question or an example, about
+
+
 def _with_context(rows: DataFrame, context: DataFrame | None) -> DataFrame:
     return fewshot.attach_context(rows, context) if context is not None else rows
 
 
+def prompt_bytes(test: DataFrame, dev: DataFrame | None, tasks: DataFrame, k: int = 0) -> int:
+    """About how large all prompts together are, from the texts that go into them; nothing is rendered."""
+    text = lambda rows: F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))).cast("double"))
+    sizes = test.groupBy("subject").agg(F.count("*").alias("_n"), text(test).alias("_own"))
+    sizes = sizes.join(tasks.groupBy("subject").agg(F.count("*").alias("_models")), "subject")
+    shot = F.lit(0.0)
+    if k != 0 and dev is not None:
+        size = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in dev.columns]))) + WORDING
+        per_subject = dev.groupBy("subject").agg(F.sum(size.cast("double")).alias("_all"), F.max(size.cast("double")).alias("_most"))
+        sizes = sizes.join(per_subject, "subject", "left")
+        shot = F.coalesce(F.col("_all") if k < 0 else F.least("_all", F.col("_most") * k), F.lit(0.0))
+    total = F.sum(F.col("_models") * (F.col("_own") + F.col("_n") * (shot + WORDING)))
+    return int(sizes.agg(total.alias("bytes")).first()["bytes"] or 0)
+
+
+def dealt_for_prompts(test: DataFrame, dev: DataFrame | None, tasks: DataFrame, k: int = 0) -> DataFrame:
+    """``test`` dealt by a hash of the row, so that no task builds much more than PROMPT_BYTES of prompts.
+
+    A question becomes one prompt per model and a folder's rows are sorted together where they are written: what a task
+    holds is a matter of the prompts, not of the bank's files.  Moved before the join, rows are as small as they get.
+    """
+    parts = -(-prompt_bytes(test, dev, tasks, k) // PROMPT_BYTES)
+    return test.repartition(parts, *[F.col(f"`{c}`") for c in test.columns]) if parts > 1 else test
+
+
 def build_prompts(
     rows: DataFrame,
     dev: DataFrame | None,
@@ -180,7 +209,7 @@ def evaluate(
     dev = bank.where(F.col("split") == "train")
     chat = backend.render == "chat" and (templates is not None or tokens is not None)
     role_tokens = F.col("tokens") if chat else None
-    rows = runs.questions_per_model(test, tasks)
+    rows = runs.questions_per_model(dealt_for_prompts(test, dev, tasks, k), tasks)
     if chat and tokens is not None:
         rows = rows.withColumn("tokens", F.struct(*[F.lit(tokens[t.removesuffix("_token")]).alias(t) for t in routing.TOKENS]))
     elif chat:

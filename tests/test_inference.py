@@ -355,3 +355,26 @@ def test_dealing_few_rows_and_none(spark):
     df = prompts(spark, ["a", None, "bbb"])
     assert sorted(r["i"] for r in inference.dealt_by_length(df, F.col("prompt"), 5).collect()) == [0, 1, 2]
     assert inference.dealt_by_length(df.limit(0), F.col("prompt"), 5).count() == 0
+
+
+@pytest.mark.parametrize("k", [0, 2, -1])
+def test_a_task_builds_a_bounded_part_of_the_prompts(spark, tmp_path, monkeypatch, k):
+    from markbook.plans import evaluate as module
+
+    seen = []
+
+    def spy(df, name, partitions=()):
+        if name == "prompts":
+            parts = df.groupBy(F.spark_partition_id()).agg(F.sum(F.length("prompt")).alias("n"), F.count("*").alias("rows")).collect()
+            seen.append((max(p.n for p in parts), sum(p.rows for p in parts)))
+        return written(df, name, partitions)
+
+    written = module.written
+    monkeypatch.setattr(module, "written", spy)
+    monkeypatch.setattr(module, "PROMPT_BYTES", 40_000, raising=False)
+    rows = [(f"s{i % 3}", "train" if i < 12 else "test", i, f"question {i} " + "long " * 20, "a", "b", "c", "d", "ABCD"[i % 4], "why") for i in range(900)]
+    columns = "subject string, split string, row_idx long, question string, A string, B string, C string, D string, answer string, explanation string"
+    one_file = spark.createDataFrame(rows, columns).coalesce(1)
+    done = evaluate(one_file, tasks(spark, ("m1", "s0"), ("m2", "s0"), ("m1", "s1"), ("m1", "s2")), BACKENDS["groq"], always("A"), str(tmp_path / "o"), k=k, **OPTIONS)
+    assert sum(r.n_rows for r in done.collect()) == seen[0][1] == 4 * 296
+    assert seen[0][0] < 2 * 40_000
