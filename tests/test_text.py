@@ -107,3 +107,18 @@ def test_script_without_phrases(values):
 
 def test_bound_evaluates_null(values):
     assert values([None, "a"], text.bound(TEXT, lambda t: F.concat(t, t))) == [None, "aa"]
+
+
+def test_a_batch_is_converted_in_bounded_slices():
+    import tracemalloc
+
+    script = text.Script({"x": "y"}, {"ab": "c", "abab": "", "qu": "long"})
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abqux ") for _ in range(400)) for _ in range(5000)] + [None, "", "ab" * 300_000]
+    tracemalloc.start()
+    got = script.trie.convert(texts[:5000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25 * 400 * 5000
+    assert got == [script.trie.convert([t])[0] for t in texts[:5000]]
+    assert script.trie.convert(texts[4990:]) == [*got[4990:], None, "", ""] and script.trie.convert([]) == []
