@@ -109,5 +109,13 @@ def test_scan_and_redact(spark):
     assert after[100].text == "use [SECRET] now" and after[100].n_chars == 16 and after[101].text == "[SECRET] x" and after[102].text is None and after[0].text == prose[0]
 
 
+def test_redaction_takes_its_levels_from_the_whole_text(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(S, "least_levels", lambda ordinary, *rest: seen.append(ordinary) or {})
+    S.redacted(documents(spark, [(1, "quick brown fox " * 2000), (2, "x" * 25)]))
+    for i, n in enumerate(S.LENGTHS):
+        assert sum(v for (size, _), v in seen[0].items() if size == i) == sum(-(-letters // n) for letters in (13 * 2000, 25) if letters >= n)
+
+
 def test_empty_table(spark):
     assert rows_of(S.scan(empty(spark))) == [] and S.redacted(empty(spark)).count() == 0
