@@ -15,9 +15,10 @@ rows count each time.  Without training text every token is unknown.
 
 from __future__ import annotations
 
-from collections import Counter
+from array import array
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import count, islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,7 @@ LEAST_GAIN = 1e-4  # of the likelihood, below which a round is the last
 WEIGHT = 20.0  # tokens that the smoothing of a class weighs
 CHUNK_TOKENS, CHUNK_WORDS = 1 << 22, 3 << 17  # a chunk ends with the text that reaches either
 COUNTED_WORDS = 1 << 18  # words that a worker counts before it hands them on
+READ, LISTED = 1 << 8, 1 << 16  # texts and words of a chunk that a worker takes up or hands on at once
 HAPAX, UNSEEN = 128, 127  # codes of a text: its classes, the end, UNSEEN; HAPAX is added to the class of a word seen once
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -47,8 +49,10 @@ def words(raw: bytes | None) -> list[bytes]:
     return (raw or b"").translate(LOWER).split()
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
-    return batch.column("text").cast(pa.binary()).to_pylist()
+def _texts(batch: pa.RecordBatch) -> Iterator[bytes | None]:
+    column = batch.column("text").cast(pa.binary())
+    for low in range(0, len(column), READ):
+        yield from column[low: low + READ].to_pylist()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -78,28 +82,23 @@ def frequent_pairs(docs: DataFrame, numbers, n_frequent: int) -> DataFrame:
 
     def paired(batches: Iterator[pa.RecordBatch]):
         width, end = n_frequent + 2, n_frequent + 1
-        held: list[np.ndarray] = []
+        kind = np.int32 if width * width < 1 << 31 else np.int64
 
-        def rows():
-            ids = np.concatenate([np.array([end], np.int64), *held])
-            held.clear()
+        def rows(held):
+            ids = np.frombuffer(held, np.int32).astype(kind)
             pairs, n = np.unique(ids[:-1] * width + ids[1:], return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in ((pairs // width).astype(np.int32), (pairs % width).astype(np.int32), n.astype(np.int64))], ["a", "b", "n"])
 
-        size = 0
+        held = array("i", [end])
         for batch in batches:
             for raw in _texts(batch):
-                found = words(raw)
-                ids = np.empty(len(found) + 1, np.int64)
-                ids[:-1] = np.fromiter(map(numbers.value.get, found, repeat(n_frequent)), np.int64, len(found))
-                ids[-1] = end
-                held.append(ids)
-                size += len(ids)
-                if size >= CHUNK_TOKENS:
-                    yield rows()
-                    size = 0
-        if held:
-            yield rows()
+                held.extend(map(numbers.value.get, words(raw), repeat(n_frequent)))
+                held.append(end)
+                if len(held) > CHUNK_TOKENS:
+                    yield rows(held)
+                    held = array("i", [end])
+        if len(held) > 1:
+            yield rows(held)
 
     return docs.select("text").mapInArrow(paired, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
@@ -225,54 +224,52 @@ def numbered(docs: DataFrame, numbers, n_frequent: int, member: np.ndarray) -> D
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.string(), pa.binary()]
     codes = np.append(member[:n_frequent], [member[n_frequent + 1], member[n_frequent]]).astype(np.uint8)  # the end, other words
 
-    class Numbers(dict):
-        def __missing__(self, word):
-            self[word] = found = len(self)
-            return found
-
     def run(batches: Iterator[pa.RecordBatch]):
-        part, chunk = TaskContext.get().partitionId() << 24, 0
-        known = Numbers(numbers.value)
-        known[None] = n_frequent
-        held, size = [], 0
+        part = TaskContext.get().partitionId() << 24
 
-        def rows():
-            arrays = [h[2] for h in held]
-            ids = np.concatenate(arrays)
-            local = np.arange(len(known) - n_frequent - 1)
+        def rows(chunk, known, held, texts):
+            ids, (doc_ids, trains, sizes) = np.frombuffer(held, np.int32), zip(*texts)
             # Each text ends with the end, so neighbours in this row of numbers are neighbours in the texts.
             code = codes[np.minimum(ids, n_frequent + 1)]
             left, right = np.append(codes[n_frequent], code[:-1]), np.append(code[1:], codes[n_frequent])
-            at = np.flatnonzero((ids > n_frequent) & np.repeat([h[1] for h in held], [len(a) for a in arrays]))
+            at = np.flatnonzero((ids > n_frequent) & np.repeat(trains, sizes))
             which = ids[at] - n_frequent - 1
             at = at[np.argsort(which, kind="stable")]
-            near = np.column_stack([left[at], right[at]]).tobytes()
-            ends = np.concatenate([[0], np.cumsum(2 * np.bincount(which, minlength=len(local)))])
-            if ends[-1] < 1 << 31:
-                near = pa.Array.from_buffers(pa.binary(), len(local), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(near)])
-            else:
-                near = pa.array([near[a:b] for a, b in zip(ends, ends[1:])], pa.large_binary())
-            planes = [np.ascontiguousarray(a).view(np.uint8).reshape(-1, 4).T.tobytes() for a in arrays]
-            texts = [pa.array(np.full(len(held), part + chunk)), pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held]), pa.array(planes, pa.binary())]
-            yield pa.RecordBatch.from_arrays(texts + [pa.nulls(len(held), k) for k in kinds[4:]], names)
-            listed = list(known)[n_frequent + 1:]
-            batch = [pa.array(np.full(len(local), part + chunk)), *[pa.nulls(len(local), k) for k in kinds[1:4]], pa.array(local.astype(np.int32)), pa.array(listed, pa.binary()).cast(pa.string()), near.cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays(batch, names)
-
+            near = np.column_stack([left[at], right[at]]).reshape(-1)
+            ends = np.concatenate([[0], np.cumsum(2 * np.bincount(which, minlength=len(known) - n_frequent - 1))])
+            del code, left, right, at, which
+            listed = islice(known, n_frequent + 1, None)
+            for low in range(0, len(ends) - 1, LISTED):
+                named, stops = list(islice(listed, LISTED)), ends[low: low + LISTED + 1]
+                n, offsets = len(named), (stops - stops[0]).astype(np.int32)
+                around = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(near[stops[0]: stops[-1]])])
+                batch = [pa.array(np.full(n, part + chunk)), *[pa.nulls(n, k) for k in kinds[1:4]], pa.array(np.arange(low, low + n, dtype=np.int32)), pa.array(named, pa.binary()).cast(pa.string()), around]
+                yield pa.RecordBatch.from_arrays(batch, names)
+            ends = np.cumsum(sizes)
+            for low in range(0, len(sizes), READ):
+                here = slice(low, low + READ)
+                first, n = ends[low] - sizes[low], len(sizes[here])
+                planes = [a.view(np.uint8).reshape(-1, 4).T.tobytes() for a in np.split(ids[first: ends[here][-1]], ends[here][:-1] - first)]
+                batch = [pa.array(np.full(n, part + chunk)), pa.array(doc_ids[here], pa.int64()), pa.array(trains[here]), pa.array(planes, pa.binary())]
+                yield pa.RecordBatch.from_arrays(batch + [pa.nulls(n, k) for k in kinds[4:]], names)
+
+        def begun():
+            known = defaultdict(count(n_frequent + 1).__next__, numbers.value)
+            known[None] = n_frequent
+            return known, array("i"), []
+
+        chunk, (known, held, texts) = 0, begun()
         for batch in batches:
             for doc_id, train, raw in zip(batch.column("doc_id").to_pylist(), batch.column("train").to_pylist(), _texts(batch)):
-                found = words(raw)
-                found.append(None)
-                ids = np.fromiter(map(known.__getitem__, found), "<i4", len(found))
-                held.append((doc_id, train, ids))
-                size += len(ids)
-                if size >= CHUNK_TOKENS or len(known) - n_frequent >= CHUNK_WORDS:
-                    yield from rows()
-                    chunk, held, size = chunk + 1, [], 0
-                    known = Numbers(numbers.value)
-                    known[None] = n_frequent
-        if held:
-            yield from rows()
+                before = len(held)
+                held.extend(map(known.__getitem__, words(raw)))
+                held.append(n_frequent)
+                texts.append((doc_id, train, len(held) - before))
+                if len(held) >= CHUNK_TOKENS or len(known) - n_frequent >= CHUNK_WORDS:
+                    yield from rows(chunk, known, held, texts)
+                    chunk, (known, held, texts) = chunk + 1, begun()
+        if texts:
+            yield from rows(chunk, known, held, texts)
 
     return docs.mapInArrow(run, "chunk long, doc_id long, train boolean, ids binary, local int, word string, near binary")
 

@@ -1,9 +1,11 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +63,32 @@ def test_base_counts_equal_a_walk(spark, monkeypatch, chunk):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
+def test_a_worker_takes_up_and_hands_on_little_at_once(monkeypatch):
+    class Docs:
+        def mapInArrow(self, run, schema):
+            return run
+
+    class Context:
+        get = classmethod(lambda cls: cls)
+        partitionId = classmethod(lambda cls: 2)
+
+    class Shared:
+        value = {b"a": 0}
+
+    monkeypatch.setattr(B, "TaskContext", Context)
+    rows = [f"a w{i} a" + " padding" * 400 for i in range(2000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(2000)), "train": [True] * 2000, "text": rows})
+    out = list(B.numbered(Docs(), Shared, 1, np.array([0, 4, 5]))(iter([batch])))
+    assert max(b.num_rows for b in out if b["ids"].null_count == 0) <= 256
+    assert sum(b.num_rows for b in out if b["ids"].null_count == 0) == 2000
+    assert {w for b in out for w in b["word"].to_pylist() if w} == {"padding", *(f"w{i}" for i in range(2000))}
+    tracemalloc.start()
+    size = sum(len(t) for t in B._texts(batch))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < size / 4
+
+
 def test_chunks_do_not_change_scores(spark, monkeypatch):
     rows = [*enumerate(AWKWARD + sentences(40))]
     monkeypatch.setattr(B, "SHARE", 40)
