@@ -7,14 +7,19 @@ another pass counts the border that this opens, until no pass finds a failure.
 all counts are those of the whole table, whatever the sample was.
 
 The border is never listed.  Known phrases go to the workers as a bit filter of at most FILTER_BITS bits: a filter that is
-too full lets more phrases be counted, and changes no result.  Workers add up phrases chunk by chunk, so a phrase is one row per
+too full lets more phrases be counted, and changes no result.  Nearly all of the first border is rare, so its phrases are first
+added up by their hashes alone, in ranges of hashes; only phrases whose hash reaches the support are exchanged and counted as
+they are written.  Phrases that share a hash can only let more through.  Workers add up phrases chunk by chunk, so a phrase is one row per
 chunk.  A null text is empty, a null language is ``und``, and repeated rows count each time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from array import array
+from collections import defaultdict
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from itertools import count, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from markbook.llm.common import query, stored, table, travels
+from markbook.llm.common import discard, query, stored, table, travels
 
 travels(__name__)
 
@@ -38,6 +43,8 @@ FILTER_BITS = 1 << 28
 BLOCK = 1 << 13  # bytes of a filter that travel together
 PROBES = 4
 BATCH = 1 << 16  # rows handed on at once
+READ = 1 << 8  # texts taken up at once
+RANGE_BYTES, RANGES = 1 << 23, 1 << 14  # text that a range of hashes stands for, and the most ranges there are
 
 STOPS = b".,;:!?\n\x0b\x0c\r"
 FOLD = bytes(10 if b in STOPS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -61,7 +68,7 @@ def extend(hashes: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: Sequence[bytes], seed: int) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(seed)), np.uint64, len(words))
 
 
 def seed_of(lang: str) -> int:
@@ -84,17 +91,26 @@ def holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def phrase_filter(known: DataFrame):
     """A broadcast filter of the phrases (lang, phrase) of ``known``, which is read twice."""
-    size = 1 << max(16, min(FILTER_BITS.bit_length() - 1, (12 * known.count()).bit_length()))
+
+    def hashed(batch: pa.RecordBatch):
+        alike: dict[tuple[str, int], list[list[bytes]]] = {}
+        for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").cast(pa.binary()).to_pylist()):
+            words = phrase.split(b" ")
+            alike.setdefault((lang, len(words)), []).append(words)
+        for (lang, _), phrases in alike.items():
+            yield reduce(extend, [word_hashes(column, seed_of(lang)) for column in zip(*phrases)])
+
+    return _filter(known.select("lang", "phrase"), known.count(), hashed)
+
+
+def _filter(rows: DataFrame, n: int, hashed: Callable[[pa.RecordBatch], Iterator[np.ndarray]]):
+    """A broadcast filter of the ``n`` hashes that ``hashed`` takes from ``rows``."""
+    size = 1 << max(16, min(FILTER_BITS.bit_length() - 1, (12 * n).bit_length()))
 
     def marked(batches: Iterator[pa.RecordBatch]):
         bits = np.zeros(size // 8, np.uint8)
         for batch in batches:
-            alike: dict[tuple[str, int], list[list[bytes]]] = {}
-            for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").cast(pa.binary()).to_pylist()):
-                words = phrase.split(b" ")
-                alike.setdefault((lang, len(words)), []).append(words)
-            for (lang, _), phrases in alike.items():
-                hashes = reduce(extend, [word_hashes(column, seed_of(lang)) for column in zip(*phrases)])
+            for hashes in hashed(batch):
                 for at in _bits(hashes, size):
                     np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         for block in range(0, len(bits), BLOCK):
@@ -107,48 +123,60 @@ def phrase_filter(known: DataFrame):
         return pa.table({"block": parts["block"][:1], "bits": pa.array([bits.tobytes()], pa.binary())})
 
     whole = np.zeros(size // 8, np.uint8)
-    marks = known.select("lang", "phrase").mapInArrow(marked, "block int, bits binary")
+    marks = rows.mapInArrow(marked, "block int, bits binary")
     for row in marks.groupBy("block").applyInArrow(joined, "block int, bits binary").collect():  # at most FILTER_BITS bits
         whole[row.block * BLOCK: row.block * BLOCK + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
-    return known.sparkSession.sparkContext.broadcast(whole)
+    return rows.sparkSession.sparkContext.broadcast(whole)
 
 
 class _Chunk:
     """Texts as one row of numbers: words, -1 between pieces."""
 
     def __init__(self):
-        self.words: list[bytes] = []
-        self.langs: list[str] = []
-        self.tables: dict[str, _Numbers] = {}
-        self.parts: list[np.ndarray] = []
-        self.size = 0
+        self.number = count().__next__
+        self.tables: dict[str, defaultdict[bytes, int]] = {}  # word -> its number in the chunk, by language
+        self.ids = array("i")
 
     def add(self, lang: str, raw: bytes | None) -> None:
         if lang not in self.tables:
-            self.tables[lang] = _Numbers(self.words, self.langs, lang)
+            self.tables[lang] = defaultdict(self.number, {b"": -2, b"\n": -1})
         found = split(raw)
-        found.append(b"\n")
         ids = np.fromiter(map(self.tables[lang].__getitem__, found), np.int32, len(found))
-        ids = ids[ids != -2]
-        self.parts.append(ids)
-        self.size += len(ids)
-
-    def full(self) -> bool:
-        return self.size >= CHUNK_TOKENS or len(self.words) >= CHUNK_WORDS
-
-
-class _Numbers(dict):
-    """word -> its number in the chunk, listed with its language when it is new"""
+        self.ids.frombytes(ids[ids != -2].tobytes())
+        self.ids.append(-1)
 
-    def __init__(self, words: list[bytes], langs: list[str], lang: str):
-        super().__init__({b"": -2, b"\n": -1})
-        self.words, self.langs, self.lang = words, langs, lang  # not the chunk, which would then outlive its use
+    def width(self) -> int:
+        return sum(len(t) - 2 for t in self.tables.values())
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = found = len(self.words)
-        self.words.append(word)
-        self.langs.append(self.lang)
-        return found
+    def full(self) -> bool:
+        return len(self.ids) >= CHUNK_TOKENS or self.width() >= CHUNK_WORDS
+
+    def words(self) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+        """Each language that has words, its words and their numbers."""
+        for lang, table in self.tables.items():
+            if len(table) > 2:
+                yield lang, list(islice(table, 2, None)), np.fromiter(islice(table.values(), 2, None), np.int32, len(table) - 2)
+
+    def hashes(self) -> np.ndarray:
+        out = np.empty(self.width(), np.uint64)
+        for lang, words, numbers in self.words():
+            out[numbers] = word_hashes(words, seed_of(lang))
+        return out
+
+
+def _chunked(batches: Iterator[pa.RecordBatch], rows: Callable[[_Chunk], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """What ``rows`` makes of the texts (lang, text), chunk by chunk; texts are taken up a few at a time."""
+    chunk = _Chunk()
+    for batch in batches:
+        langs, texts = batch.column("lang"), batch.column("text").cast(pa.binary())
+        for low in range(0, len(texts), READ):
+            for lang, raw in zip(langs[low: low + READ].to_pylist(), texts[low: low + READ].to_pylist()):
+                chunk.add(lang, raw)
+                if chunk.full():
+                    yield from rows(chunk)
+                    chunk = _Chunk()
+    if chunk.width():
+        yield from rows(chunk)
 
 
 def _known(ids: np.ndarray, at: np.ndarray, length: int, hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -194,6 +222,17 @@ def distinct(ids: np.ndarray, at: np.ndarray, length: int, width: int) -> Iterat
         yield mine[first], n
 
 
+def covered(ids: np.ndarray, hashes: np.ndarray, bits: np.ndarray, longest: int) -> np.ndarray:
+    """Where there is a word of a phrase of up to ``longest`` words that is in the filter."""
+    out, at = np.zeros(len(ids), bool), np.flatnonzero(ids >= 0).astype(np.int32)
+    for length in range(1, longest + 1):
+        begins = _known(ids, at, length, hashes, bits)
+        for i in range(length):
+            out[begins + i] = True
+        at = at[ids[at + length] >= 0]  # a text ends with what is between pieces
+    return out
+
+
 def near(hit: np.ndarray, ids: np.ndarray, longest: int) -> np.ndarray:
     """Positions less than ``longest`` words away from a ``hit``, on either side."""
     out = hit.copy()
@@ -203,45 +242,92 @@ def near(hit: np.ndarray, ids: np.ndarray, longest: int) -> np.ndarray:
     return np.flatnonzero(out & (ids >= 0)).astype(np.int32)
 
 
-def phrase_counts(docs: DataFrame, known=None, before=None, shortest: int = 1, longest: int = LONGEST, fresh=None) -> DataFrame:
+def screen(docs: DataFrame, known, least: int, longest: int = LONGEST):
+    """A filter of the phrases that ``phrase_counts`` would count with ``known`` and whose hashes occur ``least`` times.
+
+    A range of hashes is one group, which holds eight bytes and a count for each of its phrases and chunks.
+    """
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = min(RANGES.bit_length() - 1, max(4, (size // RANGE_BYTES).bit_length()))
+    kind = np.min_scalar_type(least)  # for a count of ``least`` and one of more are alike
+
+    def hashed(batches: Iterator[pa.RecordBatch]):
+        cuts = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+
+        def rows(chunk: _Chunk):
+            ids, hashes = np.frombuffer(chunk.ids, np.int32), chunk.hashes()
+            at = np.flatnonzero(ids >= 0).astype(np.int32)
+            for i, at in enumerate([at, *(candidates(ids, at, hashes, known.value, longest) if longest > 1 else [])]):
+                for low in range(0, len(at), SLICE):
+                    here = at[low: low + SLICE]
+                    value, n = np.unique(reduce(extend, [hashes[ids[here + j]] for j in range(i + 1)]), return_counts=True)
+                    n = np.minimum(n, least).astype(kind)
+                    ends = np.concatenate([[0], np.searchsorted(value, cuts), [len(value)]])
+                    blobs = [pa.Array.from_buffers(pa.binary(), 1 << bits, [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in (value, n)]
+                    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(1 << bits, dtype=np.int32)), *blobs], ["range", "hashes", "n"])
+                    yield batch.filter(pa.array(np.diff(ends) > 0))
+
+        return _chunked(batches, rows)
+
+    def added(parts: pa.Table) -> pa.Table:
+        value, n = (np.frombuffer(b"".join(parts[c].to_pylist()), k) for c, k in (("hashes", np.uint64), ("n", kind)))
+        order = np.argsort(value)
+        value = value[order]
+        first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+        value = value[first][np.add.reduceat(n[order], first, dtype=np.int64) >= least]
+        return pa.table({"hashes": pa.array([value.tobytes()], pa.binary()), "n": pa.array([len(value)], pa.int64())})
+
+    parts = docs.select("lang", "text").mapInArrow(hashed, "range int, hashes binary, n binary")
+    found = stored(parts.groupBy("range").applyInArrow(added, "hashes binary, n long"), "screened")
+    n = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    out = _filter(found.select("hashes"), n, lambda batch: (np.frombuffer(b, np.uint64) for b in batch.column("hashes").to_pylist()))
+    discard(found)
+    return out
+
+
+def phrase_counts(docs: DataFrame, known=None, before=None, shortest: int = 1, longest: int = LONGEST, fresh=None, passing=None) -> DataFrame:
     """(lang, phrase, words, n) over all texts of ``docs``: phrases of ``shortest`` to ``longest`` words whose parts are in the
     filter ``known``, without those whose parts are in ``before``.  With single words comes a row per language of no words at all
-    and n words.  ``fresh`` is a filter of the words of what ``known`` has and ``before`` has not: without any of them near,
-    nothing is new."""
+    and n words.  ``fresh`` is a filter of what ``known`` has and ``before`` has not: a phrase that holds none of it is not new.
+    ``passing``, from ``screen``, takes the place of ``known``, and phrases that are not in it themselves are left out."""
 
     def counted(batches: Iterator[pa.RecordBatch]):
         def rows(chunk: _Chunk):
-            if not chunk.words:
-                return
-            ids, width = np.concatenate(chunk.parts), len(chunk.words)
-            lang, listed = pa.array(chunk.langs, pa.string()).dictionary_encode(), pa.array(chunk.words, pa.binary())
+            ids, width = np.frombuffer(chunk.ids, np.int32), chunk.width()
+            which, names, listed = np.empty(width, np.int32), [], [b""] * width
+            for name, words, numbers in chunk.words():
+                which[numbers] = len(names)
+                names.append(name)
+                for i, word in zip(numbers.tolist(), words):
+                    listed[i] = word
+            lang, listed = pa.DictionaryArray.from_arrays(pa.array(which), pa.array(names, pa.string())), pa.array(listed, pa.binary())
+            hashes = chunk.hashes() if longest > 1 or passing is not None else None
             if shortest == 1:
                 n = np.bincount(ids[ids >= 0], minlength=width)
-                yield from batches_of(lang, listed, 1, n)
-                which = lang.indices.to_numpy()
                 total = np.bincount(which, n).astype(np.int64)
                 yield from batches_of(lang.dictionary, pa.array([b""] * len(total), pa.binary()), 0, total)
+                if passing is None:
+                    yield from batches_of(lang, listed, 1, n)
+                else:
+                    kept = np.flatnonzero(holds(passing.value, hashes))
+                    yield from batches_of(lang.take(pa.array(kept)), listed.take(pa.array(kept)), 1, n[kept])
             if longest < 2:
                 return
-            hashes = np.empty(width, np.uint64)
-            places = {name: [] for name in chunk.tables}
-            for i, name in enumerate(chunk.langs):
-                places[name].append(i)
-            for name, at in places.items():
-                hashes[at] = word_hashes([chunk.words[i] for i in at], seed_of(name))
             if fresh is None:
                 at = np.flatnonzero(ids >= 0).astype(np.int32)
             else:
-                hit = np.append(holds(fresh.value, hashes), False)[ids]
+                hit = covered(ids, hashes, fresh.value, longest - 1)
                 at = near(hit, ids, longest)
             old = candidates(ids, at, hashes, before.value, longest) if before is not None else None
-            for i, at in enumerate(candidates(ids, at, hashes, known.value, longest)):
+            for i, at in enumerate(candidates(ids, at, hashes, (passing or known).value, longest)):
                 if i + 2 < shortest:
                     continue
                 if old is not None:
                     at = np.setdiff1d(at, old[i], assume_unique=True)
-                if fresh is not None:  # places without such a word were not all looked at
+                if fresh is not None:  # places without such a phrase were not all looked at
                     at = at[np.logical_or.reduce([hit[at + j] for j in range(i + 2)])]
+                if passing is not None:
+                    at = _known(ids, at, i + 2, hashes, passing.value)
                 for first, n in distinct(ids, at, i + 2, width):
                     for low in range(0, len(first), BATCH):
                         here = first[low: low + BATCH]
@@ -255,14 +341,7 @@ def phrase_counts(docs: DataFrame, known=None, before=None, shortest: int = 1, l
                 columns = [lang[part], phrase[part].cast(pa.string()), pa.array(np.full(len(n[part]), words, np.int32)), pa.array(n[part].astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "n"])
 
-        chunk = _Chunk()
-        for batch in batches:
-            for lang, raw in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-                chunk.add(lang, raw)
-                if chunk.full():
-                    yield from rows(chunk)
-                    chunk = _Chunk()
-        yield from rows(chunk)
+        return _chunked(batches, rows)
 
     found = docs.select("lang", "text").mapInArrow(counted, "lang string, phrase string, words int, n long")
     return found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
@@ -282,8 +361,9 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sample: in
         level = stored(level.where((F.col("n") >= support) & (F.col("words") > 0)).select("lang", "phrase"), f"phrases-{length}")
         known = level if known is None else known.union(level)
     bits, before, shortest, frequent, fresh = phrase_filter(known), None, 1, None, None
+    passing = screen(texts, bits, least, longest)
     while True:
-        counts = phrase_counts(texts, bits, before, shortest, longest, fresh)
+        counts = phrase_counts(texts, bits, before, shortest, longest, fresh, passing)
         counts = stored(counts.where((F.col("n") >= least) | (F.col("words") == 0)), "phrase-counts")
         # A phrase counted by two passes has the same count in both.
         frequent = counts if frequent is None else frequent.union(counts)
@@ -292,8 +372,8 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sample: in
         if failures.isEmpty():
             return frequent.distinct()
         known = known.union(failures)
-        fresh = phrase_filter(failures.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")))
-        bits, before, shortest = phrase_filter(known), bits, 2
+        fresh = phrase_filter(failures)
+        bits, before, shortest, passing = phrase_filter(known), bits, 2, None  # what failures open is little
 
 
 def _part(start, length):

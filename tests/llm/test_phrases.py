@@ -88,6 +88,42 @@ def test_slices_do_not_change_counts(spark, monkeypatch):
     assert report(spark, rows, slack=0.8) == report_by_hand(rows)
 
 
+def test_rare_border_phrases_are_not_exchanged(spark, monkeypatch):
+    passes, counted = [], P.phrase_counts
+
+    def kept(*given, **named):
+        passes.append(counted(*given, **named))
+        return passes[-1]
+
+    monkeypatch.setattr(P, "phrase_counts", kept)
+    rows = texts(4, 400)
+    P.mine(docs_of(spark, rows))
+    whole = passes[P.LONGEST - 1]  # the first pass over all texts
+    found = {(r.lang, r.phrase): r.n for r in whole.where("words > 0").collect()}
+    want, _ = counts_by_hand(rows)
+    assert found and all(n == want[k] for k, n in found.items())
+    rare = sum(n < P.LEAST for n in found.values())
+    assert rare <= len(found) // 50  # those that share bits with frequent ones
+
+
+@pytest.mark.parametrize("slack", [0.4, 5.0])
+def test_many_ranges_of_hashes_and_few_texts_at_once(spark, monkeypatch, slack):
+    rows = texts(5, 200) + AWKWARD
+    for name, value in {"RANGE_BYTES": 64, "READ": 3, "CHUNK_TOKENS": 100, "SLICE": 13}.items():
+        monkeypatch.setattr(P, name, value)
+    assert report(spark, rows, slack=slack) == report_by_hand(rows)
+
+
+def test_later_passes_look_near_new_phrases_only():
+    words = [b"a", b"b", b"c", b"d"]
+    hashes = P.word_hashes(words, P.seed_of("en"))
+    ids = np.array([0, 1, 2, 3, -1, 1, 0, -1, 0, 1, -1], np.int32)
+    bits = np.zeros(1 << 13, np.uint8)
+    for at in P._bits(P.extend(hashes[:1], hashes[1:2]), len(bits) * 8):
+        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    assert np.flatnonzero(P.covered(ids, hashes, bits, 3)).tolist() == [0, 1, 8, 9]  # of "a b", not of its words
+
+
 def test_a_failed_sample_needs_more_passes(spark, monkeypatch):
     passes = []
     counted = P.phrase_counts
