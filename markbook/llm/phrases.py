@@ -4,7 +4,8 @@ A sample of the texts is mined level by level at a lowered support.  What is fre
 phrase whose parts without the first and without the last word are frequent there, but which is not itself), is then counted
 over all texts in one pass.  A border phrase that turns out frequent is a failure of the sample: it joins the known phrases, and
 another pass counts the border that this opens, until no pass finds a failure.  Then every frequent phrase has been counted, and
-all counts are those of the whole table, whatever the sample was.
+all counts are those of the whole table, whatever the sample was.  What failures open holds a failure of the first pass, so the
+later passes read only what lies near those, which one pass over all texts cuts out.
 
 The border is never listed.  Known phrases go to the workers as a bit filter of at most FILTER_BITS bits: a filter that is
 too full lets more phrases be counted, and changes no result.  Nearly all of the first border is rare, so its phrases are first
@@ -44,6 +45,7 @@ BLOCK = 1 << 13  # bytes of a filter that travel together
 PROBES = 4
 BATCH = 1 << 16  # rows handed on at once
 READ = 1 << 8  # texts taken up at once
+EXCERPT = 1 << 10  # words after which a row of excerpts ends, at the end of what lies together
 RANGE_BYTES, RANGES = 1 << 23, 1 << 14  # text that a range of hashes stands for, and the most ranges there are
 
 STOPS = b".,;:!?\n\x0b\x0c\r"
@@ -75,22 +77,28 @@ def seed_of(lang: str) -> int:
     return xxhash.xxh64_intdigest(lang.encode())
 
 
+def _bit(hashes: np.ndarray, i: int, size: int) -> np.ndarray:
+    step = np.uint64(i) * (_mix(hashes) | np.uint64(1)) if i else np.uint64(0)
+    return ((hashes + step) & np.uint64(size - 1)).astype(np.int64)
+
+
 def _bits(hashes: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    step = _mix(hashes) | np.uint64(1)
-    for i in range(PROBES):
-        yield ((hashes + np.uint64(i) * step) & np.uint64(size - 1)).astype(np.int64)
+    return (_bit(hashes, i, size) for i in range(PROBES))
 
 
 def holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """True for every phrase in the filter, and for few others."""
-    found = np.ones(len(hashes), bool)
-    for at in _bits(hashes, len(bits) * 8):
-        found &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    left = np.arange(len(hashes))
+    for i in range(PROBES):
+        at = _bit(hashes[left] if i else hashes, i, len(bits) * 8)
+        left = left[(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+    found = np.zeros(len(hashes), bool)
+    found[left] = True
     return found
 
 
-def phrase_filter(known: DataFrame):
-    """A broadcast filter of the phrases (lang, phrase) of ``known``, which is read twice."""
+def phrase_filter(known: DataFrame, room: int = 12):
+    """A broadcast filter of the phrases (lang, phrase) of ``known``, which is read twice, with ``room`` bits for each."""
 
     def hashed(batch: pa.RecordBatch):
         alike: dict[tuple[str, int], list[list[bytes]]] = {}
@@ -100,12 +108,12 @@ def phrase_filter(known: DataFrame):
         for (lang, _), phrases in alike.items():
             yield reduce(extend, [word_hashes(column, seed_of(lang)) for column in zip(*phrases)])
 
-    return _filter(known.select("lang", "phrase"), known.count(), hashed)
+    return _filter(known.select("lang", "phrase"), known.count(), hashed, room)
 
 
-def _filter(rows: DataFrame, n: int, hashed: Callable[[pa.RecordBatch], Iterator[np.ndarray]]):
+def _filter(rows: DataFrame, n: int, hashed: Callable[[pa.RecordBatch], Iterator[np.ndarray]], room: int = 12):
     """A broadcast filter of the ``n`` hashes that ``hashed`` takes from ``rows``."""
-    size = 1 << max(16, min(FILTER_BITS.bit_length() - 1, (12 * n).bit_length()))
+    size = 1 << max(16, min(FILTER_BITS.bit_length() - 1, (room * n).bit_length()))
 
     def marked(batches: Iterator[pa.RecordBatch]):
         bits = np.zeros(size // 8, np.uint8)
@@ -157,6 +165,16 @@ class _Chunk:
             if len(table) > 2:
                 yield lang, list(islice(table, 2, None)), np.fromiter(islice(table.values(), 2, None), np.int32, len(table) - 2)
 
+    def listing(self) -> tuple[pa.DictionaryArray, list[bytes]]:
+        """Language and word of each number."""
+        which, names, listed = np.empty(self.width(), np.int32), [], [b""] * self.width()
+        for name, words, numbers in self.words():
+            which[numbers] = len(names)
+            names.append(name)
+            for i, word in zip(numbers.tolist(), words):
+                listed[i] = word
+        return pa.DictionaryArray.from_arrays(pa.array(which), pa.array(names, pa.string())), listed
+
     def hashes(self) -> np.ndarray:
         out = np.empty(self.width(), np.uint64)
         for lang, words, numbers in self.words():
@@ -224,8 +242,10 @@ def distinct(ids: np.ndarray, at: np.ndarray, length: int, width: int) -> Iterat
 
 def covered(ids: np.ndarray, hashes: np.ndarray, bits: np.ndarray, longest: int) -> np.ndarray:
     """Where there is a word of a phrase of up to ``longest`` words that is in the filter."""
-    out, at = np.zeros(len(ids), bool), np.flatnonzero(ids >= 0).astype(np.int32)
-    for length in range(1, longest + 1):
+    out = np.append(holds(bits, hashes), False)[ids]  # the last one stands for what is between pieces
+    at = np.flatnonzero(ids >= 0).astype(np.int32)
+    at = at[ids[at + 1] >= 0]
+    for length in range(2, longest + 1):
         begins = _known(ids, at, length, hashes, bits)
         for i in range(length):
             out[begins + i] = True
@@ -234,12 +254,43 @@ def covered(ids: np.ndarray, hashes: np.ndarray, bits: np.ndarray, longest: int)
 
 
 def near(hit: np.ndarray, ids: np.ndarray, longest: int) -> np.ndarray:
-    """Positions less than ``longest`` words away from a ``hit``, on either side."""
-    out = hit.copy()
-    for i in range(1, longest):
-        out[:-i] |= hit[i:]
-        out[i:] |= hit[:-i]
-    return np.flatnonzero(out & (ids >= 0)).astype(np.int32)
+    """Positions less than ``longest`` words away from a ``hit``, on either side, in the same piece."""
+    for _ in range(1, longest):
+        out = hit.copy()
+        out[:-1] |= hit[1:]
+        out[1:] |= hit[:-1]
+        hit = out & (ids >= 0)
+    return np.flatnonzero(hit).astype(np.int32)
+
+
+def excerpts(docs: DataFrame, fresh, longest: int = LONGEST) -> DataFrame:
+    """(lang, text): all of the texts that lies less than ``longest`` words away from a phrase of up to ``longest`` - 1 words in the
+    filter ``fresh``, in order, a line end between what does not lie together."""
+
+    def cut(batches: Iterator[pa.RecordBatch]):
+        def rows(chunk: _Chunk):
+            ids, width = np.frombuffer(chunk.ids, np.int32), chunk.width()
+            at = near(covered(ids, chunk.hashes(), fresh.value, longest - 1), ids, longest)
+            if not len(at):
+                return
+            lang, listed = chunk.listing()
+            words, starts = pa.array([*listed, b"\n"], pa.binary()), np.flatnonzero(np.append(True, np.diff(at) > 1))
+            which, number = lang.indices.to_numpy()[ids[at[starts]]], np.insert(ids[at], starts, width)
+            starts = starts + np.arange(len(starts))  # each with the line end before it
+            begins = np.append(True, (np.diff(which) != 0) | (np.diff(starts // EXCERPT) != 0))
+            bounds, which = np.append(starts[begins], len(number)), which[begins]
+            low = 0
+            while low < len(which):
+                high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + BATCH, "right")) - 1)
+                here = bounds[low: high + 1]
+                found = pa.ListArray.from_arrays(pa.array((here - here[0]).astype(np.int32)), words.take(pa.array(number[here[0]: here[-1]])))
+                texts = pc.binary_join(found, b" ")
+                yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(which[low: high])), texts], ["lang", "text"])
+                low = high
+
+        return _chunked(batches, rows)
+
+    return docs.select("lang", "text").mapInArrow(cut, "lang string, text binary")
 
 
 def screen(docs: DataFrame, known, least: int, longest: int = LONGEST):
@@ -294,13 +345,8 @@ def phrase_counts(docs: DataFrame, known=None, before=None, shortest: int = 1, l
     def counted(batches: Iterator[pa.RecordBatch]):
         def rows(chunk: _Chunk):
             ids, width = np.frombuffer(chunk.ids, np.int32), chunk.width()
-            which, names, listed = np.empty(width, np.int32), [], [b""] * width
-            for name, words, numbers in chunk.words():
-                which[numbers] = len(names)
-                names.append(name)
-                for i, word in zip(numbers.tolist(), words):
-                    listed[i] = word
-            lang, listed = pa.DictionaryArray.from_arrays(pa.array(which), pa.array(names, pa.string())), pa.array(listed, pa.binary())
+            lang, listed = chunk.listing()
+            which, listed = lang.indices.to_numpy(), pa.array(listed, pa.binary())
             hashes = chunk.hashes() if longest > 1 or passing is not None else None
             if shortest == 1:
                 n = np.bincount(ids[ids >= 0], minlength=width)
@@ -351,6 +397,9 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sample: in
     """(lang, phrase, words, n) of every phrase of up to ``longest`` words with n >= ``least``; words = 0 is a language's total.
 
     ``docs`` has (lang, text).  Sample and slack decide how many passes there are, never what is found.
+
+    Filters let more through, and a phrase that is counted in excerpts though it holds no failure may also occur outside of them.
+    So of later passes only what has a failure as a part is kept, and all else waits for the pass after its parts are known.
     """
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text", F.xxhash64(*docs.columns).alias("_hash"))
     drawn = texts.where(F.pmod("_hash", F.lit(sample)) == 0)
@@ -360,26 +409,41 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sample: in
         level = phrase_counts(drawn, known and phrase_filter(known), shortest=length, longest=length)
         level = stored(level.where((F.col("n") >= support) & (F.col("words") > 0)).select("lang", "phrase"), f"phrases-{length}")
         known = level if known is None else known.union(level)
-    bits, before, shortest, frequent, fresh = phrase_filter(known), None, 1, None, None
+    first = bits = phrase_filter(known)
+    read, before, shortest, frequent, fresh, failures = texts, None, 1, None, None, None
     passing = screen(texts, bits, least, longest)
     while True:
-        counts = phrase_counts(texts, bits, before, shortest, longest, fresh, passing)
-        counts = stored(counts.where((F.col("n") >= least) | (F.col("words") == 0)), "phrase-counts")
+        counts = phrase_counts(read, bits, before, shortest, longest, fresh, passing)
+        counts = counts.where((F.col("n") >= least) | (F.col("words") == 0))
+        counts = stored(counts if failures is None else _holding(counts, failures), "phrase-counts")
         # A phrase counted by two passes has the same count in both.
         frequent = counts if frequent is None else frequent.union(counts)
         failures = counts.where((F.col("words") > 0) & (F.col("words") < longest)).select("lang", "phrase").join(known, ["lang", "phrase"], "left_anti")
         failures = stored(failures, "failures")
         if failures.isEmpty():
+            if before is not None:
+                discard(read)
             return frequent.distinct()
         known = known.union(failures)
-        fresh = phrase_filter(failures)
-        bits, before, shortest, passing = phrase_filter(known), bits, 2, None  # what failures open is little
+        fresh = phrase_filter(failures, 64)
+        if before is None:
+            read = stored(excerpts(texts, fresh, longest), "excerpts")
+        # Only the first pass kept all that its filter let through; what failures open is little.
+        bits, before, shortest, passing = phrase_filter(known), first, 2, None
 
 
 def _part(start, length):
     return F.array_join(F.slice("_words", start, length), " ")
 
 
+def _holding(phrases: DataFrame, parts: DataFrame) -> DataFrame:
+    """The phrases (lang, phrase, words, n) that, without the first or without the last word, are among ``parts`` (lang, phrase)."""
+    split = phrases.withColumn("_words", F.split("phrase", " "))
+    part = split.withColumn("_part", F.explode(F.array(_part(F.lit(1), F.col("words") - 1), _part(F.lit(2), F.col("words") - 1))))
+    found = part.join(parts.select("lang", F.col("phrase").alias("_part")), ["lang", "_part"], "left_semi")
+    return found.select(*phrases.columns).distinct()
+
+
 def collocations(phrases: DataFrame, longest: int = LONGEST, first: int = FIRST) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the phrases of two words and more, best first.
 

@@ -133,6 +133,60 @@ def test_a_failed_sample_needs_more_passes(spark, monkeypatch):
     assert sum(passes) == 3  # words, then pairs, then triples are failures
 
 
+def test_later_passes_read_excerpts_only(spark, monkeypatch):
+    read, counted = [], P.phrase_counts
+
+    def seen(docs, *more, **named):
+        read.append(docs)
+        return counted(docs, *more, **named)
+
+    monkeypatch.setattr(P, "phrase_counts", seen)
+    monkeypatch.setattr(P, "discard", lambda *frames: None)
+    rare = [("en", " ".join(f"w{i}x{j}" for j in range(100)) + " a b c d e " + f"z{i}") for i in range(40)]
+    rows = rare + texts(7, 60) + AWKWARD
+    assert report(spark, rows, slack=1e9) == report_by_hand(rows)
+    first, *later = read[P.LONGEST - 1:]  # the passes over all texts
+    left = [part.split() for r in later[0].collect() for part in r.text.decode().split("\n")]
+    assert len(later) == 3 and all(r is later[0] for r in later)
+    assert first.count() == len(rows)
+    cut = sorted(part for part in left if any("x9" in word for word in part))
+    assert cut == sorted([f"w{i}x{j}" for j in (97, 98, 99)] + ["a", "b", "c", "d", "e", f"z{i}"] for i in range(40))
+
+
+def test_excerpts_hold_what_is_near(spark, monkeypatch):
+    for name, value in {"CHUNK_TOKENS": 100, "EXCERPT": 4, "BATCH": 9, "SLICE": 13}.items():
+        monkeypatch.setattr(P, name, value)
+    rows = [(lang or "und", text) for lang, text in texts(8, 80) + AWKWARD]
+    fresh = [("en", "c-c aa"), ("und", "dd"), ("fr", "bé 語 aa"), ("en", "aka")]
+    bits = P.phrase_filter(spark.createDataFrame(fresh, "lang string, phrase string"), 64)
+    got, want = Counter(), Counter()
+    for r in P.excerpts(docs_of(spark, rows), bits).collect():
+        got.update((r.lang, " ".join(words)) for words in pieces(r.text.decode()) if words)
+    for lang, text in rows:
+        for words in pieces(text):
+            near = set()
+            for phrase in (p.split(" ") for g, p in fresh if g == lang):
+                for i in range(len(words)):
+                    if words[i: i + len(phrase)] == phrase:
+                        near |= set(range(max(0, i - 3), min(len(words), i + len(phrase) + 3)))
+            want.update((lang, " ".join(words[j] for j in range(i, len(words)) if set(range(i, j + 1)) <= near)) for i in near if i - 1 not in near)
+    assert got == want
+
+
+def test_filters_that_differ_from_pass_to_pass(spark, monkeypatch):
+    exact = P.holds
+    monkeypatch.setattr(P, "holds", lambda bits, hashes: exact(bits, hashes) | (P._mix(hashes + bits.sum(dtype=np.uint64)) % np.uint64(3) == 0))
+    rows = texts(9, 300, 14) + AWKWARD
+    for slack in (2.0, 5.0, 1e9):
+        assert report(spark, rows, slack=slack) == report_by_hand(rows)
+
+
+def test_later_passes_keep_what_has_a_failure_as_a_part(spark):
+    phrases = spark.createDataFrame([("en", p, len(p.split()), 40) for p in ("a b c", "b c", "c b", "x a b", "a c b")] + [("fr", "a b c", 3, 40)], "lang string, phrase string, words int, n long")
+    parts = spark.createDataFrame([("en", "a b"), ("en", "c")], "lang string, phrase string")
+    assert sorted(r.phrase for r in P._holding(phrases, parts).collect()) == ["a b c", "b c", "c b", "x a b"]
+
+
 def test_first_rows_and_ties(spark):
     rows = [("en", " ".join(f"a{i} b{i}" for i in range(12)))] * 30
     got = report(spark, rows, first=3)
