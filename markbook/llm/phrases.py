@@ -16,11 +16,9 @@ chunk.  A null text is empty, a null language is ``und``, and repeated rows coun
 
 from __future__ import annotations
 
-from array import array
-from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
-from itertools import count, islice, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +37,7 @@ SAMPLE = 4  # one text of SAMPLE is in the sample, by its hash
 SLACK = 0.4  # of the support that the sample's share of a frequent phrase would have
 FIRST = 2000  # phrases reported per language
 CHUNK_TOKENS, CHUNK_WORDS = 1 << 20, 1 << 18  # a chunk ends with the text that reaches either
+WAITING, WAITING_BYTES = 1 << 16, 1 << 21  # texts with as many words wait at least until they are split, unless they have as many bytes
 SLICE = 1 << 19  # positions that are worked on at once
 FILTER_BITS = 1 << 28
 BLOCK = 1 << 13  # bytes of a filter that travel together
@@ -53,11 +52,6 @@ FOLD = bytes(10 if b in STOPS else 32 if b == 9 else b + 32 if 65 <= b <= 90 els
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def split(raw: bytes | None) -> list[bytes]:
-    """Words in order, a line end between pieces, and nothing where blanks meet."""
-    return (raw or b"").translate(FOLD).replace(b"\n", b" \n ").split(b" ")
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -138,48 +132,62 @@ def _filter(rows: DataFrame, n: int, hashed: Callable[[pa.RecordBatch], Iterator
 
 
 class _Chunk:
-    """Texts as one row of numbers: words, -1 between pieces."""
+    """Texts as one row of numbers: words, -1 between pieces.  Texts wait until there are many, and are split together."""
 
     def __init__(self):
-        self.number = count().__next__
-        self.tables: dict[str, defaultdict[bytes, int]] = {}  # word -> its number in the chunk, by language
-        self.ids = array("i")
+        self.tables: dict[str, pa.Array] = {}  # by language: what stands between words, then its words in order of their numbers
+        self.parts: list[tuple[str, np.ndarray]] = []
+        self.waiting: dict[str, list[bytes]] = {}
+        self.tokens = self.pending = self.bytes = 0
 
     def add(self, lang: str, raw: bytes | None) -> None:
-        if lang not in self.tables:
-            self.tables[lang] = defaultdict(self.number, {b"": -2, b"\n": -1})
-        found = split(raw)
-        ids = np.fromiter(map(self.tables[lang].__getitem__, found), np.int32, len(found))
-        self.ids.frombytes(ids[ids != -2].tobytes())
-        self.ids.append(-1)
+        raw = (raw or b"").translate(FOLD)
+        self.waiting.setdefault(lang, []).append(raw)
+        self.pending += raw.count(b" ") + 2 * raw.count(b"\n") + 2  # as many numbers at most
+        self.bytes += len(raw)
+        if self.bytes >= WAITING_BYTES or self.pending >= max(WAITING, CHUNK_WORDS - self.width()):
+            self.take_up()
+
+    def take_up(self) -> None:
+        for lang, texts in self.waiting.items():
+            raw = b"\n".join([*texts, b""]).replace(b"\n", b" \n ")
+            found = pc.split_pattern(pa.array([raw], pa.large_binary()), " ").values
+            old = self.tables.get(lang)
+            if old is None:
+                old = pa.array([b"", b"\n"], pa.large_binary())
+            coded = pa.concat_arrays([old, found]).dictionary_encode()  # numbers go by first occurrence, so old ones stay
+            ids = coded.indices.to_numpy()[len(old):] - np.int32(2)
+            self.tables[lang] = coded.dictionary
+            self.parts.append((lang, ids[ids != -2]))
+            self.tokens += len(self.parts[-1][1])
+        self.waiting, self.pending, self.bytes = {}, 0, 0
 
     def width(self) -> int:
         return sum(len(t) - 2 for t in self.tables.values())
 
     def full(self) -> bool:
-        return len(self.ids) >= CHUNK_TOKENS or self.width() >= CHUNK_WORDS
+        return self.tokens + self.pending >= CHUNK_TOKENS or self.width() >= CHUNK_WORDS
 
-    def words(self) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
-        """Each language that has words, its words and their numbers."""
+    def words(self) -> Iterator[tuple[str, pa.Array, int]]:
+        """Each language that has words, its words, and the number of the first."""
+        low = 0
         for lang, table in self.tables.items():
             if len(table) > 2:
-                yield lang, list(islice(table, 2, None)), np.fromiter(islice(table.values(), 2, None), np.int32, len(table) - 2)
+                yield lang, table[2:], low
+                low += len(table) - 2
+
+    def ids(self) -> np.ndarray:
+        first = {lang: low for lang, _, low in self.words()}
+        return np.concatenate([np.where(ids < 0, ids, ids + np.int32(first.get(lang, 0))) for lang, ids in self.parts])
 
-    def listing(self) -> tuple[pa.DictionaryArray, list[bytes]]:
+    def listing(self) -> tuple[pa.DictionaryArray, pa.Array]:
         """Language and word of each number."""
-        which, names, listed = np.empty(self.width(), np.int32), [], [b""] * self.width()
-        for name, words, numbers in self.words():
-            which[numbers] = len(names)
-            names.append(name)
-            for i, word in zip(numbers.tolist(), words):
-                listed[i] = word
-        return pa.DictionaryArray.from_arrays(pa.array(which), pa.array(names, pa.string())), listed
+        names, tables, _ = zip(*self.words())
+        which = np.repeat(np.arange(len(names), dtype=np.int32), [len(t) for t in tables])
+        return pa.DictionaryArray.from_arrays(pa.array(which), pa.array(names, pa.string())), pa.concat_arrays(tables).cast(pa.binary())
 
     def hashes(self) -> np.ndarray:
-        out = np.empty(self.width(), np.uint64)
-        for lang, words, numbers in self.words():
-            out[numbers] = word_hashes(words, seed_of(lang))
-        return out
+        return np.concatenate([word_hashes(table.to_numpy(zero_copy_only=False), seed_of(lang)) for lang, table, _ in self.words()])
 
 
 def _chunked(batches: Iterator[pa.RecordBatch], rows: Callable[[_Chunk], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
@@ -191,8 +199,13 @@ def _chunked(batches: Iterator[pa.RecordBatch], rows: Callable[[_Chunk], Iterato
             for lang, raw in zip(langs[low: low + READ].to_pylist(), texts[low: low + READ].to_pylist()):
                 chunk.add(lang, raw)
                 if chunk.full():
-                    yield from rows(chunk)
+                    yield from _rows(chunk, rows)
                     chunk = _Chunk()
+    yield from _rows(chunk, rows)
+
+
+def _rows(chunk: _Chunk, rows: Callable[[_Chunk], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    chunk.take_up()
     if chunk.width():
         yield from rows(chunk)
 
@@ -269,12 +282,12 @@ def excerpts(docs: DataFrame, fresh, longest: int = LONGEST) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]):
         def rows(chunk: _Chunk):
-            ids, width = np.frombuffer(chunk.ids, np.int32), chunk.width()
+            ids, width = chunk.ids(), chunk.width()
             at = near(covered(ids, chunk.hashes(), fresh.value, longest - 1), ids, longest)
             if not len(at):
                 return
             lang, listed = chunk.listing()
-            words, starts = pa.array([*listed, b"\n"], pa.binary()), np.flatnonzero(np.append(True, np.diff(at) > 1))
+            words, starts = pa.concat_arrays([listed, pa.array([b"\n"], pa.binary())]), np.flatnonzero(np.append(True, np.diff(at) > 1))
             which, number = lang.indices.to_numpy()[ids[at[starts]]], np.insert(ids[at], starts, width)
             starts = starts + np.arange(len(starts))  # each with the line end before it
             begins = np.append(True, (np.diff(which) != 0) | (np.diff(starts // EXCERPT) != 0))
@@ -306,7 +319,7 @@ def screen(docs: DataFrame, known, least: int, longest: int = LONGEST):
         cuts = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
 
         def rows(chunk: _Chunk):
-            ids, hashes = np.frombuffer(chunk.ids, np.int32), chunk.hashes()
+            ids, hashes = chunk.ids(), chunk.hashes()
             at = np.flatnonzero(ids >= 0).astype(np.int32)
             for i, at in enumerate([at, *(candidates(ids, at, hashes, known.value, longest) if longest > 1 else [])]):
                 for low in range(0, len(at), SLICE):
@@ -344,9 +357,9 @@ def phrase_counts(docs: DataFrame, known=None, before=None, shortest: int = 1, l
 
     def counted(batches: Iterator[pa.RecordBatch]):
         def rows(chunk: _Chunk):
-            ids, width = np.frombuffer(chunk.ids, np.int32), chunk.width()
+            ids, width = chunk.ids(), chunk.width()
             lang, listed = chunk.listing()
-            which, listed = lang.indices.to_numpy(), pa.array(listed, pa.binary())
+            which = lang.indices.to_numpy()
             hashes = chunk.hashes() if longest > 1 or passing is not None else None
             if shortest == 1:
                 n = np.bincount(ids[ids >= 0], minlength=width)

@@ -187,6 +187,31 @@ def test_later_passes_keep_what_has_a_failure_as_a_part(spark):
     assert sorted(r.phrase for r in P._holding(phrases, parts).collect()) == ["a b c", "b c", "c b", "x a b"]
 
 
+@pytest.mark.parametrize("limits", [{}, {"WAITING": 1, "CHUNK_WORDS": 1}, {"WAITING": 30, "CHUNK_WORDS": 10}, {"WAITING_BYTES": 50}])
+def test_texts_that_wait_are_split_alike(monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(P, name, value)
+    rows = [(lang or "und", text) for lang, text in texts(10, 60) + AWKWARD] + [("xx", "  ")]
+    chunk = P._Chunk()
+    for lang, text in rows:
+        chunk.add(lang, text and text.encode())
+    assert limits or not chunk.tables  # by themselves so few texts wait
+    chunk.take_up()
+    lang, listed = (column.to_pylist() for column in chunk.listing())
+    hashes, found, piece = chunk.hashes(), Counter(), []
+    assert len(listed) == chunk.width() == len({*zip(lang, listed)}) and chunk.tokens == len(chunk.ids())
+    assert all(h == P.word_hashes([w], P.seed_of(g))[0] for g, w, h in zip(lang, listed, hashes))
+    for i in chunk.ids().tolist():
+        if i >= 0:
+            piece.append(i)
+        else:
+            found[tuple((lang[j], listed[j].decode()) for j in piece)] += 1
+            piece = []
+    want = Counter(tuple((g, w) for w in words) for g, text in rows for words in pieces(text) if words)
+    del found[()]
+    assert found == want and not piece
+
+
 def test_first_rows_and_ties(spark):
     rows = [("en", " ".join(f"a{i} b{i}" for i in range(12)))] * 30
     got = report(spark, rows, first=3)
