@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import sys
+import types
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +26,26 @@ def travels(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+travels(__name__)
+
+
+def kept(key: str, make: Callable[[], object]):
+    """``make()``, kept in the worker from task to task, until a pass that works without it calls ``tidy``."""
+    held = sys.modules.setdefault("_markbook_kept", types.ModuleType("_markbook_kept")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
+def tidy(keep: bool = False) -> None:
+    """At the start of a task in a worker: what earlier passes kept there goes unless ``keep``, and memory that nothing uses any
+    more goes back to the system.  Workers live on from pass to pass, so otherwise each holds the most of all its passes."""
+    if not keep and sys.modules.pop("_markbook_kept", None):
+        gc.collect()
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
 def query(name: str, sql: str | None = None):
     """Register a query, with its SQL where SQL can say the same."""
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markbook.llm.common import query, stored, table, travels
+from markbook.llm.common import query, stored, table, tidy, travels
 from markbook.plans.joins import salted_join
 
 travels(__name__)
@@ -154,6 +154,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     shift = np.uint64(64 - width)
 
     def run(batches: Iterator[pd.DataFrame]):
+        tidy()
         reader, held = Reader(), shared.value
         for rows in batches:
             out = []

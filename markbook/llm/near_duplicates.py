@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markbook.llm.common import discard, lookup_join, query, stored, table, travels
+from markbook.llm.common import discard, lookup_join, query, stored, table, tidy, travels
 from markbook.llm.graph import components
 
 travels(__name__)
@@ -116,6 +116,7 @@ def profiles(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, set_key, bands, sketch, parity); documents without words have null for the last four."""
 
     def run(batches: Iterator[pd.DataFrame]):
+        tidy()
         shingles = shingler()
         for rows in batches:
             out = []
@@ -171,6 +172,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Data
     both = left.join(right, ["b", "salt"])
 
     def check(batches: Iterator[pd.DataFrame]):
+        tidy()
         shingles = shingler()
         last, held = None, None
         for rows in batches:
@@ -198,6 +200,7 @@ def _across(mixed: DataFrame, best: int) -> DataFrame:
     minor = rows.where("component <> main").select("band", F.explode("other").alias("block"), F.col("block").alias("other"), F.lit(1).alias("role"), "doc_id", "component", "n_shingles", "sketch", "parity")
 
     def search(batches: Iterator[pd.DataFrame]):
+        tidy()
         rest = None
         for rows in batches:
             rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)

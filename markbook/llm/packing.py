@@ -11,8 +11,6 @@ Tails are then ranked within their length and meet their place in the plan by (l
 from __future__ import annotations
 
 import re
-import sys
-import types
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -24,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from markbook.llm.common import query, stored, table, travels
+from markbook.llm.common import kept, query, stored, table, tidy, travels
 
 travels(__name__)
 
@@ -61,10 +59,7 @@ class _Known(dict):
 
 def encoder(tokenizer_path: str):
     """``_encoder`` with what it knows kept in the worker from task to task."""
-    kept = sys.modules.setdefault("_markbook_encoders", types.ModuleType("_markbook_encoders")).__dict__
-    if tokenizer_path not in kept:
-        kept[tokenizer_path] = _encoder(tokenizer_path)
-    return kept[tokenizer_path]
+    return kept(tokenizer_path, lambda: _encoder(tokenizer_path))
 
 
 def _encoder(tokenizer_path: str):
@@ -172,6 +167,7 @@ def _ids(docs: DataFrame, tokenizer_path: str, size: int) -> DataFrame:
     columns = ["chunk", "doc_id", "doc_tokens", "tail", "place", "full0", "wide", "ids"]
 
     def run(batches: Iterator[pd.DataFrame]):
+        tidy(keep=True)
         encode = encoder(tokenizer_path)
         part = TaskContext.get().partitionId() << 16
         for number, rows in enumerate(batches):

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markbook.llm.common import query, stored, table, travels
+from markbook.llm.common import query, stored, table, tidy, travels
 
 travels(__name__)
 
@@ -193,6 +193,7 @@ def ordinary(docs: DataFrame) -> dict[tuple[int, int], int]:
     """(length class, level) -> stretches of all texts of ``docs``."""
 
     def run(batches: Iterator[pd.DataFrame]):
+        tidy()
         counts = ordinary_counts(text for rows in batches for text in rows["text"])
         size, level = np.nonzero(counts)
         yield pd.DataFrame({"size": size, "level": level, "n": counts[size, level]})
@@ -208,6 +209,7 @@ def examine(docs: DataFrame) -> DataFrame:
     A null text is an empty one; null ids and repeated rows stay as they are."""
 
     def run(batches: Iterator[pd.DataFrame]):
+        tidy()
         for rows in batches:
             out = []
             for doc_id, text in zip(rows["doc_id"].astype("Int64"), rows["text"]):

@@ -21,7 +21,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from markbook.llm.common import query, table, travels
+from markbook.llm.common import query, table, tidy, travels
 
 travels(__name__)
 
@@ -184,6 +184,7 @@ def score(docs: DataFrame, distance: Distance, model: Logistic | None, name: str
     with nothing learned the score is 0."""
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tidy()
         count = distance.counter()
         for texts in parts:
             if model is None:

@@ -1,10 +1,14 @@
+import gc
 import random
+import weakref
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from tokenizers import Tokenizer
 
+from markbook.llm import near_duplicates, secrets
 from markbook.llm.packing import encoder, pack, plan, public_tokenizer
 
 from .cases import LONG, documents, empty
@@ -74,3 +78,26 @@ def test_pieces_give_the_documents_back(spark):
 
 def test_empty_table(spark):
     assert pack(empty(spark), public_tokenizer()).count() == 0
+
+
+class Captured:
+    """In place of a DataFrame: keeps the function that workers would run."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInPandas(self, run, schema):
+        self.run = run
+        return self
+
+
+@pytest.mark.parametrize("step", [near_duplicates.profiles, secrets.examine])
+def test_workers_let_go_of_the_tokenizer_in_other_passes(step):
+    docs = Captured()
+    step(docs)
+    held = weakref.ref(encoder(public_tokenizer()))
+    assert held() is encoder(public_tokenizer())
+    rows = pd.DataFrame({"doc_id": [1], "text": ["one two three four five six"]})
+    (out,) = docs.run(iter([rows]))
+    gc.collect()
+    assert len(out) == 1 and held() is None
