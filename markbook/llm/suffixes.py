@@ -4,8 +4,8 @@ A passage of LENGTH bytes is found through its anchor: the K-byte string of leas
 anchors at equal places.  Neighbouring passages with one anchor form a record: the suffix from the anchor on, and what
 stands before the anchor.  1. Blocks of whole texts are written.  2. Anchors' hashes are compared across blocks; anchors of
 one document only are dropped.  3. Each block sorts its other records by suffix into a run, keeps the smallest document of
-equal ones, and sends the run front-coded, cut at sampled splitters.  4. Each range merges its runs with a loser tree that
-compares only bytes beyond known common prefixes; the common prefixes it puts out then tell, for each place of the anchor
+equal ones, and sends the run front-coded, cut at sampled splitters.  4. Each range merges its runs with loser trees that
+compare only words beyond known common prefixes; the common prefixes it puts out then tell, for each place of the anchor
 in a passage, which records hold the same passage.  5. Blocks meet the covered places of their documents.
 """
 
@@ -34,10 +34,13 @@ KEY = LENGTH + 1 + LEFT + 1  # suffix, its length, reversed left context, its le
 BLOCK_BYTES = 4 << 20
 CHUNK = 1 << 18  # passages whose anchors are computed at once
 POSITION_BITS = np.uint64(22)
-RANGE_HASHES = 2_000_000  # hashes aimed at per range of step 2
-RANGE_RECORDS = 100_000  # records aimed at per range of step 4
-SAMPLE = 1 << 16  # anchors sampled for the splitters, in expectation
-HASH_BITS = 48
+RANGE_HASHES = 4_000_000  # hashes aimed at per range of step 2
+RANGE_RECORDS = 250_000  # records aimed at per range of step 4
+SAMPLE = 1 << 18  # anchors sampled for the splitters, in expectation
+HASH_BITS = 44
+DECODED = 1 << 14  # front-coded keys decoded at once
+LANE = 96  # records that one loser tree puts out, about
+BYTES = np.uint64(1) << np.arange(8, 64, 8, dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -92,14 +95,15 @@ def keys_of(raw: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.nda
     """Sort keys (n x KEY bytes): suffix padded with zeros, its length, left context from the anchor leftwards, its length."""
     n = len(first)
     out = np.zeros((n, KEY), np.uint8)
+    if not n:
+        return out
     right, left = last + LENGTH - anchor, anchor - first
-    step = np.arange(LENGTH)
-    at = np.minimum(anchor[:, None] + step, len(raw) - 1) if n else np.zeros((0, LENGTH), np.int64)
-    out[:, :LENGTH] = np.where(step < right[:, None], raw[at], 0)
+    padded = np.pad(raw, (LEFT, LENGTH))
+    out[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(padded, LENGTH)[anchor + LEFT]
+    out[:, :LENGTH] *= np.arange(LENGTH) < right[:, None]
     out[:, LENGTH] = right
-    step = np.arange(LEFT)
-    at = np.maximum(anchor[:, None] - 1 - step, 0) if n else np.zeros((0, LEFT), np.int64)
-    out[:, LENGTH + 1: LENGTH + 1 + LEFT] = np.where(step < left[:, None], raw[at], 0)
+    out[:, LENGTH + 1: LENGTH + 1 + LEFT] = np.lib.stride_tricks.sliding_window_view(padded, LEFT)[anchor][:, ::-1]
+    out[:, LENGTH + 1: LENGTH + 1 + LEFT] *= np.arange(LEFT) < left[:, None]
     out[:, KEY - 1] = left + 1
     return out
 
@@ -112,71 +116,148 @@ def common_prefixes(keys: np.ndarray) -> np.ndarray:
     return np.r_[0, np.where(differ.any(axis=1), differ.argmax(axis=1), keys.shape[1])]
 
 
-def merge(runs: list[tuple[list[int], list[bytes]]]):
-    """Loser-tree merge of front-coded runs: (run, place in the run, common prefix with the key before, key) per record.
-
-    A run is (common prefixes, remainders).  Each node keeps a loser and its common prefix with the last key put out; a
-    longer common prefix wins without a look at the bytes, and equal ones are compared from there on only."""
-    k = 1
-    while k < len(runs):
-        k *= 2
-    keys, places, done = [b""] * k, [0] * k, -1
-    prefix = [done] * k
-    for i, (_, rests) in enumerate(runs):
-        if rests:
-            keys[i], prefix[i] = rests[0], 0
-    loser, lost = [0] * k, [done] * k
-
-    def beats(a: int, b: int, h: int) -> tuple[bool, int]:
-        """Whether key a comes before key b, both agreeing on h bytes, and their common prefix."""
-        x, y = keys[a], keys[b]
-        if x == y:
-            return a < b, len(x)
-        step = 64
-        while step:
-            if x[h: h + step] == y[h: h + step]:
-                h += step
-            else:
-                step //= 2
-        return x[h] < y[h], h
-
-    def first(node: int) -> tuple[int, int]:
-        if node >= k:
-            return node - k, prefix[node - k]
-        (a, ha), (b, hb) = first(2 * node), first(2 * node + 1)
-        if ha < 0 or hb < 0:
-            wins, h = ha >= 0, done
-            if ha < 0 and hb < 0:
-                wins = True
-        else:
-            wins, h = beats(a, b, 0)
-        loser[node], lost[node] = (b, h) if wins else (a, h)
-        return (a, 0 if ha >= 0 else done) if wins else (b, 0)
-
-    a, h = first(1) if k > 1 else (0, prefix[0])
-    while h >= 0:
-        key, place = keys[a], places[a]
-        yield a, place, h, key
-        prefixes, rests = runs[a]
-        place += 1
-        if place < len(rests):
-            h = prefixes[place]
-            keys[a] = key[:h] + rests[place]
-            places[a] = place
-        else:
-            h = done
-        node = (a + k) >> 1
-        while node:
-            theirs = lost[node]
-            if h < theirs:
-                a, loser[node] = loser[node], a
-                h, lost[node] = theirs, h
-            elif h == theirs and h >= 0:
-                wins, common = beats(a, loser[node], h)
-                if not wins:
-                    a, loser[node] = loser[node], a
-                lost[node] = common
+def _decoded(prefix: np.ndarray, rest: np.ndarray, width: int) -> np.ndarray:
+    """Keys (n x width bytes) of front-coded runs after one another."""
+    keys = np.empty((len(prefix), width), np.uint8)
+    rest, key, at = rest.tobytes(), b"", 0
+    for done in range(0, len(prefix), DECODED):
+        piece = []
+        for h in prefix[done: done + DECODED].tolist():
+            to = at + width - h
+            key = key[:h] + rest[at:to]
+            piece.append(key)
+            at = to
+        keys[done: done + DECODED] = np.frombuffer(b"".join(piece), np.uint8).reshape(-1, width)
+    return keys
+
+
+def _beats(words: np.ndarray, width: int, a: np.ndarray, b: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether rows a come before rows b, each pair agreeing on h bytes, and their common prefixes; equal ones by row."""
+    n = words.shape[1]
+    at = np.minimum(h >> 3, n - 1)
+    flat = words.ravel()
+    x, y = flat.take(a * n + at), flat.take(b * n + at)
+    same = np.flatnonzero(x == y)
+    if len(same):
+        low = int(at[same].min())
+        xs, ys = words[a[same], low:], words[b[same], low:]
+        go = (xs != ys).argmax(axis=1)  # 0 where all are equal
+        x[same], y[same] = np.take_along_axis(xs, go[:, None], 1)[:, 0], np.take_along_axis(ys, go[:, None], 1)[:, 0]
+        at[same] = low + go
+    common = 8 * at + 7 - np.searchsorted(BYTES, x ^ y, side="right")
+    common[x == y] = width
+    return (x < y) | (x == y) & (a < b), common
+
+
+def _lanes(names: np.ndarray) -> np.ndarray:
+    """Lane of each row, about LANE rows in each, in the order of the names and for equal ones of the rows."""
+    n = len(names)
+    every = max(1, LANE // 32)
+    sample = np.arange(0, n, every)
+    cuts = sample[np.argsort(names[sample], kind="stable")][LANE // every:: LANE // every]
+    if not len(cuts):
+        return np.zeros(n, np.int64)
+    at = names[cuts]
+    before = np.searchsorted(at, names)
+    row = np.where(at[np.minimum(before, len(at) - 1)] == names, np.arange(n), -1)
+    return np.searchsorted(np.searchsorted(at, at) * (n + 1) + cuts, before * (n + 1) + row, side="right")
+
+
+def merged(prefix: np.ndarray, rest: np.ndarray, sizes: list[int], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Loser-tree merge of front-coded runs: the rows in order, their common prefixes with the key before, the rows' keys.
+
+    ``prefix`` and ``rest`` are the runs' common prefixes and remainders after one another, ``sizes`` the records of each.
+    The keys are cut into lanes, each with a loser tree over its runs, and the trees take their steps together.  A node keeps
+    a loser and its common prefix with the last key put out; a longer common prefix wins without a look at the keys, and
+    equal ones are compared from there on only."""
+    n = len(prefix)
+    prefix = prefix.astype(np.int64)
+    keys = _decoded(prefix, rest, width)
+    if not n:
+        return np.zeros(0, np.int64), prefix, keys
+    words = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    words[:, :width] = keys
+    words = words.view(">u8").astype(np.uint64)
+    run = np.repeat(np.arange(len(sizes)), sizes)
+    lane = _lanes(keys.view(f"S{width}").ravel())
+    size = np.bincount(lane)
+    start = np.cumsum(size) - size
+    # Longest lanes first: those still at work are always the first ones, and so are those with the highest trees.
+    by_size = np.argsort(-size, kind="stable")[: np.count_nonzero(size)]
+    rank = np.empty(len(size), np.int64)
+    rank[by_size] = np.arange(len(by_size))
+    place, size, mine = start[by_size], size[by_size], rank[lane]
+    levels = np.ceil(np.log2(np.minimum(size, len(sizes)))).astype(np.int64)
+    tree = np.cumsum(1 << levels) - (1 << levels)
+    # A lane's leaves are the runs that have rows in it.
+    head = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (mine[1:] != mine[:-1])])
+    order = np.argsort(mine[head], kind="stable")
+    ranked = mine[head][order]
+    leaf = np.empty(len(head), np.int64)
+    leaf[order] = np.arange(len(head)) - np.searchsorted(ranked, ranked)
+    goes_on = np.ones(n, bool)
+    goes_on[np.r_[head[1:], n] - 1] = False
+    parent = np.repeat(leaf + (1 << levels[mine[head]]) >> 1, np.diff(np.r_[head, n]))
+    total = int(tree[-1] + (1 << levels[-1]))
+    rows, known = np.zeros(total, np.int64), np.full(total, -1)
+    at = tree[mine[head]] + leaf
+    rows[at], known[at] = head, 0
+    loser, lost = np.zeros(total, np.int64), np.full(total, -1)
+    a, h = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
+    for level in np.unique(levels):
+        of = slice(*np.searchsorted(-levels, [-level, -level + 1]))
+        c = 1 << int(level)
+        here = slice(tree[of.start], tree[of.start] + c * (of.stop - of.start))
+        x, hx = rows[here].reshape(-1, c), known[here].reshape(-1, c)
+        losers, losts = loser[here].reshape(-1, c), lost[here].reshape(-1, c)
+        while c > 1:
+            left, right = x[:, ::2], x[:, 1::2]
+            wins, common = hx[:, ::2] >= 0, np.minimum(hx[:, ::2], hx[:, 1::2])
+            both = np.nonzero(common >= 0)
+            wins[both], common[both] = _beats(words, width, left[both], right[both], common[both])
+            losers[:, c // 2: c], losts[:, c // 2: c] = np.where(wins, right, left), common
+            x, hx = np.where(wins, left, right), np.maximum(hx[:, ::2], hx[:, 1::2])
+            c //= 2
+        a[of], h[of] = x[:, 0], hx[:, 0]
+    order, between = np.empty(n, np.int64), np.empty(n, np.int64)
+    for step in range(int(size[0])):
+        c = int(np.searchsorted(-size, -step))  # lanes of more than ``step`` rows
+        a, h = a[:c], h[:c]
+        order[place[:c] + step], between[place[:c] + step] = a, h
+        node = parent[a]
+        more = goes_on[a]
+        a = a + more
+        h = np.where(more, prefix[a], -1)
+        for level in range(int(levels[0])):
+            t = int(np.searchsorted(-levels[:c], -level))  # lanes with a node on this level
+            at = tree[:t] + node[:t]
+            mine, ours, other, theirs = a[:t], h[:t], loser[at], lost[at]
+            beaten, low = ours < theirs, np.minimum(ours, theirs)
+            tie = np.flatnonzero((ours == theirs) & (ours >= 0))
+            if len(tie):
+                wins, low[tie] = _beats(words, width, mine[tie], other[tie], ours[tie])
+                beaten[tie] = ~wins
+            loser[at], lost[at] = np.where(beaten, mine, other), low
+            a[:t], h[:t] = np.where(beaten, other, mine), np.maximum(ours, theirs)
             node >>= 1
+    first = np.sort(place)[1:]
+    between[first] = _beats(words, width, order[first - 1], order[first], np.zeros(len(first), np.int64))[1]
+    return order, between, keys
+
+
+def merge(runs: list[tuple[list[int], list[bytes]]]):
+    """``merged`` record by record: (run, place in the run, common prefix with the key before, key).
+
+    A run is (common prefixes, remainders); all keys are of one length."""
+    sizes = [len(rests) for _, rests in runs]
+    width = next((len(rests[0]) for _, rests in runs if rests), 0)
+    prefix = np.array([h for prefixes, _ in runs for h in prefixes], np.int64)
+    rest = np.frombuffer(b"".join(r for _, rests in runs for r in rests), np.uint8)
+    starts = np.r_[0, np.cumsum(sizes)]
+    order, between, keys = merged(prefix, rest, sizes, width)
+    for row, h in zip(order.tolist(), between.tolist()):
+        run = int(np.searchsorted(starts, row, side="right")) - 1
+        yield run, row - int(starts[run]), h, keys[row].tobytes()
 
 
 def same_passages(keys: np.ndarray, prefix: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -274,7 +355,8 @@ def _read(data: bytes):
 
 
 def _short(hashes: np.ndarray) -> np.ndarray:
-    return hashes >> np.uint64(64 - HASH_BITS)
+    """Hashes for exchange and sample, mixed again: those of anchors are the least of many, so most of them are small."""
+    return _mix(hashes) >> np.uint64(64 - HASH_BITS)
 
 
 def _hash_range(hashes: np.ndarray, ranges: int) -> np.ndarray:
@@ -343,13 +425,15 @@ def _run_of_block(splitters: list[bytes], ranges: int):
         ids, known, lengths, raw = _read(blocks["data"].iloc[0])
         doc, first, last, anchor, full = anchors(raw, lengths, known)
         h = _short(full)
-        one = np.unique(h)
+        order = np.argsort(h)
+        new = np.r_[True, h[order][1:] != h[order][:-1]][: len(h)]
+        one = h[order][new]
         cut = np.searchsorted(_hash_range(one, ranges), np.arange(ranges + 1))
         shared = np.zeros(len(one), bool)
         for i, data in zip(bits["range"], bits["bits"]):
             size = cut[i + 1] - cut[i]
             shared[cut[i]: cut[i + 1]] = np.unpackbits(np.frombuffer(data, np.uint8), count=size).astype(bool)
-        keep = np.flatnonzero(shared[np.searchsorted(one, h)]) if len(one) else np.zeros(0, np.int64)
+        keep = np.sort(order[shared[np.cumsum(new) - 1]])
         if not len(keep):
             return pd.DataFrame([], columns=columns)
         doc, first, last, anchor = doc[keep], first[keep], last[keep], anchor[keep]
@@ -372,11 +456,9 @@ def _run_of_block(splitters: list[bytes], ranges: int):
         mine = np.flatnonzero(~beaten)
         held = np.bincount(group[mine], minlength=len(begin))
         begin_of = np.r_[0, np.cumsum(held)]
-        heads = [keys[i, :K].tobytes() for i in begin]
-        edges = [0]
-        for s in splitters:  # records with one anchor stay together
-            edges.append(_bisect(heads, s, edges[-1]))
-        edges.append(len(begin))
+        # Records with one anchor stay together.
+        heads = np.ascontiguousarray(keys[begin, :K]).view(f"S{K}").ravel()
+        edges = [0, *np.searchsorted(heads, np.array(splitters, f"S{K}")).tolist(), len(begin)]
         run_prefix = common_prefixes(keys[begin])
         for i in range(len(splitters) + 1):
             a, b = edges[i], edges[i + 1]
@@ -393,12 +475,6 @@ def _run_of_block(splitters: list[bytes], ranges: int):
     return run
 
 
-def _bisect(heads: list[bytes], splitter: bytes, low: int) -> int:
-    from bisect import bisect_left
-
-    return bisect_left(heads, splitter, low)
-
-
 def _merged_range(rows: pd.DataFrame) -> pd.DataFrame:
     """Step 4: (block, data) with the covered spans of the block's documents that this range decides."""
     through = rows.loc[rows["kind"] == 1, ["block", "data"]]
@@ -406,23 +482,9 @@ def _merged_range(rows: pd.DataFrame) -> pd.DataFrame:
     if not len(rows):
         return through
     parts = [_unpacked(d) for d in rows["data"]]
-    runs = []
-    for b in parts:
-        ends = np.cumsum(KEY - b["prefix"].astype(np.int64)).tolist()
-        rest = b["rest"].tobytes()
-        runs.append((b["prefix"].tolist(), [rest[s:e] for s, e in zip([0, *ends], ends)]))
-    which, place, prefix, text = [], [], [], []
-    for r, i, h, key in merge(runs):
-        which.append(r)
-        place.append(i)
-        prefix.append(h)
-        text.append(key)
-    del runs
-    n = len(which)
-    which, place, prefix = np.array(which), np.array(place), np.array(prefix, np.int64)
-    keys = np.frombuffer(b"".join(text), np.uint8).reshape(n, KEY)
-    del text
-    at = np.cumsum([0, *(len(b["name"]) for b in parts)])[which] + place
+    sizes = [len(b["name"]) for b in parts]
+    at, prefix, keys = merged(np.concatenate([b["prefix"] for b in parts]), np.concatenate([b["rest"] for b in parts]), sizes, KEY)
+    which, keys = np.repeat(np.arange(len(sizes)), sizes)[at], keys[at]
     names = np.concatenate([b["name"] for b in parts])[at]
     begin = np.flatnonzero(prefix < KEY)
     record = np.cumsum(prefix < KEY) - 1
@@ -450,12 +512,14 @@ def _merged_range(rows: pd.DataFrame) -> pd.DataFrame:
     where = np.repeat(starts[at[item]], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     block = np.repeat(which[item], times)
     doc, start, end = docs[where], places[where] + np.repeat(begin_at, times), places[where] + np.repeat(end_at, times)
-    order = np.argsort(block, kind="stable")
+    # One pass joins the spans of all blocks: their documents get numbers after one another.
+    most = int(docs.max()) + 1
+    doc, start, end = _joined_spans(block * most + doc, start, end)
+    edge = np.searchsorted(doc, np.arange(len(sizes) + 1) * most)
     out = []
-    for i in np.unique(block):
-        mine = order[np.searchsorted(block[order], i): np.searchsorted(block[order], i, side="right")]
-        d, s, e = _joined_spans(doc[mine], start[mine], end[mine])
-        out.append((int(rows["block"].iloc[i]), _packed(doc=d, start=s, end=e)))
+    for i in np.flatnonzero(np.diff(edge)):
+        of = slice(edge[i], edge[i + 1])
+        out.append((int(rows["block"].iloc[i]), _packed(doc=doc[of] - i * most, start=start[of], end=end[of])))
     return pd.concat([through, pd.DataFrame(out, columns=["block", "data"])], ignore_index=True)
 
 
@@ -508,7 +572,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     lists = stored(lists, "suffix-anchors")
     sample = []
     # SAMPLE anchors in expectation, however large the corpus.
-    for r in lists.where("range = -1").select("data").toLocalIterator():
+    for r in lists.where("range = -1").select("data").collect():
         b = _unpacked(r.data)
         sample += zip((x.tobytes() for x in b["anchors"].reshape(-1, K)), b["several"].tolist())
     splitters = splitters_of(sample, share)

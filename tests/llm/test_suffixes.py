@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from markbook.llm import suffixes as S
@@ -24,6 +25,38 @@ def test_merge_puts_out_keys_in_order_with_their_common_prefixes(seed):
         assert a[:h] == b[:h] and a[h: h + 1] != b[h: h + 1] or a == b and h == 6
 
 
+@pytest.mark.parametrize("n_runs", [1, 3, 400])
+def test_merge_in_lanes_of_many_runs(n_runs):
+    rnd = random.Random(n_runs)
+    width = S.KEY
+    every = [bytes(rnd.choice(b"a\xff") for _ in range(rnd.randint(0, 12))).ljust(width - 1, b"\0") + b"\1" for _ in range(300)] + [b"a" * width]
+    runs = [sorted({every[-1], *rnd.choices(every, k=40)}) for _ in range(n_runs)]
+    runs[n_runs // 2] = []
+    packed = [np.frombuffer(b"".join(keys), np.uint8).reshape(-1, width) for keys in runs]
+    prefix = [S.common_prefixes(keys) for keys in packed]
+    rest = [keys[np.arange(width) >= h[:, None]] for keys, h in zip(packed, prefix)]
+    order, between, keys = S.merged(np.concatenate(prefix), np.concatenate(rest), [len(keys) for keys in runs], width)
+    rows = [key for keys in runs for key in keys]
+    assert [x.tobytes() for x in keys] == rows
+    assert order.tolist() == sorted(range(len(rows)), key=lambda i: (rows[i], i))
+    assert between.tolist() == S.common_prefixes(keys[order]).tolist()
+
+
+def test_ranges_hold_what_they_aim_at(monkeypatch):
+    monkeypatch.setattr(S, "RANGE_RECORDS", 2000)
+    raw = np.frombuffer(random.Random(7).randbytes(400_000), np.uint8)
+    lengths = np.full(400, 1000)
+    data = [S._packed(ids=np.arange(i, i + 400), known=np.ones(400, bool), lengths=lengths, raw=raw) for i in (0, 400)]
+    share = 0.2
+    out = pd.concat(S._anchor_lists(16, int(share * (1 << S.HASH_BITS)))(iter([pd.DataFrame({"block": [0, 1], "data": data})])))
+    held = [sum(len(S._unpacked(d)["low"]) for d in out.loc[out["range"] == i, "data"]) for i in range(16)]
+    assert max(held) < 1.3 * sum(held) / 16
+    sample = [x for d in out.loc[out["range"] == -1, "data"] for x in S._unpacked(d)["anchors"].reshape(-1, S.K)]
+    assert 0.8 * share < len(sample) / sum(held) < 1.2 * share
+    ranges = len(S.splitters_of([(x.tobytes(), False) for x in sample], share)) + 1
+    assert 0.7 * sum(held) / 2000 < ranges < 1.3 * sum(held) / 2000
+
+
 def brute(rows):
     least = {}
     for i, t in rows:
