@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markbook.llm.common import discard, query, stored, table, travels
+from markbook.llm.common import discard, query, shuffles_end, stored, table, travels
 
 travels(__name__)
 
@@ -577,11 +577,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         sample += zip((x.tobytes() for x in b["anchors"].reshape(-1, K)), b["several"].tolist())
     splitters = splitters_of(sample, share)
     bits = lists.where("range >= 0").groupBy("range").applyInPandas(_shared_anchors, "block long, range int, bits binary")
+    # Hashes are gone, stored and exchanged ones, before records are exchanged, and those before the last step.
+    with shuffles_end(spark):
+        bits = stored(bits, "suffix-bits")
+    discard(lists)
     runs = blocks.select("block", "data").groupBy("block").cogroup(bits.groupBy("block")).applyInPandas(
         _run_of_block(splitters, ranges), "range int, block long, kind int, data binary")
     spans = runs.groupBy("range").applyInPandas(_merged_range, "block long, data binary")
-    spans = stored(spans, "suffix-spans")
-    discard(lists)
+    with shuffles_end(spark):
+        spans = stored(spans, "suffix-spans")
+    discard(bits)
     return blocks.select("block", "data").groupBy("block").cogroup(spans.groupBy("block")).applyInPandas(
         _remaining, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -107,3 +108,17 @@ def test_equals_brute_force_over_many_blocks_and_ranges(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert S.remove_repeats(empty(spark)).count() == 0
+
+
+def test_what_it_exchanged_is_gone_before_the_last_step(spark):
+    def left():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = [files.apply(i).getName() for i in range(files.size())]
+        return {name.split("_")[1] for name in names if name.startswith("shuffle_")}
+
+    before = left()
+    S.remove_repeats(documents(spark, rows_with_repeats()))
+    until = time.time() + 20  # files go in the background
+    while len(left() - before) > 1 and time.time() < until:
+        time.sleep(0.2)
+    assert len(left() - before) <= 1  # the sum of the blocks' bytes
